@@ -18,7 +18,7 @@ def hot_rows(spark: SparkSession) -> int:
 
 def cell_items(spark: SparkSession) -> int:
     """A (session, time bucket) with more distinct items than this is joined in slices."""
-    return int(spark.conf.get(CELL_ITEMS_KEY, "2000"))
+    return int(spark.conf.get(CELL_ITEMS_KEY, "20000"))
 
 
 def shared_dir(spark: SparkSession) -> str:
