@@ -14,17 +14,13 @@ from sessionrank.schema import ACTIONS, is_action
 def union_candidates(ev: DataFrame, sources: Sequence[DataFrame]) -> DataFrame:
     """Distinct (session, aid, split) of all sources and the sessions' own items.
 
-    Only sessions to predict for are kept; they are selected before the union is reduced.
+    Only sessions to predict for are kept.
     """
-    targets = ev.where(F.col("split") != "train")
-    splits = targets.select("session", "split").distinct()
-    own = ev.select("session", "aid").join(target_sessions(ev), "session", "left_semi")
-    found = [s.select("session", "aid").join(target_sessions(ev), "session", "left_semi") for s in sources]
-    keys = union_all([own, *found]).where(F.col("aid").isNotNull()).distinct()
-    all_splits = ev.select("session", "split").distinct()
-    return keys.join(all_splits.join(splits.select("session").distinct(), "session", "left_semi"), "session").select(
-        "session", "aid", "split"
-    )
+    targets = target_sessions(ev)
+    splits = ev.select("session", "split").distinct().join(targets, "session", "left_semi")
+    own = ev.select("session", "aid").join(targets, "session", "left_semi")
+    keys = union_all([own, *[s.select("session", "aid") for s in sources]]).where(F.col("aid").isNotNull()).distinct()
+    return keys.join(splits, "session").select("session", "aid", "split")
 
 
 def grow_outer(pairs: DataFrame, feature_tables: Sequence[DataFrame]) -> DataFrame:

@@ -2,54 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionrank.functions import vectors as V
 
-BLOCK_ROWS = 4096
-
-
-def _blocks(df: DataFrame, key: str, vec: str, rows: int) -> DataFrame:
-    """Unit vectors packed into blocks of about ``rows`` keys.
-
-    The number of blocks follows the size of the table; keys are spread by hash, so blocks
-    are equally full whatever the keys look like.
-    """
-    count = df.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(rows))).alias("b")).scalar()
-    block = F.pmod(F.xxhash64(key), F.greatest(count, F.lit(1)))
-    return (
-        df.select(F.col(key).alias("k"), V.unit(vec).alias("v"), block.alias("block"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("k", "v")).alias("rows"))
-        .select("block", F.col("rows.k").alias("keys"), F.flatten("rows.v").alias("flat"))
-    )
-
-
-def _best_of_block(k: int, key_type: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                q_keys, i_keys = np.asarray(row.q_keys), np.asarray(row.i_keys)
-                q = np.asarray(row.q_flat, dtype=np.float64).reshape(len(q_keys), -1)
-                x = np.asarray(row.i_flat, dtype=np.float64).reshape(len(i_keys), -1)
-                sims = np.round(q @ x.T, 12)
-                # equal similarities go to the smaller id
-                by_id = np.argsort(i_keys, kind="stable")
-                order = by_id[np.argsort(-sims[:, by_id], axis=1, kind="stable")[:, :k]]
-                width = order.shape[1]
-                yield pd.DataFrame(
-                    {
-                        "key": np.repeat(q_keys, width),
-                        "aid": i_keys[order].ravel(),
-                        "similarity": np.take_along_axis(sims, order, axis=1).ravel(),
-                    }
-                )
+CELL_ROWS = 250_000
+CHUNK_VALUES = 16_000_000
+SCORED = "key long, aid long, similarity double"
+
+
+def _cell_count(df: DataFrame, cell_rows: int) -> Column:
+    return F.greatest(df.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(cell_rows))).alias("c")).scalar(), F.lit(1))
+
+
+def _spread(df: DataFrame, key: str, vec: str, own: str, other: str, cell_rows: int, other_cells: Column) -> DataFrame:
+    """Unit vectors in cells of about ``cell_rows`` keys, one copy per cell of the other side."""
+    spot = F.pmod(F.xxhash64(key), _cell_count(df, cell_rows)).cast("int")
+    placed = df.select(F.col(key).alias("k"), V.unit(vec).alias("v"), spot.alias(own), other_cells.alias("_n"))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1))).drop("_n")
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def best_matches(k: int):
+    """Task function: the ``k`` best items per query of one cell pair, equal values by id."""
+
+    def run(queries: pa.Table, items: pa.Table) -> pa.Table:
+        keys, sims, ids = [], [], []
+        if queries.num_rows and items.num_rows:
+            q_ids = queries.column("k").to_numpy()
+            i_ids = items.column("k").to_numpy()
+            q, x = _matrix(queries.column("v"), len(q_ids)), _matrix(items.column("v"), len(i_ids)).T
+            step = max(1, CHUNK_VALUES // len(i_ids))
+            width = min(k, len(i_ids))
+            for start in range(0, len(q_ids), step):
+                part = np.round(q[start : start + step] @ x, 12)
+                edge = np.partition(part, -width, axis=1)[:, -width]
+                row, col = np.nonzero(part >= edge[:, None])
+                value, item = part[row, col], i_ids[col]
+                order = np.lexsort((item, -value, row))
+                row, value, item = row[order], value[order], item[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                keep = place < width
+                keys.append(q_ids[start : start + step][row[keep]])
+                sims.append(value[keep])
+                ids.append(item[keep])
+        empty_int, empty_float = np.empty(0, dtype=np.int64), np.empty(0)
+        return pa.table(
+            {
+                "key": np.concatenate([empty_int, *keys]),
+                "aid": np.concatenate([empty_int, *ids]),
+                "similarity": np.concatenate([empty_float, *sims]),
+            }
+        )
 
     return run
 
@@ -62,27 +74,25 @@ def knn(
     key: str = "aid",
     query_vec: str = "vector",
     item_vec: str = "vector",
-    block_rows: int = BLOCK_ROWS,
+    cell_rows: int = CELL_ROWS,
     lsh_tables: int = 8,
     lsh_width: float = 0.5,
     seed: int = 0,
 ) -> DataFrame:
     """The ``k`` most similar items per query as (key, neighbor_aids, cosine_similarity).
 
-    ``exact`` multiplies blocks of query vectors with blocks of item vectors (one matrix
-    product per block pair inside a task) and keeps only the best ``k`` per query and block,
-    which are then reduced per query. ``lsh`` hashes unit vectors and compares within
+    ``exact`` spreads queries and items over a grid of cells of bounded size, multiplies the
+    two vector blocks of each cell inside a task and emits only the ``k`` best per query and
+    cell, which are then reduced per query. ``lsh`` hashes unit vectors and compares within
     buckets; it may miss neighbours. Queries or items without a usable vector are left out.
     """
     q = queries.where(V.norm(query_vec) > 0)
     i = items.where(V.norm(item_vec) > 0)
     if method == "exact":
-        qb = _blocks(q, key, query_vec, block_rows).select(F.col("keys").alias("q_keys"), F.col("flat").alias("q_flat"))
-        ib = _blocks(i, "aid", item_vec, block_rows)
-        ids = ib.agg(F.collect_list("block")).scalar()
-        routed = qb.withColumn("block", F.explode(ids))
-        work = routed.join(ib.select("block", F.col("keys").alias("i_keys"), F.col("flat").alias("i_flat")), "block")
-        scored = work.drop("block").mapInPandas(_best_of_block(k, key), "key long, aid long, similarity double")
+        left = _spread(q, key, query_vec, "qc", "ic", cell_rows, _cell_count(i, cell_rows))
+        right = _spread(i, "aid", item_vec, "ic", "qc", cell_rows, _cell_count(q, cell_rows))
+        grid = left.groupBy("qc", "ic").cogroup(right.groupBy("qc", "ic"))
+        scored = grid.applyInArrow(best_matches(k), SCORED)
     elif method == "lsh":
         scored = _lsh_scores(q, i, key, query_vec, item_vec, lsh_tables, lsh_width, seed)
     else:
@@ -104,8 +114,3 @@ def _lsh_scores(q, i, key, query_vec, item_vec, tables, width, seed) -> DataFram
     return near.select(
         F.col("datasetA.key").alias("key"), F.col("datasetB.aid").alias("aid"), (1 - F.col("d") * F.col("d") / 2).alias("similarity")
     )
-
-
-def items_with_neighbours(neighbours: DataFrame, items: DataFrame) -> DataFrame:
-    """Neighbour lists of the known items only."""
-    return neighbours.join(items.select("aid").distinct(), "aid", "left_semi")
