@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,25 +14,30 @@ from sessionrank.operators.filters import semi
 from sessionrank.sources.labels import label_flags
 from sessionrank.schema import ACTIONS
 
+PAIR = ("session", "aid")
 SLOTS = 65_536
 
 
 def assemble(pairs: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """Left join of feature tables onto candidate pairs.
 
-    Tables that share a key are first joined with each other on the distinct keys they hold,
-    so the wide candidate table is shuffled once per key set instead of once per table.
+    Tables on part of the pair key (by session, by item) are first joined with each other,
+    so the pairs are shuffled once per key set and a popular item's partition can be split.
+    Tables on the whole pair key come last and join one after another in one partitioning,
+    so their many columns are never shuffled again.
     """
     groups: dict[tuple[str, ...], list[DataFrame]] = {}
     for df, keys in tables:
         groups.setdefault(tuple(keys), []).append(df)
     out = pairs
-    for keys, dfs in groups.items():
+    for keys in sorted(groups, key=lambda k: set(k) >= set(PAIR)):
         on = list(keys)
-        merged = dfs[0]
-        for df in dfs[1:]:
-            merged = merged.join(df, on, "full")
-        out = out.join(merged, on, "left")
+        if set(keys) >= set(PAIR):
+            parts = groups[keys]
+        else:
+            parts = [reduce(lambda a, b: a.join(b, on, "full"), groups[keys])]
+        for part in parts:
+            out = out.join(part, on, "left")
     return out
 
 
