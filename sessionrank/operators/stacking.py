@@ -46,15 +46,7 @@ def unpack_lists(lists: DataFrame, model: str, k: int = LONG_LIST_LENGTH) -> Dat
         rows = from_submission(lists)
         rows = rows.withColumn("_t", F.regexp_extract("type", "^(click|cart|order)", 1))
     else:
-        parts = []
-        for name in ("click", "cart", "order"):
-            zipped = F.arrays_zip(F.col(f"{name}_pred").alias("a"), F.col(f"{name}_pred_score").alias("s"))
-            parts.append(
-                F.transform(
-                    F.coalesce(zipped, F.array().cast("array<struct<a:bigint,s:double>>")),
-                    lambda x, i, name=name: F.struct(F.lit(name).alias("_t"), (i + 1).alias("place"), x["a"].alias("aid"), x["s"].alias("score")),
-                )
-            )
+        parts = [_list_rows(name) for name in ("click", "cart", "order")]
         rows = lists.select("session", F.explode(F.concat(*parts)).alias("r")).select("session", "r.*")
     aggs = []
     for t in ACTIONS:
@@ -64,6 +56,17 @@ def unpack_lists(lists: DataFrame, model: str, k: int = LONG_LIST_LENGTH) -> Dat
     return _long(wide, model)
 
 
+def _list_rows(name: str) -> Column:
+    """One list as an array of (_t, place, aid, score) rows; a missing list has none."""
+    zipped = F.arrays_zip(F.col(f"{name}_pred").alias("a"), F.col(f"{name}_pred_score").alias("s"))
+    rows = F.coalesce(zipped, F.array().cast("array<struct<a:bigint,s:double>>"))
+
+    def row(x: Column, i: Column) -> Column:
+        return F.struct(F.lit(name).alias("_t"), (i + 1).alias("place"), x["a"].alias("aid"), x["s"].alias("score"))
+
+    return F.transform(rows, row)
+
+
 def stack(long_scores: Sequence[DataFrame], models: Sequence[str]) -> DataFrame:
     """All models' pairs with a score and rank column per model and action.
 
