@@ -39,5 +39,6 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 def unit(a: str | Column) -> Column:
     """The vector at length 1; an all-zero vector stays as it is."""
-    length = norm(a)
-    return F.transform(_col(a), lambda x: F.when(length > 0, x / length).otherwise(x))
+    # repeated as an array, the length is computed once per row and not once per element
+    length = F.array_repeat(norm(a), F.size(_col(a)))
+    return F.zip_with(_col(a), length, lambda x, n: F.when(n > 0, x / n).otherwise(x))

@@ -96,9 +96,8 @@ def random_walks(edge_list: DataFrame, length: int = 20, per_node: int = 10, see
             degree.select(F.col("node").alias("next"), F.col("degree").alias("next_degree")), "next", "left"
         )
     )
-    walks = degree.select(
-        F.col("node").alias("start"), "degree", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).cast("long").alias("walk")
-    ).withColumns({"node": F.col("start"), "items": F.array("start")})
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(per_node - 1).cast("long"))
+    walks = degree.select(F.col("node").alias("start"), "degree", F.explode(numbers).alias("walk")).withColumns({"node": F.col("start"), "items": F.array("start")})
     for i in range(1, length):
         pick = F.pmod(draw("start", "walk", F.lit(i), seed=seed), F.col("degree"))
         walks = (

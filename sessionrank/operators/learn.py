@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionrank.operators.dataset import encode, positive_sessions
+from sessionrank.settings import stage
 
 
 def _features(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -21,16 +22,23 @@ def _features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="_x").transform(clean).drop(*names)
 
 
-def fit_all(df: DataFrame, features: Sequence[str], label: str, n_iter: int = 20, params: dict | None = None) -> Model:
-    """One model on all rows with a fixed number of rounds."""
-    rows = _features(df, features).select("_x", F.col(label).cast("double").alias("_y"))
+def _fit(rows: DataFrame, label: str, n_iter: int, params: dict | None) -> Model:
     settings = {"maxDepth": 5, "stepSize": 0.1, "seed": 0, **(params or {})}
-    return GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=n_iter, **settings).fit(rows)
+    ready = rows.select("_x", F.col(label).cast("double").alias("_y"))
+    return GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=n_iter, **settings).fit(ready)
+
+
+def fit_all(df: DataFrame, features: Sequence[str], label: str, n_iter: int = 20, params: dict | None = None) -> Model:
+    """One model on all rows with a fixed number of rounds.
+
+    Boosting reads its rows in every round, so they are written once in assembled form.
+    """
+    return _fit(stage(_features(df, features).select("_x", label)), label, n_iter, params)
 
 
-def _score(model: Model, df: DataFrame, features: Sequence[str], name: str) -> DataFrame:
-    shown = model.transform(_features(df, features))
-    extra = ("_x", "rawPrediction", "probability", "prediction")
+def _score(model: Model, rows: DataFrame, name: str) -> DataFrame:
+    shown = model.transform(rows)
+    extra = ("rawPrediction", "probability", "prediction")
     return shown.withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).drop(*extra)
 
 
@@ -49,14 +57,15 @@ def cross_fit(
 
     ``only_positive_sessions`` trains on sessions with a positive candidate; all are scored.
     """
+    rows = stage(_features(df, features).select("session", "aid", fold, label, "_x"))
     models, parts = [], []
     for i in range(n_folds):
-        train = df.where(F.col(fold) != i)
+        train = rows.where(F.col(fold) != i)
         if only_positive_sessions:
             train = positive_sessions(train, label)
-        model = fit_all(train, features, label, n_iter, params)
+        model = _fit(train, label, n_iter, params)
         models.append(model)
-        parts.append(_score(model, df.where(F.col(fold) == i), features, "pred").select("session", "aid", "pred"))
+        parts.append(_score(model, rows.where(F.col(fold) == i), "pred").select("session", "aid", "pred"))
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
@@ -70,13 +79,13 @@ def add_oof(df: DataFrame, oof: DataFrame, name: str) -> DataFrame:
 
 def predict_mean(models: Sequence[Model], df: DataFrame, features: Sequence[str], name: str = "pred") -> DataFrame:
     """Mean score of the fold models."""
-    out = df
+    out = _features(df, features)
     names = []
     for i, model in enumerate(models):
         names.append(f"_p{i}")
-        out = _score(model, out, features, names[-1])
+        out = _score(model, out, names[-1])
     mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
-    return out.withColumn(name, mean).drop(*names)
+    return out.withColumn(name, mean).drop("_x", *names)
 
 
 def importances(spark: SparkSession, models: Sequence[GBTClassificationModel], features: Sequence[str]) -> DataFrame:

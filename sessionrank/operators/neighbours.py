@@ -1,11 +1,9 @@
-"""Exact nearest neighbours by cosine, and an approximate variant."""
+"""Exact nearest neighbours by cosine."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionrank.functions import vectors as V
@@ -70,47 +68,26 @@ def knn(
     queries: DataFrame,
     items: DataFrame,
     k: int = 50,
-    method: str = "exact",
     key: str = "aid",
     query_vec: str = "vector",
     item_vec: str = "vector",
     cell_rows: int = CELL_ROWS,
-    lsh_tables: int = 8,
-    lsh_width: float = 0.5,
-    seed: int = 0,
 ) -> DataFrame:
     """The ``k`` most similar items per query as (key, neighbor_aids, cosine_similarity).
 
-    ``exact`` spreads queries and items over a grid of cells of bounded size, multiplies the
-    two vector blocks of each cell inside a task and emits only the ``k`` best per query and
-    cell, which are then reduced per query. ``lsh`` hashes unit vectors and compares within
-    buckets; it may miss neighbours. Queries or items without a usable vector are left out.
+    Exact: queries and items are spread over a grid of cells of bounded size, a task
+    multiplies the two vector blocks of its cell and emits only the ``k`` best per query, and
+    these are then reduced per query. Queries or items without a usable vector are left out.
     """
     q = queries.where(V.norm(query_vec) > 0)
     i = items.where(V.norm(item_vec) > 0)
-    if method == "exact":
-        left = _spread(q, key, query_vec, "qc", "ic", cell_rows, _cell_count(i, cell_rows))
-        right = _spread(i, "aid", item_vec, "ic", "qc", cell_rows, _cell_count(q, cell_rows))
-        grid = left.groupBy("qc", "ic").cogroup(right.groupBy("qc", "ic"))
-        scored = grid.applyInArrow(best_matches(k), SCORED)
-    elif method == "lsh":
-        scored = _lsh_scores(q, i, key, query_vec, item_vec, lsh_tables, lsh_width, seed)
-    else:
-        raise ValueError(f"unknown method: {method}")
+    left = _spread(q, key, query_vec, "qc", "ic", cell_rows, _cell_count(i, cell_rows))
+    right = _spread(i, "aid", item_vec, "ic", "qc", cell_rows, _cell_count(q, cell_rows))
+    grid = left.groupBy("qc", "ic").cogroup(right.groupBy("qc", "ic"))
+    scored = grid.applyInArrow(best_matches(k), SCORED)
     best = Window.partitionBy("key").orderBy(F.col("similarity").desc(), "aid")
     top = scored.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
     lists = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_rn", "aid", "similarity"))).alias("n"))
     return lists.select(
         F.col("key").alias(key), F.col("n.aid").alias("neighbor_aids"), F.col("n.similarity").alias("cosine_similarity")
     )
-
-
-def _lsh_scores(q, i, key, query_vec, item_vec, tables, width, seed) -> DataFrame:
-    a = q.select(F.col(key).alias("key"), array_to_vector(V.unit(query_vec)).alias("v"))
-    b = i.select("aid", array_to_vector(V.unit(item_vec)).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(b)
-    # on unit vectors d**2 = 2 - 2 cos; 2 is the greatest possible distance
-    near = model.approxSimilarityJoin(a, b, 2.0, "d")
-    return near.select(
-        F.col("datasetA.key").alias("key"), F.col("datasetB.aid").alias("aid"), (1 - F.col("d") * F.col("d") / 2).alias("similarity")
-    )
