@@ -117,6 +117,15 @@ class Spread:
         return F.sqrt(F.try_divide(safe, self.count * (self.count - 1)))
 
 
+# Float scores are compared in steps of this size, so that the order in which partial sums
+# arrive cannot change a rank.
+SCORE_STEP = 1e-9
+
+
+def _steady(score: str) -> Column:
+    return F.rint(F.col(score) / SCORE_STEP)
+
+
 def covisit_features(
     ev: DataFrame,
     edges: DataFrame,
@@ -163,15 +172,10 @@ def covisit_features(
     scores[f"rn_covisit_{P}_type_aid_count"] = F.col(f"covisit_{P}_type_count")
     scores[f"rn_covisit_{P}_aid_count"] = F.col(f"covisit_{P}_count" if count_rank_by_events else f"covisit_{P}_type_count")
     for c in CVRS:
-        scores[f"rn_covisit_{P}_{c}"] = F.round(F.col(f"sum_{P}_{c}"), SCORE_DIGITS)
+        scores[f"rn_covisit_{P}_{c}"] = _steady(f"sum_{P}_{c}")
     return keep_any_rank(scored, "session", scores, k)
 
 
-# Float scores are compared at this precision, so that the order in which partial sums
-# arrive cannot change a rank.
-SCORE_DIGITS = 9
-
-
 def weighted_covisit_features(ev: DataFrame, weights: DataFrame, prefix: str, k: int = 1000) -> DataFrame:
     """Score neighbours by pair weight: plain, times action weight, recency, and both."""
     P = prefix
@@ -187,9 +191,9 @@ def weighted_covisit_features(ev: DataFrame, weights: DataFrame, prefix: str, k:
     scored = found.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
     scores = {
         f"rn_{P}": F.col(f"sum_{P}_weight"),
-        f"rn_time_weight_{P}": F.round(F.col(f"sum_{P}_time_weight"), SCORE_DIGITS),
+        f"rn_time_weight_{P}": _steady(f"sum_{P}_time_weight"),
         f"rn_type_weight_{P}": F.col(f"sum_{P}_type_weight"),
-        f"rn_type_time_weight_{P}": F.round(F.col(f"sum_{P}_type_time_weight"), SCORE_DIGITS),
+        f"rn_type_time_weight_{P}": _steady(f"sum_{P}_type_time_weight"),
     }
     return keep_any_rank(scored, "session", scores, k)
 
@@ -210,8 +214,8 @@ def bigram_features(ev: DataFrame, norm: DataFrame, prefix: str, k_item: int = 5
     scored = found.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
     scores = {}
     for c in names:
-        scores[f"rn_{P}_type_weight_{c}"] = F.round(F.col(f"sum_{P}_type_weight_{c}"), SCORE_DIGITS)
-        scores[f"rn_{P}_{c}"] = F.round(F.col(f"sum_{P}_{c}"), SCORE_DIGITS)
+        scores[f"rn_{P}_type_weight_{c}"] = _steady(f"sum_{P}_type_weight_{c}")
+        scores[f"rn_{P}_{c}"] = _steady(f"sum_{P}_{c}")
     scores[f"rn_{P}_type_weight_aid_count"] = F.col(f"{P}_type_weight_count")
     scores[f"rn_{P}_aid_count"] = F.col(f"{P}_count")
     return keep_any_rank(scored, "session", scores, k)

@@ -19,37 +19,36 @@ LEVELS = 2
 STRETCH = [f"_stretch{i}" for i in range(LEVELS)]
 
 
-def cut_hot(df: DataFrame, keys: Sequence[str], lead: str) -> DataFrame:
+def cut_hot(df: DataFrame, keys: Sequence[str], lead: str) -> tuple[DataFrame, DataFrame]:
     """Add stretch numbers that follow the order of the numeric column ``lead``.
 
-    A key of n rows gets about 4 n / hot_rows stretches of equal width; a stretch that is
-    still too large (a burst) is cut once more. Each list of hot keys has at most
-    rows / hot_rows entries, which bounds what is broadcast.
+    Returns all rows, and the rows of hot keys alone. A key of n rows gets about
+    4 n / hot_rows stretches of equal width; a stretch that is still too large (a burst) is
+    cut once more. Each list of hot keys has at most rows / hot_rows entries, which bounds
+    what is broadcast. Hot rows come from an inner join with that list, so where no key is
+    hot the run-time planner drops their branch before it reads anything.
     """
     limit = hot_rows(df.sparkSession)
-    done: list[str] = []
-    for name in STRETCH:
-        source = df.where(F.col(done[-1]) > 0) if done else df
-        hot = (
-            source.groupBy(*keys, *done)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
-            .where((F.col("_n") > limit) & (F.col("_hi") > F.col("_lo")))
-            .select(
-                *keys,
-                *done,
-                "_lo",
-                (F.col("_hi") - F.col("_lo") + 1).cast("double").alias("_span"),
-                (4 * F.ceil(F.col("_n") / limit)).cast("double").alias("_parts"),
-            )
-        )
+
+    def number(rows: DataFrame, hot: DataFrame, on: list[str], how: str, name: str) -> DataFrame:
         part = F.floor((F.col(lead) - F.col("_lo")) / F.col("_span") * F.col("_parts")) + 1
-        df = (
-            df.join(F.broadcast(hot), [*keys, *done], "left")
-            .withColumn(name, F.coalesce(part, F.lit(0)).cast("long"))
-            .drop("_lo", "_span", "_parts")
-        )
-        done.append(name)
-    return df
+        joined = rows.join(F.broadcast(hot), on, how)
+        return joined.withColumn(name, F.coalesce(part, F.lit(0)).cast("long")).drop("_lo", "_span", "_parts")
+
+    def too_large(rows: DataFrame, on: list[str]) -> DataFrame:
+        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
+        span = (F.col("_hi") - F.col("_lo") + 1).cast("double").alias("_span")
+        parts = (4 * F.ceil(F.col("_n") / limit)).cast("double").alias("_parts")
+        return counts.where((F.col("_n") > limit) & (F.col("_hi") > F.col("_lo"))).select(*on, "_lo", span, parts)
+
+    on = list(keys)
+    hot = too_large(df, on)
+    every, only = number(df, hot, on, "left", STRETCH[0]), number(df, hot, on, "inner", STRETCH[0])
+    for name in STRETCH[1:]:
+        on = [*keys, *STRETCH[: STRETCH.index(name)]]
+        hot = too_large(only, on)
+        every, only = number(every, hot, on, "left", name), number(only, hot, on, "left", name)
+    return every, only
 
 
 def in_order(
@@ -71,7 +70,7 @@ def in_order(
     up to and including the row).
     """
     kinds = set(want.values())
-    base = cut_hot(df, keys, lead)
+    base, hot = cut_hot(df, keys, lead)
     part = [*keys, *STRETCH]
     by_row = Window.partitionBy(*part).orderBy(lead, *ties)
     by_lead = Window.partitionBy(*part).orderBy(lead)
@@ -106,7 +105,7 @@ def in_order(
         if group:
             out = out.withColumns(group)
 
-    offsets = _stretch_offsets(base, keys, lead, ties, kinds, row, flag)
+    offsets = _stretch_offsets(hot, keys, lead, ties, kinds, row, flag)
     out = out.join(F.broadcast(offsets), part, "left")
 
     def shifted(local: str, offset: str) -> Column:
@@ -135,9 +134,8 @@ def in_order(
     return out.select(*[c for c in df.columns if c not in want], *new)
 
 
-def _stretch_offsets(base, keys, lead, ties, kinds, row, flag) -> DataFrame:
+def _stretch_offsets(hot, keys, lead, ties, kinds, row, flag) -> DataFrame:
     """One row per stretch of a hot key: what lies before it and in the whole key."""
-    hot = base.where(F.col(STRETCH[0]) > 0)
     aggs = [F.count(F.lit(1)).alias("_n")]
     if kinds & {"dense", "rdense"}:
         aggs.append(F.count_distinct(lead).alias("_d"))

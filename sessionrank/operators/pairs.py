@@ -49,71 +49,72 @@ def pair_flags(
     equal to the reach. Two events of one bucket are always within reach, and between
     neighbouring buckets the last event of the one and the first of the other decide. So the
     self-join works on distinct items per bucket, however many events a session has. Buckets
-    with many distinct items are joined in slices of the first side.
+    are joined with themselves and the next one; a meeting with the next bucket gives both
+    directions. Buckets with many distinct items are joined in slices of the first side.
     """
     reach = reach_micros(max_gap, unit, strict)
     events = ev if types is None else of_types(ev, types)
     if last_n is not None:
         events = last_times(events, last_n)
-    flags = [F.max(_flag(a)).alias(a) for a in ACTIONS]
-    # first time per action: the earliest event of that action decides towards an earlier
-    # bucket, the latest towards a later one
-    ends = [F.min(F.when(is_action(a), F.col("us"))).alias(f"lo_{a}") for a in ACTIONS]
-    ends += [F.max(F.when(is_action(a), F.col("us"))).alias(f"hi_{a}") for a in ACTIONS]
-    cells = (
-        with_micros(events)
-        .withColumn("cell", F.col("us") - F.pmod(F.col("us"), F.lit(reach)))
-        .groupBy("session", "cell", "aid")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), *flags, *ends)
-    )
-    wide = F.broadcast(_wide_cells(cells, cell_items(ev.sparkSession)))
+    timed = with_micros(events).withColumn("cell", F.col("us") - F.pmod(F.col("us"), F.lit(reach)))
+    wide = F.broadcast(_wide_cells(timed, cell_items(ev.sparkSession)))
+
+    def ends(fn, head: str) -> list[Column]:
+        return [fn(F.when(is_action(a), F.col("us"))).alias(f"{head}_{a}") for a in ACTIONS]
+
+    key = ["session", "cell", "aid"]
+    last = timed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *ends(F.max, "hi"))
+    early = timed.groupBy(*key).agg(*ends(F.min, "lo"))
     first = (
-        cells.select("session", "cell", F.col("aid").alias("aid_x"), "n", "lo", "hi")
+        last.withColumnRenamed("aid", "aid_a")
         .join(wide, ["session", "cell"], "left")
-        .withColumn("slice", F.pmod(F.xxhash64("aid_x"), F.coalesce("slices", F.lit(1))).cast("int"))
+        .withColumn("slice", F.pmod(F.xxhash64("aid_a"), F.coalesce("slices", F.lit(1))).cast("int"))
         .drop("slices")
     )
     second = (
-        cells.withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-        .select(
-            "session",
-            (F.col("cell") - F.col("shift") * F.lit(reach)).alias("cell"),
-            "shift",
-            F.col("aid").alias("aid_y"),
-            *ACTIONS,
-            *[f"lo_{a}" for a in ACTIONS],
-            *[f"hi_{a}" for a in ACTIONS],
-        )
+        early.withColumnRenamed("aid", "aid_b")
+        .withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("cell", F.col("cell") - F.col("ahead") * F.lit(reach))
         .join(wide, ["session", "cell"], "left")
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
         .drop("slices")
     )
-
-    def near(action: str) -> Column:
-        same = (F.col("shift") == 0) & (F.col(action) == 1) & ((F.col("aid_x") != F.col("aid_y")) | (F.col("n") > 1))
-        later = (F.col("shift") == 1) & (F.col(f"lo_{action}") - F.col("hi") < reach)
-        earlier = (F.col("shift") == -1) & (F.col("lo") - F.col(f"hi_{action}") < reach)
-        return F.coalesce(same | later | earlier, F.lit(False)).cast("int")
-
-    met = first.join(second, ["session", "cell", "slice"]).select(
-        "session", "aid_x", "aid_y", *[near(a).alias(a) for a in ACTIONS]
+    same = F.col("ahead") == 0
+    latest = F.greatest(*[F.col(f"hi_{a}") for a in ACTIONS])
+    earliest = F.least(*[F.col(f"lo_{a}") for a in ACTIONS])
+    meets = F.when(same, (F.col("aid_a") != F.col("aid_b")) | (F.col("n") > 1)).otherwise(earliest - latest < reach)
+    met = first.join(second, ["session", "cell", "slice"]).where(meets)
+
+    def flag(hit: Column, action: str) -> Column:
+        return F.coalesce(hit, F.lit(False)).cast("int").alias(action)
+
+    forward = F.struct(
+        F.col("aid_a").alias("aid_x"),
+        F.col("aid_b").alias("aid_y"),
+        *[flag(F.when(same, F.col(f"lo_{a}").isNotNull()).otherwise(F.col(f"lo_{a}") - latest < reach), a) for a in ACTIONS],
+    )
+    back = F.struct(
+        F.col("aid_b").alias("aid_x"),
+        F.col("aid_a").alias("aid_y"),
+        *[flag(earliest - F.col(f"hi_{a}") < reach, a) for a in ACTIONS],
     )
-    return _distinct_pairs(met.where(F.greatest(*ACTIONS) == 1))
+    both = F.when(same, F.array(forward)).otherwise(F.array(forward, back))
+    return _distinct_pairs(met.select("session", F.explode(both).alias("p")).select("session", "p.*"))
 
 
-def _wide_cells(cells: DataFrame, size: int) -> DataFrame:
+def _wide_cells(timed: DataFrame, size: int) -> DataFrame:
     """Cells with many distinct items and the number of slices to join them in.
 
-    The limit rises with the table, so that at most ``WIDE_CELLS`` cells can exceed it.
+    Cells with few events are passed over by a plain count; items are counted for the rest
+    alone. The limit rises with the log, so that at most ``WIDE_CELLS`` cells can exceed it.
     """
-    total = cells.agg(F.count(F.lit(1)).alias("t")).scalar()
+    total = timed.agg(F.count(F.lit(1)).alias("t")).scalar()
     limit = F.greatest(F.lit(size), F.ceil(total / F.lit(float(WIDE_CELLS))))
-    return (
-        cells.groupBy("session", "cell")
-        .agg(F.count(F.lit(1)).alias("_items"))
-        .where(F.col("_items") > limit)
-        .select("session", "cell", F.ceil(F.col("_items") / size).cast("int").alias("slices"))
-    )
+    cell = ["session", "cell"]
+    busy = timed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_events")).where(F.col("_events") > limit).select(*cell)
+    items = timed.select(*cell, "aid").join(F.broadcast(busy), cell).distinct()
+    counts = items.groupBy(*cell).agg(F.count(F.lit(1)).alias("_items"))
+    return counts.where(F.col("_items") > size).select(*cell, F.ceil(F.col("_items") / size).cast("int").alias("slices"))
 
 
 def _distinct_pairs(rows: DataFrame) -> DataFrame:

@@ -21,12 +21,16 @@ def rank_in(keys: Sequence[str], order: Sequence[Column], fn: str = "row_number"
 
 
 def row_ranks(df: DataFrame, key: str, scores: dict[str, Column], tie: str = "aid") -> DataFrame:
-    """One row number per score, greatest first, equal scores by ``tie``."""
+    """One row number per score, greatest first, equal scores by ``tie``.
+
+    Scores become columns first: a sort evaluates its expressions at every comparison.
+    """
+    keys = {f"_score{i}": score for i, score in enumerate(scores.values())}
     new = {
-        name: F.row_number().over(Window.partitionBy(key).orderBy(score.desc_nulls_last(), F.col(tie)))
-        for name, score in scores.items()
+        name: F.row_number().over(Window.partitionBy(key).orderBy(F.col(k).desc_nulls_last(), F.col(tie)))
+        for name, k in zip(scores, keys)
     }
-    return df.withColumns(new)
+    return df.withColumns(keys).withColumns(new).drop(*keys)
 
 
 def any_rank(names: Sequence[str], k: int) -> Column:

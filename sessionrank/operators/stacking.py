@@ -103,8 +103,8 @@ def blend(
     )
     total = sum((F.coalesce(F.col(f"_{i}"), F.lit(missing)) * F.lit(float(weights[m])) for i, m in enumerate(lists)), F.lit(0.0))
     scored = per_model.select("session_type", F.col("aid").cast("long").alias("aid"), (total / len(lists)).alias("score"))
-    order = Window.partitionBy("session_type").orderBy(F.round("score", 12).desc(), "aid")
-    best = scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    order = Window.partitionBy("session_type").orderBy(F.col("_step").desc(), "aid")
+    best = scored.withColumn("_step", F.rint(F.col("score") * 1e12)).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
     packed = F.sort_array(F.collect_list(F.struct("rn", "aid", "score")))
     return best.groupBy("session_type").agg(packed.alias("_l")).select(
         "session_type", F.col("_l.aid").alias("aids"), F.col("_l.score").alias("scores")
