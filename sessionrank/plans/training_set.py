@@ -124,6 +124,7 @@ def build(
     variant: str = "067",
     neighbours: DataFrame | None = None,
     similar: DataFrame | None = None,
+    limits: dict[str, int] | None = None,
     keep: Callable[[DataFrame], DataFrame] = stage,
 ) -> tuple[DataFrame, DataFrame]:
     """Dataset and sampled dataset of a variant.
@@ -133,7 +134,7 @@ def build(
     """
     names = dict.fromkeys((*CANDIDATE_SOURCES, *FEATURE_TABLES[variant]))
     features = {n: keep(C.TABLES[n](ev)) for n in names}
-    pairs = keep(user_item(ev, features, variant, neighbours, similar))
+    pairs = keep(user_item(ev, features, variant, neighbours, similar, limits))
     full = keep(dataset(ev, pairs, features, ground_truth, vectors, variant))
     return full, sampled_dataset(full)
 
