@@ -11,6 +11,7 @@ from sessionrank.operators.filters import with_scalars
 from sessionrank.operators.order import EVENT_TIES, in_order, with_micros
 from sessionrank.operators.ranks import any_rank, keep_any_rank, percent
 from sessionrank.schema import ACTIONS, action_weight
+from sessionrank.settings import stage
 
 CVRS = ("cvr_click_to_cart_order", "cvr_cart_to_order")
 COUNTS = tuple(f"count_{a}" for a in ACTIONS)
@@ -18,7 +19,11 @@ ALL_COUNTS = (*COUNTS, "count_all", "weighted_count_all")
 
 
 def pair_cvr(counts: DataFrame) -> DataFrame:
-    """Add smoothed conversion rates of a pair; the averages run over all pairs."""
+    """Add smoothed conversion rates of a pair; the averages run over all pairs.
+
+    The counts are read for the averages and for the rates, so they are written once.
+    """
+    counts = stage(counts)
     means = counts.agg(F.avg("count_clicks").alias("_mean_clicks"), F.avg("count_carts").alias("_mean_carts"))
     clicks, carts, orders = (F.col(c) for c in COUNTS)
     return (

@@ -29,7 +29,7 @@ def sentences(ev: DataFrame, max_len: int = MAX_SENTENCE, min_len: int = 2) -> D
         "session",
         "left_semi",
     )
-    placed = in_order(with_micros(dedup_consecutive(sized)), ["session"], "us", EVENT_TIES, want={"_pos": "pos"})
+    placed = in_order(with_micros(dedup_consecutive(sized)), ["session"], "us", EVENT_TIES, want={"_pos": "pos"}, census=with_micros(ev))
     part = F.floor((F.col("_pos") - 1) / F.lit(float(max_len))).cast("long")
     return (
         placed.groupBy("session", part.alias("part"))

@@ -12,6 +12,7 @@ from sessionrank.operators.filters import with_scalars
 from sessionrank.operators.order import in_order, with_micros
 from sessionrank.operators.ranks import histogram_before, position_by_count
 from sessionrank.schema import ACTIONS, MISSING_POSITION, is_action
+from sessionrank.settings import stage
 
 # Short action codes used in column names of the ratio features.
 CODES = {"clicks": "CL", "carts": "CA", "orders": "OR"}
@@ -26,6 +27,14 @@ def _per_session_item(ev: DataFrame) -> DataFrame:
     )
 
 
+def _per_item(folded: DataFrame, *aggs: Column) -> DataFrame:
+    """One row per item, written once: averages, ranks and rates read it again and again.
+
+    It is as long as the catalogue, while computing it takes a pass over the log.
+    """
+    return stage(folded.groupBy("aid").agg(*aggs))
+
+
 def item_features(ev: DataFrame) -> DataFrame:
     """Sessions and events per action, first and last time, and smoothed conversion rates.
 
@@ -39,7 +48,8 @@ def item_features(ev: DataFrame) -> DataFrame:
     def positive(c: Column) -> Column:
         return F.when(c > 0, c).otherwise(none)
 
-    counts = folded.groupBy("aid").agg(
+    counts = _per_item(
+        folded,
         *[positive(F.count_if(F.col(a) > 0)).alias(f"n_session_{a}") for a in ACTIONS],
         *[positive(F.sum(a)).alias(f"action_count_{a}") for a in ACTIONS],
         F.min("lo").alias("action_min_ts"),
@@ -73,11 +83,7 @@ def popular(features: DataFrame, type: str, k: int = 20) -> DataFrame:
 
 def _one_log_ratios(ev: DataFrame, suffix: str) -> DataFrame:
     """Conversion ratios, share of the mean and ranks on distinct (session, item, action)."""
-    nums = (
-        _per_session_item(ev)
-        .groupBy("aid")
-        .agg(*[F.count_if(F.col(a) > 0).alias(f"num_{a}") for a in ACTIONS])
-    )
+    nums = _per_item(_per_session_item(ev), *[F.count_if(F.col(a) > 0).alias(f"num_{a}") for a in ACTIONS])
     means = nums.agg(*[F.avg(f"num_{a}").alias(f"_mean_{a}") for a in ACTIONS])
     out = with_scalars(nums, means)
     cols = {}
@@ -122,7 +128,7 @@ def item_ratios(ev_train: DataFrame, ev_test: DataFrame) -> DataFrame:
 
 def item_positions(ev: DataFrame, suffix: str, default: int = MISSING_POSITION) -> DataFrame:
     """0-based position of the item by number of events, per action."""
-    counts = ev.groupBy("type", "aid").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(ev.groupBy("type", "aid").agg(F.count(F.lit(1)).alias("n")))
     placed = position_by_count(counts, ["type"], "n", "place")
     return placed.groupBy("aid").agg(
         *[
@@ -196,7 +202,7 @@ def item_type_transitions(ev: DataFrame) -> DataFrame:
     steps = in_order(
         with_micros(ev), ["session", "aid"], "us", ["type"], want={"_prev": "prev"}, carry=["type"]
     )
-    counts = steps.groupBy("aid", F.col("_prev.type").alias("before"), "type").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(steps.groupBy("aid", F.col("_prev.type").alias("before"), "type").agg(F.count(F.lit(1)).alias("n")))
     mean = counts.agg(F.avg("n").alias("_mean"))
     total = F.sum("n").over(Window.partitionBy("aid", "before"))
     prob = with_scalars(counts.withColumn("_total", total), mean).withColumn(

@@ -19,7 +19,7 @@ LEVELS = 2
 STRETCH = [f"_stretch{i}" for i in range(LEVELS)]
 
 
-def cut_hot(df: DataFrame, keys: Sequence[str], lead: str) -> tuple[DataFrame, DataFrame]:
+def cut_hot(df: DataFrame, keys: Sequence[str], lead: str, census: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Add stretch numbers that follow the order of the numeric column ``lead``.
 
     Returns all rows, and the rows of hot keys alone. A key of n rows gets about
@@ -27,6 +27,9 @@ def cut_hot(df: DataFrame, keys: Sequence[str], lead: str) -> tuple[DataFrame, D
     cut once more. Each list of hot keys has at most rows / hot_rows entries, which bounds
     what is broadcast. Hot rows come from an inner join with that list, so where no key is
     hot the run-time planner drops their branch before it reads anything.
+
+    Rows are counted in ``census``, a table that holds at least the keys and ``lead`` of all
+    rows of ``df``: the log itself, where ``df`` is expensive to derive from it.
     """
     limit = hot_rows(df.sparkSession)
 
@@ -42,12 +45,15 @@ def cut_hot(df: DataFrame, keys: Sequence[str], lead: str) -> tuple[DataFrame, D
         return counts.where((F.col("_n") > limit) & (F.col("_hi") > F.col("_lo"))).select(*on, "_lo", span, parts)
 
     on = list(keys)
-    hot = too_large(df, on)
-    every, only = number(df, hot, on, "left", STRETCH[0]), number(df, hot, on, "inner", STRETCH[0])
+    counted = df if census is None else census.select(*keys, lead)
+    hot = too_large(counted, on)
+    every, only, counted = (
+        number(rows, hot, on, how, STRETCH[0]) for rows, how in ((df, "left"), (df, "inner"), (counted, "inner"))
+    )
     for name in STRETCH[1:]:
         on = [*keys, *STRETCH[: STRETCH.index(name)]]
-        hot = too_large(only, on)
-        every, only = number(every, hot, on, "left", name), number(only, hot, on, "left", name)
+        hot = too_large(counted, on)
+        every, only, counted = (number(rows, hot, on, "left", name) for rows in (every, only, counted))
     return every, only
 
 
@@ -59,6 +65,7 @@ def in_order(
     want: dict[str, str],
     carry: Sequence[str] = (),
     flag: str | None = None,
+    census: DataFrame | None = None,
 ) -> DataFrame:
     """Add ordered-group columns.
 
@@ -67,10 +74,10 @@ def in_order(
     end), ``rank`` and ``dense`` (by ``lead`` only), ``rdense`` (dense rank from the end),
     ``size``, ``last`` (greatest ``lead``), ``first`` (least ``lead``), ``prev`` and ``next``
     (struct of the ``carry`` columns of the neighbouring row), ``running`` (sum of ``flag``
-    up to and including the row).
+    up to and including the row). ``census`` is explained at ``cut_hot``.
     """
     kinds = set(want.values())
-    base, hot = cut_hot(df, keys, lead)
+    base, hot = cut_hot(df, keys, lead, census)
     part = [*keys, *STRETCH]
     by_row = Window.partitionBy(*part).orderBy(lead, *ties)
     by_lead = Window.partitionBy(*part).orderBy(lead)

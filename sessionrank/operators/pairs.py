@@ -15,7 +15,7 @@ from sessionrank.functions.times import US
 from sessionrank.operators.filters import of_types
 from sessionrank.operators.order import EVENT_TIES, in_order, with_micros
 from sessionrank.schema import ACTIONS, is_action
-from sessionrank.settings import cell_items
+from sessionrank.settings import cell_items, stage
 
 UNIT_SECONDS = {"SECOND": 1, "HOUR": 3600}
 WIDE_CELLS = 5_000_000
@@ -211,7 +211,11 @@ def transitions(ev: DataFrame) -> DataFrame:
 
 
 def normalise_transitions(tr: DataFrame) -> DataFrame:
-    """Transition counts over the geometric mean of the outgoing totals of both items."""
+    """Transition counts over the geometric mean of the outgoing totals of both items.
+
+    The counts are read three times, so they are written once.
+    """
+    tr = stage(tr)
     out = tr.groupBy("aid_x").agg(F.sum("n").alias("_n"), F.sum("n_sessions").alias("_s"))
     left = out.select("aid_x", F.col("_n").alias("_nx"), F.col("_s").alias("_sx"))
     right = out.select(F.col("aid_x").alias("aid_y"), F.col("_n").alias("_ny"), F.col("_s").alias("_sy"))

@@ -38,9 +38,15 @@ def session_item_features(ev: DataFrame) -> DataFrame:
     return out.withColumn("rn_type_weighted_visit_counts", F.row_number().over(best))
 
 
-def session_item_cvr(counts: DataFrame, items: DataFrame) -> DataFrame:
-    """Smoothed conversion rates of a session's items and the actions they let expect."""
-    means = counts.agg(F.avg("visit_count_clicks").alias("_mc"), F.avg("visit_count_carts").alias("_mk"))
+def session_item_cvr(counts: DataFrame, items: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Smoothed conversion rates of a session's items and the actions they let expect.
+
+    The averages run over all pairs of ``log``, or over ``counts`` itself.
+    """
+    everyone = counts
+    if log is not None:
+        everyone = log.groupBy("session", "aid").agg(*[F.count_if(is_action(a)).alias(f"visit_count_{a}") for a in ACTIONS])
+    means = everyone.agg(F.avg("visit_count_clicks").alias("_mc"), F.avg("visit_count_carts").alias("_mk"))
     clicks, carts, orders = (F.col(f"visit_count_{a}") for a in ACTIONS)
     from_clicks, from_carts = clicks + F.col("_mc"), carts + F.col("_mk")
     rates = {
@@ -63,7 +69,7 @@ def session_item_cvr(counts: DataFrame, items: DataFrame) -> DataFrame:
 def session_item_recency(ev: DataFrame) -> DataFrame:
     """Best place from the end among the session's events of an action, and seconds to its last event."""
     placed = in_order(with_micros(ev), ["session"], "us", EVENT_TIES, want={"_last": "last"})
-    placed = in_order(placed, ["session", "type"], "us", ["aid"], want={"_place": "rpos"})
+    placed = in_order(placed, ["session", "type"], "us", ["aid"], want={"_place": "rpos"}, census=with_micros(ev))
     ago = whole_units(F.col("_last"), F.col("us"))
     return placed.groupBy("session", "aid").agg(
         *[F.min(F.when(is_action(a), F.col("_place"))).alias(f"latest_rank_{a}") for a in ACTIONS],

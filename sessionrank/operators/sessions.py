@@ -58,7 +58,7 @@ def subsessions(ev: DataFrame, gap_s: int = SUBSESSION_GAP_SECONDS) -> DataFrame
     stepped = in_order(timed, ["session"], "sec", EVENT_TIES, want={"_prev": "prev"}, carry=["sec"])
     step = F.col("sec") - F.col("_prev.sec")
     flagged = stepped.withColumn("gap", step).withColumn("_cut", F.coalesce((step > gap_s).cast("long"), F.lit(0))).drop("_prev")
-    numbered = in_order(flagged, ["session"], "sec", EVENT_TIES, want={"sub": "running"}, flag="_cut")
+    numbered = in_order(flagged, ["session"], "sec", EVENT_TIES, want={"sub": "running"}, flag="_cut", census=timed)
     return numbered.withColumn("gap", F.when(F.col("_cut") == 0, F.col("gap"))).drop("_cut")
 
 

@@ -18,7 +18,7 @@ from sessionrank.operators.dataset import (
     session_clock_keys,
     session_has_label,
 )
-from sessionrank.operators.filters import with_labels
+from sessionrank.operators.filters import semi, target_sessions, with_labels
 from sessionrank.operators.items import item_features, item_frame, item_hourly, item_repeat_frame
 from sessionrank.operators.session_items import (
     relative_features,
@@ -95,20 +95,25 @@ def dataset(
     variant: str = "067",
     hours: tuple[int | None, int | None] = (None, None),
 ) -> DataFrame:
-    """Candidate pairs with all features, item ages and labels."""
-    base = pairs.select("session", "aid", "split").distinct().join(session_clock_keys(ev), "session", "left")
-    counts = session_item_features(ev)
+    """Candidate pairs with all features, item ages and labels.
+
+    Session features are computed for the sessions to predict for alone; items and averages
+    use the whole log.
+    """
+    mine = stage(semi(ev, target_sessions(ev), ["session"]))
+    base = pairs.select("session", "aid", "split").distinct().join(session_clock_keys(mine), "session", "left")
+    counts = session_item_features(mine)
     items = item_features(ev)
-    by_pair = [session_item_recency(ev), counts]
+    by_pair = [session_item_recency(mine), counts]
     if variant == "069":
-        by_pair.append(session_item_cvr(counts, items))
+        by_pair.append(session_item_cvr(counts, items, ev))
     by_pair += [features[n] for n in FEATURE_TABLES[variant]]
     if vectors is not None:
         for type in ("carts", "orders", None):
-            by_pair += [last_item_distance(pairs, ev, v, name, type) for name, v in vectors.items.items()]
+            by_pair += [last_item_distance(pairs, mine, v, name, type) for name, v in vectors.items.items()]
         by_pair.append(user_item_dot(pairs, vectors.sessions, vectors.factors))
     tables = [
-        (session_features(ev), ("session",)),
+        (session_features(mine), ("session",)),
         (item_repeat_frame(ev), ("aid",)),
         (items, ("aid",)),
         (item_hourly(ev, *hours), ("aid", "ts_hour")),
