@@ -281,8 +281,8 @@ add(
 LISTED = SCORES + LABELS_SQL + list_sql(0, 20)
 HITS_SQL = """
 hits AS (SELECT session, CASE WHEN list_contains(click_pred, click_label) THEN 1 ELSE 0 END AS ch, CASE WHEN click_label IS NOT NULL THEN 1 ELSE 0 END AS cl,
-         coalesce(len(list_intersect(cart_pred, cart_label)), 0) AS kh, coalesce(least(len(cart_label), 20), 0) AS kl,
-         coalesce(len(list_intersect(order_pred, order_label)), 0) AS oh, coalesce(least(len(order_label), 20), 0) AS ol
+         coalesce(len(list_intersect(cart_pred, cart_label)), 0) AS kh, CASE WHEN cart_label IS NULL THEN 0 ELSE least(len(cart_label), 20) END AS kl,
+         coalesce(len(list_intersect(order_pred, order_label)), 0) AS oh, CASE WHEN order_label IS NULL THEN 0 ELSE least(len(order_label), 20) END AS ol
          FROM lists0 LEFT JOIN truth USING (session)),
 """
 _sums = "sum(ch) AS click_hits, sum(cl) AS click_labels, sum(kh) AS cart_hits, sum(kl) AS cart_labels, sum(oh) AS order_hits, sum(ol) AS order_labels"

@@ -34,7 +34,8 @@ def recall_lists(
     for name in ("cart", "order"):
         label = F.col(f"{name}_label")
         hits = F.coalesce(F.size(F.array_intersect(listed(name), label)), F.lit(0))
-        known = F.coalesce(F.least(F.array_size(label), F.lit(LIST_LENGTH)), F.lit(0))
+        # least() passes over NULL, so a missing list must be told apart first
+        known = F.when(label.isNull(), 0).otherwise(F.least(F.array_size(label), F.lit(LIST_LENGTH)))
         parts[name] = (F.when(label.isNull() | F.col(f"{name}_pred").isNull(), 0).otherwise(hits), known)
     groups = [] if by is None else [by]
     sums = joined.groupBy(*groups).agg(
