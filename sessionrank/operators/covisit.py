@@ -62,7 +62,7 @@ def top_transitions(norm: DataFrame, k: int = 500) -> DataFrame:
     return keep_any_rank(
         norm,
         "aid_x",
-        {"_r1": F.col("norm_transition_count"), "_r2": F.col("norm_transition_user_count")},
+        {"_r1": "norm_transition_count", "_r2": "norm_transition_user_count"},
         k,
         tie="aid_y",
     ).drop("_r1", "_r2")
@@ -101,25 +101,41 @@ class Spread:
     """Sum, mean and sample deviation of ``value * factor`` over events, from folded rows.
 
     A folded row stands for n events with factors of sum s and square sum q, so the event
-    sums are value*s and value**2*q.
+    sums are value*s and value**2*q. Sums are aggregated first (``aggs``); mean and
+    deviation follow from them (``rest``), after ranking, so that sorts move fewer columns.
     """
 
-    def __init__(self, value: str, factor_sum: str, factor_squares: str):
-        v = F.col(value).cast("double")
-        self.total = F.sum(F.col(value) * F.col(factor_sum))
-        self.count = F.sum("n")
-        self.squares = F.sum(v * v * F.col(factor_squares))
-
-    def mean(self) -> Column:
-        return self.total / self.count
-
-    def deviation(self) -> Column:
-        total = self.total.cast("double")
-        full = self.squares * self.count
-        rest = full - total * total
-        # whole-number sums are exact here; for others, below rounding error it is 0
-        safe = F.when(rest > full * 1e-13, rest).otherwise(F.lit(0.0))
-        return F.sqrt(F.try_divide(safe, self.count * (self.count - 1)))
+    def __init__(self, prefix: str, label: str, value: str, factor: str, count: str, stddev: bool):
+        self.names = {fn: f"{fn}_{prefix}_{label}" for fn in ("sum", "avg", "stddev")}
+        self.value, self.factor, self.count, self.stddev = value, factor, count, stddev
+        self.squares = f"_squares_{label}"
+
+    def aggs(self) -> dict[str, Column]:
+        out = {self.names["sum"]: F.sum(F.col(self.value) * F.col(self.factor))}
+        if self.stddev:
+            v = F.col(self.value).cast("double")
+            out[self.squares] = F.sum(v * v * F.col("ww" if self.factor == "w" else self.factor))
+        return out
+
+    def rest(self) -> dict[str, Column]:
+        total, count = F.col(self.names["sum"]).cast("double"), F.col(self.count)
+        out = {self.names["avg"]: total / count}
+        if self.stddev:
+            full = F.col(self.squares) * count
+            rest = full - total * total
+            # whole-number sums are exact here; for others, below rounding error it is 0
+            safe = F.when(rest > full * 1e-13, rest).otherwise(F.lit(0.0))
+            out[self.names["stddev"]] = F.sqrt(F.try_divide(safe, count * (count - 1)))
+        return out
+
+
+def _score_neighbours(found: DataFrame, spreads: list[Spread], more: dict[str, Column], scores: dict, k: int) -> DataFrame:
+    """Aggregate per (session, neighbour), rank, keep, and complete the statistics."""
+    aggs = {name: agg for s in spreads for name, agg in s.aggs().items()} | more
+    scored = found.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
+    kept = keep_any_rank(scored, "session", scores, k)
+    rest = {name: col for s in spreads for name, col in s.rest().items()}
+    return kept.withColumns(rest).drop(*[s.squares for s in spreads])
 
 
 # Float scores are compared in steps of this size, so that the order in which partial sums
@@ -149,36 +165,25 @@ def covisit_features(
     column; ``count_rank_by_events`` ranks by events instead of by summed action weight.
     """
     P = prefix
-    found = expand(history(ev), edges)
-    aggs: dict[str, Column] = {}
+    events = f"covisit_{P}_count"
+    spreads = []
     for c in counts:
-        for label, spread in ((f"type_{c}", Spread(c, "w", "ww")), (c, Spread(c, "n", "n"))):
-            aggs[f"sum_{P}_{label}"] = spread.total
-            aggs[f"avg_{P}_{label}"] = spread.mean()
-            if stddev:
-                aggs[f"stddev_{P}_{label}"] = spread.deviation()
-    for c in CVRS:
-        spread = Spread(c, "n", "n")
-        aggs[f"sum_{P}_{c}"] = spread.total
-        aggs[f"avg_{P}_{c}"] = spread.mean()
-        if stddev:
-            aggs[f"stddev_{P}_{c}"] = spread.deviation()
-    aggs[f"covisit_{P}_type_count"] = F.sum("w")
-    aggs[f"covisit_{P}_count"] = F.sum("n")
-    scored = found.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
+        spreads += [Spread(P, f"type_{c}", c, "w", events, stddev), Spread(P, c, c, "n", events, stddev)]
+    spreads += [Spread(P, c, c, "n", events, stddev) for c in CVRS]
 
     def short(c: str) -> str:
         return c.removeprefix("count_").removesuffix("s") if short_names else c
 
-    scores: dict[str, Column] = {}
+    scores: dict[str, Column | str] = {}
     for c in counts:
-        scores[f"rn_covisit_{P}_type_{short(c)}"] = F.col(f"sum_{P}_type_{c}")
-        scores[f"rn_covisit_{P}_{short(c)}"] = F.col(f"sum_{P}_{c}")
-    scores[f"rn_covisit_{P}_type_aid_count"] = F.col(f"covisit_{P}_type_count")
-    scores[f"rn_covisit_{P}_aid_count"] = F.col(f"covisit_{P}_count" if count_rank_by_events else f"covisit_{P}_type_count")
+        scores[f"rn_covisit_{P}_type_{short(c)}"] = f"sum_{P}_type_{c}"
+        scores[f"rn_covisit_{P}_{short(c)}"] = f"sum_{P}_{c}"
+    scores[f"rn_covisit_{P}_type_aid_count"] = f"covisit_{P}_type_count"
+    scores[f"rn_covisit_{P}_aid_count"] = events if count_rank_by_events else f"covisit_{P}_type_count"
     for c in CVRS:
         scores[f"rn_covisit_{P}_{c}"] = _steady(f"sum_{P}_{c}")
-    return keep_any_rank(scored, "session", scores, k)
+    more = {f"covisit_{P}_type_count": F.sum("w"), events: F.sum("n")}
+    return _score_neighbours(expand(history(ev), edges), spreads, more, scores, k)
 
 
 def weighted_covisit_features(ev: DataFrame, weights: DataFrame, prefix: str, k: int = 1000) -> DataFrame:
@@ -195,9 +200,9 @@ def weighted_covisit_features(ev: DataFrame, weights: DataFrame, prefix: str, k:
         aggs[f"covisit_{P}_{s}count"] = F.sum(events[s])
     scored = found.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
     scores = {
-        f"rn_{P}": F.col(f"sum_{P}_weight"),
+        f"rn_{P}": f"sum_{P}_weight",
         f"rn_time_weight_{P}": _steady(f"sum_{P}_time_weight"),
-        f"rn_type_weight_{P}": F.col(f"sum_{P}_type_weight"),
+        f"rn_type_weight_{P}": f"sum_{P}_type_weight",
         f"rn_type_time_weight_{P}": _steady(f"sum_{P}_type_time_weight"),
     }
     return keep_any_rank(scored, "session", scores, k)
@@ -206,24 +211,19 @@ def weighted_covisit_features(ev: DataFrame, weights: DataFrame, prefix: str, k:
 def bigram_features(ev: DataFrame, norm: DataFrame, prefix: str, k_item: int = 500, k: int = 1000) -> DataFrame:
     """Score the followers of a session's items by normalised transition counts."""
     P = prefix
-    found = expand(history(ev), top_transitions(norm, k_item))
     names = ("norm_transition_count", "norm_transition_user_count")
-    aggs: dict[str, Column] = {}
-    for c in names:
-        for label, spread in ((f"type_weight_{c}", Spread(c, "w", "ww")), (c, Spread(c, "n", "n"))):
-            aggs[f"sum_{P}_{label}"] = spread.total
-            aggs[f"avg_{P}_{label}"] = spread.mean()
-            aggs[f"stddev_{P}_{label}"] = spread.deviation()
-    aggs[f"{P}_type_weight_count"] = F.sum("w")
-    aggs[f"{P}_count"] = F.sum("n")
-    scored = found.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
-    scores = {}
+    events = f"{P}_count"
+    spreads = []
+    scores: dict[str, Column | str] = {}
     for c in names:
+        spreads += [Spread(P, f"type_weight_{c}", c, "w", events, True), Spread(P, c, c, "n", events, True)]
         scores[f"rn_{P}_type_weight_{c}"] = _steady(f"sum_{P}_type_weight_{c}")
         scores[f"rn_{P}_{c}"] = _steady(f"sum_{P}_{c}")
-    scores[f"rn_{P}_type_weight_aid_count"] = F.col(f"{P}_type_weight_count")
-    scores[f"rn_{P}_aid_count"] = F.col(f"{P}_count")
-    return keep_any_rank(scored, "session", scores, k)
+    scores[f"rn_{P}_type_weight_aid_count"] = f"{P}_type_weight_count"
+    scores[f"rn_{P}_aid_count"] = events
+    more = {f"{P}_type_weight_count": F.sum("w"), events: F.sum("n")}
+    found = expand(history(ev), top_transitions(norm, k_item))
+    return _score_neighbours(found, spreads, more, scores, k)
 
 
 def candidates_of(features: DataFrame, k: int) -> DataFrame:

@@ -20,17 +20,20 @@ def rank_in(keys: Sequence[str], order: Sequence[Column], fn: str = "row_number"
     return FUNCTIONS[fn]().over(Window.partitionBy(*keys).orderBy(*order))
 
 
-def row_ranks(df: DataFrame, key: str, scores: dict[str, Column], tie: str = "aid") -> DataFrame:
+def row_ranks(df: DataFrame, key: str, scores: dict[str, Column | str], tie: str = "aid") -> DataFrame:
     """One row number per score, greatest first, equal scores by ``tie``.
 
-    Scores become columns first: a sort evaluates its expressions at every comparison.
+    A score is the name of a column or an expression. Expressions become columns first: a
+    sort evaluates its expressions at every comparison.
     """
-    keys = {f"_score{i}": score for i, score in enumerate(scores.values())}
+    made = {f"_score{i}": s for i, s in enumerate(scores.values()) if not isinstance(s, str)}
+    names = [s if isinstance(s, str) else f"_score{i}" for i, s in enumerate(scores.values())]
     new = {
-        name: F.row_number().over(Window.partitionBy(key).orderBy(F.col(k).desc_nulls_last(), F.col(tie)))
-        for name, k in zip(scores, keys)
+        rank: F.row_number().over(Window.partitionBy(key).orderBy(F.col(name).desc_nulls_last(), F.col(tie)))
+        for rank, name in zip(scores, names)
     }
-    return df.withColumns(keys).withColumns(new).drop(*keys)
+    rows = df.withColumns(made) if made else df
+    return rows.withColumns(new).drop(*made)
 
 
 def any_rank(names: Sequence[str], k: int) -> Column:
@@ -38,7 +41,7 @@ def any_rank(names: Sequence[str], k: int) -> Column:
     return F.least(*[F.col(n) for n in names]) <= k if len(names) > 1 else F.col(names[0]) <= k
 
 
-def keep_any_rank(df: DataFrame, key: str, scores: dict[str, Column], k: int, tie: str = "aid") -> DataFrame:
+def keep_any_rank(df: DataFrame, key: str, scores: dict[str, Column | str], k: int, tie: str = "aid") -> DataFrame:
     """Add the ranks and keep rows that are among the first ``k`` of at least one."""
     return row_ranks(df, key, scores, tie).where(any_rank(list(scores), k))
 
