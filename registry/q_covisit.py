@@ -158,6 +158,16 @@ add(
     SMALL_SQL + time_pairs(25 * HOUR_US) + "out AS (SELECT * FROM met)",
     **TYPED,
 )
+add(
+    "pairs_time_last_times",
+    lambda s, d: p.pairs_time(big(s, d), 24, "HOUR", False, keep_type=True, last_n=10),
+    BIG_SQL
+    + time_pairs(25 * HOUR_US).replace(
+        "FROM log", "FROM (SELECT * FROM log QUALIFY dense_rank() OVER (PARTITION BY session ORDER BY us DESC) <= 10)"
+    )
+    + "out AS (SELECT * FROM met)",
+    **TYPED,
+)
 add(
     "pairs_window",
     lambda s, d: p.pairs_window(big(s, d), 2, "row_number"),

@@ -54,10 +54,13 @@ def pair_flags(
     """
     reach = reach_micros(max_gap, unit, strict)
     events = ev if types is None else of_types(ev, types)
-    if last_n is not None:
-        events = last_times(events, last_n)
-    timed = with_micros(events).withColumn("cell", F.col("us") - F.pmod(F.col("us"), F.lit(reach)))
-    wide = F.broadcast(_wide_cells(timed, cell_items(ev.sparkSession)))
+
+    def in_cells(rows: DataFrame) -> DataFrame:
+        return with_micros(rows).withColumn("cell", F.col("us") - F.pmod(F.col("us"), F.lit(reach)))
+
+    # counted before the cut to the last times: an upper bound is enough here
+    wide = F.broadcast(_wide_cells(in_cells(events), cell_items(ev.sparkSession)))
+    timed = in_cells(events if last_n is None else stage(last_times(events, last_n)))
 
     def ends(fn, head: str) -> list[Column]:
         return [fn(F.when(is_action(a), F.col("us"))).alias(f"{head}_{a}") for a in ACTIONS]

@@ -8,6 +8,7 @@ from sessionrank.functions.numbers import ratio
 from sessionrank.functions.times import US, epoch_dow, hour_of_day, micros, seconds, whole_units
 from sessionrank.operators.order import EVENT_TIES, in_order
 from sessionrank.schema import ACTIONS, SUBSESSION_GAP_SECONDS, is_action
+from sessionrank.settings import stage
 
 
 def session_features(ev: DataFrame) -> DataFrame:
@@ -65,10 +66,10 @@ def subsessions(ev: DataFrame, gap_s: int = SUBSESSION_GAP_SECONDS) -> DataFrame
 def subsession_features(ev: DataFrame, gap_s: int = SUBSESSION_GAP_SECONDS) -> DataFrame:
     """Number and mean size of the stretches of a session, and the pauses inside them.
 
-    The median is exact: pauses are whole seconds up to ``gap_s``, so a group holds at most
+    Both parts read the numbered events, so these are written once. The median is exact: pauses are whole seconds up to ``gap_s``, so a group holds at most
     that many different values.
     """
-    rows = subsessions(ev, gap_s)
+    rows = stage(subsessions(ev, gap_s).select("session", "aid", "type", "sec", "sub", "gap"))
     folded = rows.groupBy("session", "sub", "aid").agg(
         F.min("sec").alias("lo"), F.max("sec").alias("hi"), *[F.count_if(is_action(a)).alias(a) for a in ACTIONS]
     )

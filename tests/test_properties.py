@@ -1,7 +1,10 @@
 """Properties that hold on any log, and of the learned operators."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from registry.catalogue import QUERIES
+from registry.check import compare
 from registry.logs import big, labels, small
 from registry.q_lists import pred_lists
 from registry.q_vectors import FEATURES, train_set
@@ -43,6 +46,16 @@ def test_result_does_not_depend_on_partitions_or_order(spark, sf_dir):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("name", ["src_events", "fn_time", "fn_hour_spine", "item_hour_counts", "sess_hours", "ds_labels"])
+def test_time_zone_does_not_matter(spark, duck, sf_dir, name):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        message, _, _ = compare(spark, duck, QUERIES[name], sf_dir)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert message is None, message
+
+
 def test_recall_grows_with_k(spark, sf_dir):
     truth, pred = wide_ground_truth(labels(spark, sf_dir)), pred_lists(spark, sf_dir)
     values = [ev.recall_lists(pred, truth, k).first()["cart_recall"] for k in (1, 5, 20)]
