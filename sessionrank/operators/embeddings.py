@@ -15,6 +15,7 @@ from sessionrank.settings import stage
 
 MAX_SENTENCE = 1000
 STEPS_PER_STAGE = 5
+SLOTS = 65_536
 
 
 def sentences(ev: DataFrame, max_len: int = MAX_SENTENCE, min_len: int = 2) -> DataFrame:
@@ -116,18 +117,43 @@ def random_walks(edge_list: DataFrame, length: int = 20, per_node: int = 10, see
     return walks.select("start", "walk", "items")
 
 
+def dense_ids(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Number the distinct values of a column from 0, without a global sort.
+
+    Values fall into slots by hash; each slot is numbered on its own and shifted by the
+    sizes of the slots before it.
+    """
+    ids = stage(df.select(col).distinct()).withColumn("_slot", F.pmod(F.xxhash64(col), F.lit(SLOTS)))
+    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    # at most SLOTS rows in this window
+    sizes = ids.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_slot").orderBy(col))
+    placed = ids.withColumn("_rn", inside).join(F.broadcast(starts), "_slot")
+    return placed.select(col, (F.col("_start") + F.col("_rn") - 1).cast("int").alias(name))
+
+
 def implicit_factors(
     ev: DataFrame, rank: int = 64, reg: float = 0.01, iters: int = 10, seed: int = 0, alpha: float = 1.0
 ) -> tuple[DataFrame, DataFrame]:
     """Session and item factors from distinct (session, item) contacts.
 
-    Sessions without contact and unknown items have no row; ``user_item_dot`` decides what
-    that means. Ids must fit 32-bit integers, as the factorisation needs.
+    The factorisation needs 32-bit ids, so sessions and items are numbered first. Sessions
+    without contact and unknown items have no row; ``user_item_dot`` decides what that means.
     """
-    seen = ev.select("session", "aid").distinct().withColumn("rating", F.lit(1.0))
+    seen = ev.select("session", "aid").distinct()
+    users, items = stage(dense_ids(ev, "session", "_u")), stage(dense_ids(ev, "aid", "_i"))
+    contacts = seen.join(users, "session").join(items, "aid").select("_u", "_i", F.lit(1.0).alias("_r"))
     model = ALS(
-        userCol="session", itemCol="aid", ratingCol="rating", implicitPrefs=True, rank=rank, regParam=reg, maxIter=iters, seed=seed, alpha=alpha
-    ).fit(seen)
-    users = model.userFactors.select(F.col("id").cast("long").alias("session"), F.col("features").cast("array<double>").alias("session_vector"))
-    items = model.itemFactors.select(F.col("id").cast("long").alias("aid"), F.col("features").cast("array<double>").alias("aid_vector"))
-    return users, items
+        userCol="_u", itemCol="_i", ratingCol="_r", implicitPrefs=True, rank=rank, regParam=reg, maxIter=iters, seed=seed, alpha=alpha
+    ).fit(stage(contacts))
+
+    def named(factors: DataFrame, ids: DataFrame, number: str, key: str, vector: str) -> DataFrame:
+        return factors.withColumnRenamed("id", number).join(ids, number).select(
+            key, F.col("features").cast("array<double>").alias(vector)
+        )
+
+    return (
+        named(model.userFactors, users, "_u", "session", "session_vector"),
+        named(model.itemFactors, items, "_i", "aid", "aid_vector"),
+    )

@@ -68,6 +68,16 @@ def test_word2vec_vectors_are_unit(spark, sf_dir):
     assert abs(norms[0] - 1) < 1e-6 and abs(norms[1] - 1) < 1e-6
 
 
+def test_factors_of_ids_beyond_32_bits(spark, sf_dir):
+    log = small(spark, sf_dir).withColumn("session", F.col("session") + 10**12)
+    numbers = em.dense_ids(log, "session", "n").agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()
+    sessions = log.select("session").distinct().count()
+    assert tuple(numbers) == (0, sessions - 1, sessions)
+    users, items = em.implicit_factors(log, rank=4, iters=2)
+    assert users.count() == sessions and items.count() == log.select("aid").distinct().count()
+    assert users.join(log, "session", "left_anti").isEmpty()
+
+
 def test_walks_follow_edges(spark, sf_dir):
     edges = em.edges(small(spark, sf_dir))
     walks = em.random_walks(edges, 5, 2, 3)
