@@ -9,6 +9,7 @@ from sessionrank.llm.components import components, forest
 
 COSINE, TABLES, BITS, SEED = 0.98, 28, 14, 11
 CELL_ROWS = 2_048
+SHELF_ROWS = 4_096
 FEW_BUCKETS = 100_000
 
 
@@ -117,28 +118,44 @@ def near_vectors(
         .select(*bucket, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "copies", "vec", "sig")
     )
     kind = np.float64 if double else np.float32
-
-    def compared(table: pa.Table) -> pa.Table:
-        t, dim, lo, hi = (table.column(c)[0].as_py() for c in ("t", "dim", "lo", "hi"))
-        n = table.num_rows
-        node, copies, block = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
-        if n > 1:
-            x = _unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), kind).reshape(n, dim))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int32).reshape(n, tables)
+    cell = [*bucket, "lo", "hi"]
+    # most cells hold a vector or two; a task call takes a shelf of them
+    shelves = max(1, -(-folded.count() * tables // SHELF_ROWS))
+    shelved = celled.withColumn("shelf", F.pmod(F.xxhash64(*cell), F.lit(shelves)))
+
+    def compared(shelf: pa.Table) -> pa.Table:
+        """All cells of a shelf."""
+        label = shelf.column("label").combine_chunks().dictionary_encode()
+        label = (label.chunk(0) if isinstance(label, pa.ChunkedArray) else label).indices
+        cols = {c: shelf.column(c).to_numpy() for c in ("t", "dim", "key", "lo", "hi", "block", "node", "copies")}
+        keys = [np.asarray(label), *(cols[c] for c in ("t", "key", "lo", "hi", "dim"))]
+        order = np.lexsort(keys)
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([np.diff(k[order]) != 0 for k in keys], axis=0)
+        cuts = np.append(np.flatnonzero(new), len(order))
+        several = np.flatnonzero(np.diff(cuts) > 1)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        vec, sig = (shelf.column(c).to_pylist() for c in ("vec", "sig")) if len(several) else ([], [])
+        for c in several.tolist():
+            rows = order[cuts[c] : cuts[c + 1]]
+            t, dim, lo, hi = (int(cols[k][rows[0]]) for k in ("t", "dim", "lo", "hi"))
+            node, copies, n = cols["node"][rows], cols["copies"][rows], len(rows)
+            x = _unit(np.frombuffer(b"".join([vec[r] for r in rows.tolist()]), kind).reshape(n, dim))
+            own = np.frombuffer(b"".join([sig[r] for r in rows.tolist()]), np.int32).reshape(n, tables)
             if lo == hi:
-                i, j = _linked(x, x, sig, sig, t, cosine, True)
+                i, j = _linked(x, x, own, own, t, cosine, True)
             else:
-                a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-                i, j = _linked(x[a], x[b], sig[a], sig[b], t, cosine, False)
+                a, b = np.flatnonzero(cols["block"][rows] == lo), np.flatnonzero(cols["block"][rows] == hi)
+                i, j = _linked(x[a], x[b], own[a], own[b], t, cosine, False)
                 i, j = a[i], b[j]
-        else:
-            i = j = np.zeros(0, np.int64)
-        links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-        root = forest(i, j, n)
-        at = np.flatnonzero(links)
-        return pa.table({"a": node[at], "b": node[root[at]], "links": links[at].astype(np.int64)})
-
-    found = stage(celled.groupBy(*bucket, "lo", "hi").applyInArrow(compared, "a long, b long, links long"))
+            if len(i):
+                links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+                at = np.flatnonzero(links)
+                out.append((node[at], node[forest(i, j, n)[at]], links[at].astype(np.int64)))
+        a, b, links = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"a": a, "b": b, "links": links})
+
+    found = stage(shelved.groupBy("shelf").applyInArrow(compared, "a long, b long, links long"))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.select("a", "b")).withColumnRenamed("node", "a")
     owned = stage(
