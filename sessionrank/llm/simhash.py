@@ -200,12 +200,12 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int = PARTS, leaf_
 
 
 def groups(prints: DataFrame, **options) -> DataFrame:
-    """(fp, component_id) from (fp, doc_id): the smallest doc_id of all fingerprints that links reach."""
+    """(fp, root, component_id) from (fp, doc_id): the smallest doc_id of all fingerprints that links reach."""
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(stage(links(distinct, **options)))
     owned = stage(distinct.join(roots, F.expr("fp = node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = stage(owned.groupBy("root").agg(F.min("first").alias("component_id")))
-    return owned.join(least, "root").select("fp", "component_id")
+    return owned.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, **options) -> DataFrame:
@@ -225,14 +225,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, *
 def one_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, **options) -> DataFrame:
     """One document of each group, with the columns of ``docs``: the one with the smallest doc_id.
 
-    Of rows that share the smallest doc_id (or have none), the first in the table's order stays.
+    An id that occurs once decides on its row. Rows whose id occurs repeatedly, and rows without
+    one, which stay only for a group without ids, are told apart by their fingerprint; of
+    several that could stay for a group it is the first in order of text and other columns.
     """
-    row = fresh(docs, "row_no")
-    ids = stage(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", fingerprint(shingle, seed)("text").alias("fp"))
-    )
-    found = stage(groups(ids.select("doc_id", "fp"), **options))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    keep = ids.join(found, "fp").groupBy(F.coalesce("component_id", "fp").alias("g"), F.col("component_id").isNull().alias("x")).agg(best)
-    keep = stage(keep.select(F.col("best.row").alias("kept_row")))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(keep, F.expr(f"`{row}` = kept_row"), "left_semi").drop(row)
+    hashed = fingerprint(shingle, seed)
+    prints = stage(docs.select("doc_id", hashed("text").alias("fp")))
+    found = stage(groups(prints, **options))
+    many = stage(prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("repeated")))
+    best = found.select("root", "component_id").distinct()
+    kept = fresh(docs, "kept_id")
+    once = stage(best.join(many, F.expr("component_id <=> repeated"), "left_anti").select(F.col("component_id").alias(kept)))
+    single = docs.join(once, F.col("doc_id") == F.col(kept), "left_semi")
+    if not many.limit(1).count():
+        return single
+    row, fp = fresh(docs, "row"), fresh(docs, "fp")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), "doc_id", "text")
+    doubtful = packed.join(many, F.expr("doc_id <=> repeated"), "left_semi").withColumn(fp, hashed("text"))
+    # an id may occur in other groups too; there another id stays
+    rivals = doubtful.join(found.withColumnRenamed("fp", "own"), F.expr(f"`{fp}` = own and doc_id <=> component_id"))
+    first = rivals.groupBy("root").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("kept"))
+    return single.union(first.select("kept.*"))
