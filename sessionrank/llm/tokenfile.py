@@ -2,11 +2,14 @@
 
 import sys
 import types
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
@@ -24,27 +27,44 @@ SCHEMA = (
 )
 
 
+#: Pre-tokens of lower-case text without apostrophes, as the tokenizer's own pattern has them.
+PRE_TOKEN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_REST = [b for b in range(256) if b not in _KEPT]
+#: Bytes as the characters of a byte-level vocabulary: printable ones stand for themselves.
+BYTE_LEVEL = {b: b for b in _KEPT} | {b: 256 + i for i, b in enumerate(_REST)}
+
+
 class Encoder:
     """Ids of whole texts, word by word: the tokenizer never joins what ASCII white space parts.
 
     A process keeps the ids of the words that it has met, at most ``CACHE_WORDS`` of them.
-    ASCII capitals are folded as the tokenizer does it; a final stop or comma after an ASCII
-    letter is a pre-token of its own.
+    ASCII capitals are folded as the tokenizer does it. Plain Latin words are parted into
+    their pre-tokens, which go to the tokenizer's model; any other word goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         kept = sys.modules.setdefault("_ids_of_words", types.ModuleType("_ids_of_words"))
         self.ids: dict[bytes, bytes] = kept.__dict__.setdefault(path, {})
 
     def _encode(self, word: bytes) -> bytes:
         if word.isalpha() and word.islower():  # ASCII letters are one pre-token
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode())]
-        elif len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122 and b"<|" not in word:
-            return self.of(word[:-1]) + self.of(word[-1:])
-        else:
-            ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, np.int32).tobytes()
+            return array("i", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        head = word[:-1]
+        if word[-1] in b".," and head.isalpha() and head.islower():
+            return self.of(head) + self.of(word[-1:])
+        text = word.decode("utf-8", "replace")
+        plain = max(text) < "\u0250" and "'" not in text and "<|" not in text and text == text.lower()
+        if not plain or not unicodedata.is_normalized("NFC", text):
+            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = PRE_TOKEN.findall(text)
+        if len(parts) > 1:
+            return b"".join([self.of(x.encode()) for x in parts])
+        ids = [t.id for x in parts for t in self.model.tokenize(x.encode().decode("latin-1").translate(BYTE_LEVEL))]
+        return array("i", ids).tobytes()
 
     def of(self, word: bytes) -> bytes:
         if (got := self.ids.get(word)) is None:
@@ -55,11 +75,9 @@ class Encoder:
         words = (text if b"<|" in text else text.lower()).split()
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
-        try:
-            flat = b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
-            flat = b"".join(map(self.of, words))
-        return np.frombuffer(flat, np.int32)
+        for w in set(words).difference(self.ids):
+            self.of(w)
+        return np.frombuffer(b"".join(map(self.ids.__getitem__, words)), np.int32)
 
 
 def repair(seq: np.ndarray, last: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, rules: int = RULES):
