@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionrank.functions.vectors import unit
-from sessionrank.schema import EVENTS
-from sessionrank.settings import shared_dir
+from sessionrank.settings import stage
 
 CUT = "2024-01-24"
 
@@ -19,19 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
-
-
-def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived log, written once per application to the shared folder, as logs are kept."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        path = shared_dir(spark)
-        build(spark, sf_dir).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.schema(EVENTS).parquet(_STORED[key])
-
-
 def _instant(ntz):
     """Wall-clock time read as UTC, whatever the session time zone is."""
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ntz))
@@ -42,19 +28,14 @@ def _split():
 
 
 def small_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "small", _small_all)
-
-
-def _small_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return (
         table(spark, sf_dir, "events")
-        .where(kind != "error")
         .select(
             F.col("user_id").alias("session"),
             F.get_json_object("props", "$.k").cast("long").alias("aid"),
             _instant(F.col("ts")).alias("ts"),
-            F.when(kind.isin("click", "view"), "clicks").when(kind == "signup", "carts").when(kind == "purchase", "orders").alias("type"),
+            F.when(kind.isin("click", "view", "error"), "clicks").when(kind == "signup", "carts").when(kind == "purchase", "orders").alias("type"),
         )
         .withColumn("split", _split())
     )
@@ -82,15 +63,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "big", _big)
-
-
-def _big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read several times by most queries, and written for each of them."""
     flag = F.col("l_returnflag")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     at = F.unix_micros(_instant(F.col("o_orderdate"))) + F.col("l_linenumber").cast("long") * 1_000_000
-    return (
+    return stage(
         lines.join(orders, "l_orderkey")
         .select(
             F.col("o_custkey").alias("session"),
@@ -119,9 +97,9 @@ def session_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMALL_ALL_SQL = """
 log_all AS (
   SELECT user_id AS session, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS aid, epoch_us(ts) AS us,
-         CASE event_type WHEN 'click' THEN 'clicks' WHEN 'view' THEN 'clicks' WHEN 'signup' THEN 'carts' WHEN 'purchase' THEN 'orders' END AS type,
+         CASE event_type WHEN 'click' THEN 'clicks' WHEN 'view' THEN 'clicks' WHEN 'error' THEN 'clicks' WHEN 'signup' THEN 'carts' WHEN 'purchase' THEN 'orders' END AS type,
          CASE WHEN user_id % 5 = 0 THEN 'valid' ELSE 'train' END AS split
-  FROM events WHERE event_type <> 'error'
+  FROM events
 ),
 """
 SMALL_SQL = SMALL_ALL_SQL + f"""

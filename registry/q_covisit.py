@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry.core import add
 from registry.logs import BIG_SQL, SMALL_SQL, WEIGHT_SQL, big, small
-from registry.q_sources import MATRIX_FEATURES_SQL, PAIR_WEIGHT_SQL, matrix, own
+from registry.q_sources import MATRIX_FEATURES_SQL, PAIR_WEIGHT_SQL, SECOND_MATRIX_SQL, matrix, own
 from sessionrank.operators import covisit as cv
 from sessionrank.operators import pairs as p
 from sessionrank.operators.candidates import grow_outer
@@ -160,10 +160,10 @@ add(
 )
 add(
     "pairs_time_last_times",
-    lambda s, d: p.pairs_time(big(s, d), 24, "HOUR", False, keep_type=True, last_n=10),
+    lambda s, d: p.pairs_time(big(s, d), 24, "HOUR", False, keep_type=True, last_n=30),
     BIG_SQL
     + time_pairs(25 * HOUR_US).replace(
-        "FROM log", "FROM (SELECT * FROM log QUALIFY dense_rank() OVER (PARTITION BY session ORDER BY us DESC) <= 10)"
+        "FROM log", "FROM (SELECT * FROM log QUALIFY dense_rank() OVER (PARTITION BY session ORDER BY us DESC) <= 30)"
     )
     + "out AS (SELECT * FROM met)",
     **TYPED,
@@ -215,8 +215,8 @@ add(
 )
 add(
     "cov_topk",
-    lambda s, d: cv.top_neighbours(cv.pair_cvr(p.pair_type_counts(day_flags(s, d))), cv.COUNTS, 5),
-    DAY_SQL + CVR_SQL + best_sql(cv.COUNTS, 5) + "out AS (SELECT * FROM edges)",
+    lambda s, d: cv.top_neighbours(cv.pair_cvr(p.pair_type_counts(day_flags(s, d))), cv.COUNTS, 300),
+    DAY_SQL + CVR_SQL + best_sql(cv.COUNTS, 300) + "out AS (SELECT * FROM edges)",
     ints=COUNT_COLS,
     reals=list(cv.CVRS),
 )
@@ -235,20 +235,20 @@ add(
 )
 
 # --- session scores ---------------------------------------------------------------------
-_sql, _cols = features_sql("cs", cv.COUNTS, 10, False, True, False)
+_sql, _cols = features_sql("cs", cv.COUNTS, 1000, False, True, False)
 add(
     "cov_session_agg",
     lambda s, d: cv.covisit_features(
-        small(s, d), cv.top_neighbours(cv.pair_cvr(p.pair_type_counts(day_flags(s, d))), cv.COUNTS, 5), "cs", k=10
+        small(s, d), cv.top_neighbours(cv.pair_cvr(p.pair_type_counts(day_flags(s, d))), cv.COUNTS, 300), "cs", k=1000
     ),
-    DAY_SQL + CVR_SQL + best_sql(cv.COUNTS, 5) + LATEST_SQL + _sql,
+    DAY_SQL + CVR_SQL + best_sql(cv.COUNTS, 300) + LATEST_SQL + _sql,
     **_cols,
 )
-_sql, _cols = weighted_sql("cw", 10)
+_sql, _cols = weighted_sql("cw", 1000)
 add(
     "cov_session_agg_w",
     lambda s, d: cv.weighted_covisit_features(
-        small(s, d), p.pair_weight(p.pair_flags(small(s, d), 24 * 3600, "SECOND", True, ["clicks"])), "cw", k=10
+        small(s, d), p.pair_weight(p.pair_flags(small(s, d), 24 * 3600, "SECOND", True, ["clicks"])), "cw", k=1000
     ),
     SMALL_SQL + PAIR_WEIGHT_SQL + _sql,
     **_cols,
@@ -305,23 +305,24 @@ def bigram_sql(P: str, k_item: int, k: int):
     return sql, dict(ints=["session", "aid", f"{P}_type_weight_count", f"{P}_count", *ranks], reals=reals)
 
 
-_sql, _cols = bigram_sql("bg", 5, 10)
+_sql, _cols = bigram_sql("bg", 500, 1000)
 add(
     "bigram_candidates",
-    lambda s, d: cv.bigram_features(small(s, d), p.normalise_transitions(p.transitions(small(s, d))), "bg", 5, 10),
+    lambda s, d: cv.bigram_features(small(s, d), p.normalise_transitions(p.transitions(small(s, d))), "bg", 500, 1000),
     SMALL_SQL + NORM_SQL + LATEST_SQL + _sql,
     **_cols,
 )
 
-# --- the six tables with their own parameters, candidate rows at small limits ----------
-def table_query(name: str, log, log_sql: str, pairs_sql: str, counts, stddev, totals, k_item=300, k=1000, keep=10):
+# --- the six tables with their own parameters -------------------------------------------
+def table_query(name: str, log, log_sql: str, pairs_sql: str, counts, stddev, totals, k_item=300, k=1000):
+    keep = C.CANDIDATE_LIMITS[name]
     sql, cols = features_sql(name, counts, k, stddev, not totals, totals)
     ranks = [c for c in cols["ints"] if c.startswith("rn_")]
     cut = " OR ".join(f"{r} <= {keep}" for r in ranks)
     sql = sql.replace("out AS (", "feat AS (") + f", out AS (SELECT * FROM feat WHERE {cut})"
     add(
         name,
-        lambda s, d: C.candidates(C.TABLES[name](log(s, d)), name, keep),
+        lambda s, d: C.candidates(C.TABLES[name](log(s, d)), name),
         log_sql + pairs_sql + COUNTS_SQL + CVR_SQL + best_sql(counts, k_item) + LATEST_SQL + sql,
         **cols,
     )
@@ -334,19 +335,19 @@ table_query("covisit_items_window_size5_v4", small, SMALL_SQL, place_pairs("dens
 
 for _name, _types in (("click2click_covisit_1hour", "'clicks'"), ("cart_order2cart_order_covisit_1hour", "'carts', 'orders'")):
     _sql, _cols = weighted_sql(_name, 1000)
-    _cut = " OR ".join(f"{r} <= 10" for r in _cols["ints"] if r.startswith("rn_"))
+    _cut = " OR ".join(f"{r} <= 30" for r in _cols["ints"] if r.startswith("rn_"))
     _weights = "weights AS (SELECT aid_x, aid_y, count(*) AS weight FROM met GROUP BY ALL HAVING count(*) > 1),"
     add(
         _name,
-        lambda s, d, n=_name: C.candidates(C.TABLES[n](big(s, d)), n, 10),
+        lambda s, d, n=_name: C.candidates(C.TABLES[n](big(s, d)), n),
         BIG_SQL + time_pairs(HOUR_US, _types, False) + _weights + _sql.replace("out AS (", "feat AS (") + f", out AS (SELECT * FROM feat WHERE {_cut})",
         **_cols,
     )
 _sql, _cols = bigram_sql("covisit_bigram_v2", 500, 1000)
-_cut = " OR ".join(f"{r} <= 10" for r in _cols["ints"] if r.startswith("rn_"))
+_cut = " OR ".join(f"{r} <= 50" for r in _cols["ints"] if r.startswith("rn_"))
 add(
     "covisit_bigram_v2",
-    lambda s, d: C.candidates(C.covisit_bigram_v2(big(s, d)), "covisit_bigram_v2", 10),
+    lambda s, d: C.candidates(C.covisit_bigram_v2(big(s, d)), "covisit_bigram_v2"),
     BIG_SQL + NORM_SQL + LATEST_SQL + _sql.replace("out AS (", "feat AS (") + f", out AS (SELECT * FROM feat WHERE {_cut})",
     **_cols,
 )
@@ -366,18 +367,32 @@ add(
     """,
     ints=["session", "aid", "n", "m", "rn_n", "rn_m"],
 )
-_fills = "coalesce(m1_num, 0) AS m1_num, " + ", ".join(
-    f"coalesce({c}, -1) AS {c}" for c in ("m1_indmin", "wgt_m1_sum", "wgt_m1_mean", "wgt_rel_m1_sum", "wgt_rel_m1_mean")
+def fills_sql(versions) -> str:
+    one = "coalesce({v}_num, 0) AS {v}_num, " + ", ".join(f"coalesce({c}, -1) AS {c}" for c in ("{v}_indmin", "wgt_{v}_sum", "wgt_{v}_mean", "wgt_rel_{v}_sum", "wgt_rel_{v}_mean"))
+    return ", ".join(one.format(v=v) for v in versions)
+
+
+def counts_sql(versions) -> str:
+    has = " + ".join(f"CASE WHEN {v}_num > 0 THEN 1 ELSE 0 END" for v in versions)
+    return f"{has} AS matrices_num, {' + '.join(f'{v}_num' for v in versions)} AS matrices_numsum, {' + '.join(f'wgt_{v}_mean' for v in versions)} AS matrices_wgt_rel_mean"
+
+
+MATRIX_COLS = dict(
+    ints=[x for v in ("m1", "m2") for x in (f"{v}_num", f"{v}_indmin")] + ["matrices_num", "matrices_numsum"],
+    reals=[f"wgt_{r}{v}_{f}" for v in ("m1", "m2") for r in ("", "rel_") for f in ("sum", "mean")] + ["matrices_wgt_rel_mean"],
 )
 add(
     "mat_counts",
-    lambda s, d: cv.matrix_counts(grow_outer(own(s, d), [cv.matrix_features(own(s, d), matrix(s, d), "m1")]), ["m1"]),
+    lambda s, d: cv.matrix_counts(
+        grow_outer(own(s, d), [cv.matrix_features(own(s, d), matrix(s, d), "m1"), cv.matrix_features(own(s, d), matrix(s, d, ["carts", "orders"]), "m2")]), ["m1", "m2"]
+    ),
     SMALL_SQL
     + MATRIX_FEATURES_SQL
+    + SECOND_MATRIX_SQL
     + f"""
-    grown AS (SELECT session, aid, {_fills} FROM own FULL JOIN mf USING (session, aid)),
-    out AS (SELECT *, CASE WHEN m1_num > 0 THEN 1 ELSE 0 END AS matrices_num, m1_num AS matrices_numsum, wgt_m1_mean AS matrices_wgt_rel_mean FROM grown)
+    grown AS (SELECT session, aid, {fills_sql(["m1", "m2"])} FROM own FULL JOIN mf USING (session, aid) FULL JOIN mf2 USING (session, aid)),
+    out AS (SELECT *, {counts_sql(["m1", "m2"])} FROM grown)
     """,
-    ints=["session", "aid", "m1_num", "m1_indmin", "matrices_num", "matrices_numsum"],
-    reals=["wgt_m1_sum", "wgt_m1_mean", "wgt_rel_m1_sum", "wgt_rel_m1_mean", "matrices_wgt_rel_mean"],
+    ints=["session", "aid", *MATRIX_COLS["ints"]],
+    reals=MATRIX_COLS["reals"],
 )

@@ -30,9 +30,9 @@ add(
     "sess_basic",
     lambda s, d: se.session_features(big(s, d)),
     BIG_SQL
-    + f"""out AS (SELECT session, (max(us) - min(us)) // 1000000 AS search_secnonds, count(*) AS session_size,
+    + f"""out AS (SELECT session, (max(us) - min(us)) // 1000000 AS search_seconds, count(*) AS session_size,
           {per_type('count(DISTINCT aid)', '{one}_aid_session_count')} FROM log GROUP BY session)""",
-    ints=["session", "search_secnonds", "session_size", *[f"{t[:-1]}_aid_session_count" for t in ACTIONS]],
+    ints=["session", "search_seconds", "session_size", *[f"{t[:-1]}_aid_session_count" for t in ACTIONS]],
 )
 add(
     "sess_counts",

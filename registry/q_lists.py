@@ -183,23 +183,35 @@ def ranked_sql(which: int, model: str, k: int) -> str:
 
 add(
     "st_rank_model",
-    lambda s, d: st.rank_scores(scores(s, d), "m0", 5),
-    SCORES + ranked_sql(0, "m0", 5) + "out AS (SELECT *, 'm0' AS model FROM m0)",
+    lambda s, d: st.rank_scores(scores(s, d), "m0", 50),
+    SCORES + ranked_sql(0, "m0", 50) + "out AS (SELECT *, 'm0' AS model FROM m0)",
     ints=["session", "aid", "clicks_rank", "carts_rank", "orders_rank"],
     reals=["pred_clicks", "pred_carts", "pred_orders"],
     texts=["model"],
 )
 
 
-def unpacked_sql(which: int, model: str, k: int) -> str:
-    parts = {t: f"(SELECT session, aid, pred_{t}, row_number() OVER (PARTITION BY session ORDER BY pred_{t} DESC, aid) AS {t}_rank FROM score{which} QUALIFY {t}_rank <= {k})" for t in ("clicks", "carts", "orders")}
-    return f"{model} AS (SELECT * FROM {parts['clicks']} FULL JOIN {parts['carts']} USING (session, aid) FULL JOIN {parts['orders']} USING (session, aid)),"
+add(
+    "st_rank_rows",
+    lambda s, d: st.rank_scores(scores(s, d).drop("pred_carts", "pred_orders"), "all", 50, rank="row_number"),
+    SCORES + "out AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pred_clicks DESC, aid) AS clicks_rank, 'all' AS model FROM score0 QUALIFY clicks_rank <= 50)",
+    ints=["session", "aid", "clicks_rank"],
+    reals=["pred_clicks"],
+    texts=["model"],
+)
+
+
+def unpacked_sql(which: int, model: str, size: int, k: int) -> str:
+    """Lists of ``size`` brought together; a pair stays with all its scores if any list has it among its first ``k``."""
+    parts = {t: f"(SELECT session, aid, pred_{t}, row_number() OVER (PARTITION BY session ORDER BY pred_{t} DESC, aid) AS {t}_rank FROM score{which} QUALIFY {t}_rank <= {size})" for t in ("clicks", "carts", "orders")}
+    return f"""{model} AS (SELECT * FROM {parts['clicks']} FULL JOIN {parts['carts']} USING (session, aid) FULL JOIN {parts['orders']} USING (session, aid)
+                           WHERE clicks_rank <= {k} OR carts_rank <= {k} OR orders_rank <= {k}),"""
 
 
 add(
     "st_unpack_lists",
-    lambda s, d: st.unpack_lists(pred_lists(s, d, 0, 8), "m1", 8),
-    SCORES + unpacked_sql(0, "m1", 8) + "out AS (SELECT *, 'm1' AS model FROM m1)",
+    lambda s, d: st.unpack_lists(pred_lists(s, d, 0, 20), "m1", 8),
+    SCORES + unpacked_sql(0, "m1", 20, 8) + "out AS (SELECT *, 'm1' AS model FROM m1)",
     ints=["session", "aid", "clicks_rank", "carts_rank", "orders_rank"],
     reals=["pred_clicks", "pred_carts", "pred_orders"],
     texts=["model"],
@@ -207,16 +219,16 @@ add(
 
 
 def submission_rows(s, d):
-    sub = submission(s, d, 0, 6)
+    sub = submission(s, d, 0, 50)
     with_scores = sub.withColumn("scores", F.transform(F.split("labels", " "), lambda x, i: (F.lit(1.0) / (i + 1))))
-    return st.unpack_lists(with_scores, "m1", 6)
+    return st.unpack_lists(with_scores, "m1", 50)
 
 
 add(
     "st_unpack_submission",
     submission_rows,
     SCORES
-    + submission_sql(0, 6)
+    + submission_sql(0, 50)
     + """
     rows AS (SELECT split_part(session_type, '_', 1)::BIGINT AS session, split_part(session_type, '_', 2) AS t, aid, rn FROM sub0),
     out AS (SELECT session, aid, max(1 / rn) FILTER (t = 'clicks') AS pred_clicks, max(rn) FILTER (t = 'clicks') AS clicks_rank,
@@ -229,9 +241,9 @@ add(
 
 def stacked(s, d):
     rows = [
-        st.rank_scores(scores(s, d, 0), "m0", 5),
-        st.unpack_lists(pred_lists(s, d, 1, 8), "m1", 8),
-        st.rank_scores(scores(s, d, 2).drop("pred_clicks"), "m2", 5),
+        st.rank_scores(scores(s, d, 0), "m0", 50),
+        st.unpack_lists(pred_lists(s, d, 1, 50), "m1", 50),
+        st.rank_scores(scores(s, d, 2).drop("pred_clicks"), "m2", 50),
     ]
     return st.stack(rows, ["m0", "m1", "m2"])
 
@@ -247,10 +259,10 @@ add(
     SCORES
     + scores_sql(1)
     + scores_sql(2)
-    + ranked_sql(0, "m0", 5)
-    + unpacked_sql(1, "m1", 8)
+    + ranked_sql(0, "m0", 50)
+    + unpacked_sql(1, "m1", 50, 50)
     + """m2 AS (SELECT session, aid, pred_carts, pred_orders, dense_rank() OVER (PARTITION BY session ORDER BY pred_carts DESC) AS carts_rank,
-         dense_rank() OVER (PARTITION BY session ORDER BY pred_orders DESC) AS orders_rank FROM score2 QUALIFY carts_rank <= 5 OR orders_rank <= 5),
+         dense_rank() OVER (PARTITION BY session ORDER BY pred_orders DESC) AS orders_rank FROM score2 QUALIFY carts_rank <= 50 OR orders_rank <= 50),
     base AS (SELECT session, aid FROM m0 UNION SELECT session, aid FROM m1 UNION SELECT session, aid FROM m2),
     """
     + f"out AS (SELECT base.session, base.aid, {_model_cols('m0', _three)}, {_model_cols('m1', _three)}, {_model_cols('m2', _three[1:])} FROM base LEFT JOIN m0 USING (session, aid) LEFT JOIN m1 USING (session, aid) LEFT JOIN m2 USING (session, aid))",
@@ -266,12 +278,12 @@ def one_type(s, d, which, t, k):
 
 add(
     "st_convert",
-    lambda s, d: merge_full([one_type(s, d, 0, "carts", 6), one_type(s, d, 1, "orders", 6)], ["session", "aid"]),
+    lambda s, d: merge_full([one_type(s, d, 0, "carts", 50), one_type(s, d, 1, "orders", 50)], ["session", "aid"]),
     SCORES
     + scores_sql(1)
     + """
-    a AS (SELECT session, aid, pred_carts FROM score0 QUALIFY row_number() OVER (PARTITION BY session ORDER BY pred_carts DESC, aid) <= 6),
-    b AS (SELECT session, aid, pred_orders FROM score1 QUALIFY row_number() OVER (PARTITION BY session ORDER BY pred_orders DESC, aid) <= 6),
+    a AS (SELECT session, aid, pred_carts FROM score0 QUALIFY row_number() OVER (PARTITION BY session ORDER BY pred_carts DESC, aid) <= 50),
+    b AS (SELECT session, aid, pred_orders FROM score1 QUALIFY row_number() OVER (PARTITION BY session ORDER BY pred_orders DESC, aid) <= 50),
     out AS (SELECT * FROM a FULL JOIN b USING (session, aid))""",
     ints=["session", "aid"],
     reals=["pred_carts", "pred_orders"],
@@ -419,14 +431,14 @@ add(
 PAIR_DRAW = "session || '|' || aid"
 add(
     "ds_neg_sample",
-    lambda s, d: ds.sample_negatives(labelled(s, d), GT, 3, 5),
+    lambda s, d: ds.sample_negatives(labelled(s, d), GT, 20, 5),
     SCORES
     + LABELS_SQL
     + FLAGS_SQL
     + f"""
     pos AS (SELECT session, aid, 1 AS hit FROM gt WHERE greatest(clicks_gt, carts_gt, orders_gt) = 1),
     neg AS (SELECT session, aid, 0 AS hit FROM gt WHERE greatest(clicks_gt, carts_gt, orders_gt) = 0
-            QUALIFY row_number() OVER (ORDER BY {DRAW.format(key=PAIR_DRAW, seed=5)}, session, aid) <= 3 * (SELECT count(*) FROM pos)),
+            QUALIFY row_number() OVER (ORDER BY {DRAW.format(key=PAIR_DRAW, seed=5)}, session, aid) <= 20 * (SELECT count(*) FROM pos)),
     out AS (SELECT * FROM pos UNION ALL SELECT * FROM neg)""",
     ints=["session", "aid"],
 )
@@ -470,7 +482,7 @@ def assembled(s, d):
 
 
 SESSION_SQL = """
-sessfeat AS (SELECT session, (max(us) - min(us)) // 1000000 AS search_secnonds, count(*) AS session_size FROM log GROUP BY session),
+sessfeat AS (SELECT session, (max(us) - min(us)) // 1000000 AS search_seconds, count(*) AS session_size FROM log GROUP BY session),
 """
 ASSEMBLE_SQL = SESSION_SQL + REPEAT_SQL + TRANSITION_SQL + ITEM_SQL + HOURLY_SQL + SI_SQL + RECENCY_SQL + AGE_SQL
 add(
@@ -484,7 +496,7 @@ add(
             LEFT JOIN hourly USING (aid, ts_hour) LEFT JOIN si USING (session, aid) LEFT JOIN recency USING (session, aid))""",
     ints=[
         *SI_INTS,
-        "search_secnonds",
+        "search_seconds",
         "session_size",
         "min_repeat_count",
         "max_repeat_count",

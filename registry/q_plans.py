@@ -12,7 +12,10 @@ from registry.q_covisit import (
     HOUR_US,
     LATEST_SQL,
     NORM_SQL,
+    MATRIX_COLS,
     best_sql,
+    counts_sql,
+    fills_sql,
     bigram_sql,
     features_sql,
     place_pairs,
@@ -37,12 +40,13 @@ from registry.q_features import (
     per_type,
 )
 from registry.q_lists import AGES, ASSEMBLE_SQL, DRAW, FLAGS_SQL, LABEL_COLS_SQL, cut, scores, submission, submission_sql, scores_sql
-from registry.q_sources import MATRIX_FEATURES_SQL, matrix
-from registry.q_vectors import item_neighbours
+from registry.q_sources import MATRIX_FEATURES_SQL, SECOND_MATRIX_SQL, matrix
+from registry.q_vectors import FEATURES as MODEL_FEATURES, item_neighbours, train_set
 from sessionrank.operators import candidates as cd
 from sessionrank.operators import covisit as cv
 from sessionrank.operators import dataset as ds
 from sessionrank.operators import items as it
+from sessionrank.operators import learn as ml
 from sessionrank.operators import neighbours as nb
 from sessionrank.plans import ranking as R
 from sessionrank.plans import training_set as T
@@ -50,7 +54,6 @@ from sessionrank.schema import ACTIONS
 from sessionrank.settings import stage
 from sessionrank.sources.labels import wide_ground_truth
 
-LIMIT = 10
 WEIGHTS = "weights AS (SELECT aid_x, aid_y, count(*) AS weight FROM met GROUP BY ALL HAVING count(*) > 1),"
 
 
@@ -87,17 +90,16 @@ def nested(name: str, alias: str) -> str:
 
 def candidate_rows(name: str) -> str:
     ranks = [c for c in FEATURES[name][1]["ints"] if c.startswith("rn_")]
-    return f"SELECT session, aid FROM f_{name} WHERE " + " OR ".join(f"{r} <= {LIMIT}" for r in ranks)
+    return f"SELECT session, aid FROM f_{name} WHERE " + " OR ".join(f"{r} <= {T.C.CANDIDATE_LIMITS[name]}" for r in ranks)
 
 
 SIMILAR_SQL = """
-known AS (SELECT * FROM vec WHERE aid IN (SELECT aid FROM log)),
-ksim AS (SELECT q.aid AS start, i.aid, round(list_dot_product(q.vector, i.vector), 12) AS similarity FROM known q, known i),
-knear AS (SELECT * FROM ksim QUALIFY row_number() OVER (PARTITION BY start ORDER BY similarity DESC, aid) <= 20),
+ksim AS (SELECT q.aid AS start, i.aid, round(list_dot_product(q.vector, i.vector), 12) AS similarity FROM vec q, vec i),
+knear AS (SELECT * FROM ksim QUALIFY row_number() OVER (PARTITION BY start ORDER BY similarity DESC, aid) <= 50),
 finals AS (SELECT session, aid AS start FROM log QUALIFY row_number() OVER (PARTITION BY session, type ORDER BY us DESC, aid DESC) = 1),
-alike AS (SELECT DISTINCT session, knear.aid FROM finals JOIN knear USING (start) WHERE knear.aid <> start AND similarity >= 0.3),
+alike AS (SELECT DISTINCT session, knear.aid FROM finals JOIN knear USING (start) WHERE knear.aid <> start AND similarity >= 0.85),
 usim AS (SELECT session, aid, round(list_dot_product(list_transform(session_vector, lambda x: x / sqrt(list_dot_product(session_vector, session_vector))), vector), 12) AS similarity FROM svec, vec),
-unear AS (SELECT session, aid FROM usim QUALIFY row_number() OVER (PARTITION BY session ORDER BY similarity DESC, aid) <= 5),
+unear AS (SELECT session, aid FROM usim QUALIFY row_number() OVER (PARTITION BY session ORDER BY similarity DESC, aid) <= 50),
 """
 
 
@@ -121,16 +123,15 @@ def extra_sources(s, d, variant):
     if variant != "067":
         return {}
     return {
-        "neighbours": nb.knn(session_vectors(s, d), item_vectors(s, d), 5, key="session", query_vec="session_vector"),
-        "similar": cd.neighbour_candidates(small(s, d), item_neighbours(s, d), 0.3),
+        "neighbours": nb.knn(session_vectors(s, d), item_vectors(s, d), 50, key="session", query_vec="session_vector"),
+        "similar": cd.neighbour_candidates(small(s, d), item_neighbours(s, d), 0.85),
     }
 
 
 def user_item(s, d, variant):
     log = small(s, d)
     features = {n: T.C.TABLES[n](log) for n in T.CANDIDATE_SOURCES}
-    limits = dict.fromkeys(T.CANDIDATE_SOURCES, LIMIT)
-    return T.user_item(log, features, variant, limits=limits, **extra_sources(s, d, variant))
+    return T.user_item(log, features, variant, **extra_sources(s, d, variant))
 
 
 for _v in ("067", "069"):
@@ -150,7 +151,6 @@ def built(s, d, variant):
         wide_ground_truth(labels(s, d)),
         vectors,
         variant,
-        limits=dict.fromkeys(T.CANDIDATE_SOURCES, LIMIT),
         **extra_sources(s, d, variant),
     )
 
@@ -192,7 +192,7 @@ def dataset_sql(variant: str):
             LEFT JOIN rep USING (aid) LEFT JOIN trans USING (aid) LEFT JOIN item USING (aid) LEFT JOIN hourly USING (aid, ts_hour)
             LEFT JOIN recency USING (session, aid) LEFT JOIN si USING (session, aid) {cvr} {joins} {vec}),
     """
-    ints = [*SI_INTS, "search_secnonds", "session_size", *[f"{a[:-1]}_aid_session_count" for a in ACTIONS], "min_repeat_count", "max_repeat_count"]
+    ints = [*SI_INTS, "search_seconds", "session_size", *[f"{a[:-1]}_aid_session_count" for a in ACTIONS], "min_repeat_count", "max_repeat_count"]
     ints += [*ITEM_COUNTS, *HOUR_COUNTS[2:], *RECENCY_COLS, *AGES, "click_label", "cart_label", "order_label"]
     reals = ["avg_repeat_count", "stddev_repeat_count", *TRANSITION_COLS, *RATES, *HOURLY_REALS, *SI_REALS, *VEC_REALS, *BPR_REALS]
     if variant == "069":
@@ -227,7 +227,7 @@ add(
 def frame(s, d):
     log = small(s, d)
     train, test = log.where("split = 'train'"), log.where("split = 'valid'")
-    return T.frame(train, test, {"m1": matrix(s, d)}, labels(s, d), {"w2v": item_vectors(s, d)}, ["carts", "orders"])
+    return T.frame(train, test, {"m1": matrix(s, d), "m2": matrix(s, d, ["carts", "orders"])}, labels(s, d), {"w2v": item_vectors(s, d)}, ["carts", "orders"])
 
 
 _FLAG = [f"{a}_gt" for a in ACTIONS]
@@ -238,15 +238,15 @@ add(
     + LABELS_SQL
     + VECTORS_SQL
     + MATRIX_FEATURES_SQL.replace("own AS (SELECT DISTINCT session, aid FROM log WHERE split <> 'train')", "own AS (SELECT DISTINCT session, aid FROM log WHERE split <> 'train' AND session IN (SELECT session FROM labels WHERE type IN ('carts', 'orders')))")
+    + SECOND_MATRIX_SQL
     + A2S_SQL
     + CLOCK_SQL
     + SUBSESSION_SQL
     + FLAGS_SQL.split("gt AS")[0]
-    + """
-    grown AS (SELECT session, aid, coalesce(m1_num, 0) AS m1_num, coalesce(m1_indmin, -1) AS m1_indmin, coalesce(wgt_m1_sum, -1) AS wgt_m1_sum,
-              coalesce(wgt_rel_m1_mean, -1) AS wgt_rel_m1_mean FROM own FULL JOIN mf USING (session, aid)),
+    + f"grown0 AS (SELECT session, aid, {fills_sql(['m1', 'm2'])} FROM own FULL JOIN mf USING (session, aid) FULL JOIN mf2 USING (session, aid)), grown AS (SELECT *, {counts_sql(['m1', 'm2'])} FROM grown0),"
+    + f"""
     last1 AS (SELECT session, aid AS last_aid FROM log QUALIFY row_number() OVER (PARTITION BY session ORDER BY us DESC, aid DESC) = 1),
-    out AS (SELECT g.session, g.aid, m1_num, m1_indmin, wgt_m1_sum, wgt_rel_m1_mean, CASE WHEN m1_num > 0 THEN 1 ELSE 0 END AS matrices_num,
+    out AS (SELECT g.session, g.aid, {', '.join(MATRIX_COLS['ints'] + MATRIX_COLS['reals'])},
             coalesce(a2s_actions_num, 0) AS a2s_actions_num, coalesce(a2s_best_action_type, -1) AS a2s_best_action_type,
             coalesce(a2s_last_action_index, 999) AS a2s_last_action_index, session_click_diff_mean, session_carts_avg_hour, session_avg_real_length,
             list_distance(v.vector, u.vector) ** 2 AS emb_diff_w2v, list_cosine_similarity(v.vector, u.vector) AS emb_angle_w2v,
@@ -255,13 +255,13 @@ add(
             max(coalesce(orders_gt, 0)) OVER (PARTITION BY g.session) AS orders_session
             FROM grown g LEFT JOIN a2s USING (session, aid) LEFT JOIN clock USING (session) LEFT JOIN subfeat USING (session) LEFT JOIN flags USING (session, aid)
             LEFT JOIN last1 USING (session) LEFT JOIN vec v ON v.aid = g.aid LEFT JOIN vec u ON u.aid = last_aid)""",
-    ints=["session", "aid", "m1_num", "m1_indmin", "matrices_num", "a2s_actions_num", "a2s_best_action_type", "a2s_last_action_index", *_FLAG, *[f"{a}_session" for a in ACTIONS]],
-    reals=["wgt_m1_sum", "wgt_rel_m1_mean", "session_click_diff_mean", "session_carts_avg_hour", "session_avg_real_length", "emb_diff_w2v", "emb_angle_w2v"],
+    ints=["session", "aid", *MATRIX_COLS["ints"], "a2s_actions_num", "a2s_best_action_type", "a2s_last_action_index", *_FLAG, *[f"{a}_session" for a in ACTIONS]],
+    reals=[*MATRIX_COLS["reals"], "session_click_diff_mean", "session_carts_avg_hour", "session_avg_real_length", "emb_diff_w2v", "emb_angle_w2v"],
 )
 
 
 def blended(s, d):
-    return R.blended_submission({"a": submission(s, d, 0, 8), "b": submission(s, d, 1, 8)}, it.item_features(small(s, d)))
+    return R.blended_submission({"a": submission(s, d, 0), "b": submission(s, d, 1)}, it.item_features(small(s, d)))
 
 
 _tops = " UNION ALL ".join(
@@ -273,8 +273,8 @@ add(
     SMALL_SQL
     + scores_sql(0)
     + scores_sql(1)
-    + submission_sql(0, 8)
-    + submission_sql(1, 8)
+    + submission_sql(0)
+    + submission_sql(1)
     + f"""
     mix AS (SELECT session_type, aid, (coalesce(1 / a.rn, 1 / 50) * CASE WHEN contains(session_type, 'click') THEN 2 ELSE 1 END + coalesce(1 / b.rn, 1 / 50)) / 2 AS r
             FROM sub0 a FULL JOIN sub1 b USING (session_type, aid)),
@@ -286,3 +286,22 @@ add(
     out AS (SELECT session_type, array_to_string(list(aid ORDER BY rn), ' ') AS labels FROM filled GROUP BY session_type)""",
     texts=["session_type", "labels"],
 )
+
+
+def learned_lists(s, d):
+    data = train_set(s, d)
+    models = {types: ml.cross_fit(data, MODEL_FEATURES, label)[0] for types, label in (("clicks", "clicks_gt"), ("carts,orders", "carts_gt"))}
+    return R.predict_lists(models, data, MODEL_FEATURES).select("session_type", F.size(F.split("labels", " ")).alias("n"))
+
+
+# what is determined of learned lists: whose they are, and how long
+add(
+    "predict_lists",
+    learned_lists,
+    SMALL_SQL
+    + scores_sql(0)
+    + """
+    out AS (SELECT session || '_' || t AS session_type, least(count(*), 50) AS n FROM score0, (VALUES ('clicks'), ('carts'), ('orders')) x(t) GROUP BY session, t)""",
+    ints=["n"],
+    texts=["session_type"],
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from registry.core import add, joined
@@ -254,11 +256,10 @@ weights AS (SELECT aid_x, aid_y, count(*) AS weight FROM met GROUP BY ALL HAVING
 MATRIX_SQL = PAIR_WEIGHT_SQL + """
 ranked AS (SELECT aid_x AS aid, aid_y, weight AS wgt, weight / sum(weight) OVER (PARTITION BY aid_x) AS wgt_rel,
            row_number() OVER (PARTITION BY aid_x ORDER BY weight DESC, aid_y) - 1 AS n FROM weights),
-matrix AS (SELECT * FROM ranked WHERE n < 10),
+matrix AS (SELECT * FROM ranked WHERE n < 20),
 """
-MATRIX_FEATURES_SQL = MATRIX_SQL + """
-own AS (SELECT DISTINCT session, aid FROM log WHERE split <> 'train'),
-mf AS (SELECT session, aid_y AS aid, sum(wgt) AS wgt_m1_sum, avg(wgt) AS wgt_m1_mean, sum(wgt_rel) AS wgt_rel_m1_sum,
+_OWN_SQL = "own AS (SELECT DISTINCT session, aid FROM log WHERE split <> 'train'),\n"
+MATRIX_FEATURES_SQL = MATRIX_SQL + _OWN_SQL + """mf AS (SELECT session, aid_y AS aid, sum(wgt) AS wgt_m1_sum, avg(wgt) AS wgt_m1_mean, sum(wgt_rel) AS wgt_rel_m1_sum,
        avg(wgt_rel) AS wgt_rel_m1_mean, min(n) AS m1_indmin, count(*) AS m1_num
        FROM own JOIN matrix USING (aid) GROUP BY session, aid_y),
 """
@@ -267,9 +268,19 @@ MATRIX_COLS = dict(
 )
 
 
-def matrix(s, d):
-    w = pair_weight(pair_flags(small(s, d), 24 * 3600, "SECOND", True, ["clicks"]))
-    return covisit_matrix(w, k=10)
+def _again(sql: str) -> str:
+    """The same steps under other names, over carts and orders."""
+    for name in ("numbered", "met", "weights", "ranked", "matrix", "mf"):
+        sql = re.sub(rf"\b{name}\b", f"{name}2", sql)
+    return sql.replace("m1", "m2").replace("type = 'clicks'", "type IN ('carts', 'orders')")
+
+
+SECOND_MATRIX_SQL = _again(PAIR_WEIGHT_SQL + MATRIX_FEATURES_SQL.removeprefix(PAIR_WEIGHT_SQL).replace(_OWN_SQL, ""))
+
+
+def matrix(s, d, types=("clicks",)):
+    w = pair_weight(pair_flags(small(s, d), 24 * 3600, "SECOND", True, list(types)))
+    return covisit_matrix(w, k=20)
 
 
 def own(s, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry.core import add, joined
 from registry.logs import BIG_SQL, LABELS_SQL, SESSION_VECTORS_SQL, SMALL_SQL, VECTORS_SQL, big, item_vectors, labels, session_vectors, small
 from registry.q_features import DRAW
-from registry.q_lists import scores
+from registry.q_lists import scores, scores_sql
 from sessionrank.functions import vectors as V
 from sessionrank.operators import candidates as cd
 from sessionrank.operators import dataset as ds
@@ -18,6 +18,7 @@ from sessionrank.operators import neighbours as nb
 from sessionrank.operators import session_items as si
 from sessionrank.operators import sessions as se
 from sessionrank.operators import vector_features as vf
+from sessionrank.settings import stage
 
 
 def item_pairs(s, d):
@@ -84,7 +85,7 @@ for _name, _type, _head in (("vec_last_feature", None, "w2v"), ("vec_last_cart_f
 
 
 def bpr(s, d):
-    users = session_vectors(s, d).where("session % 10 = 0")
+    users = session_vectors(s, d)
     items = item_vectors(s, d).withColumnRenamed("vector", "aid_vector")
     return vf.user_item_dot(target_pairs(s, d), users, items, zero_missing=True)
 
@@ -97,7 +98,7 @@ add(
     + SESSION_VECTORS_SQL
     + """
     x AS (SELECT p.session, p.aid, coalesce(list_dot_product(session_vector, vector), 0) AS b FROM (SELECT DISTINCT session, aid FROM log WHERE split <> 'train') p
-          LEFT JOIN (SELECT * FROM svec WHERE session % 10 = 0) u USING (session) LEFT JOIN vec USING (aid)),
+          LEFT JOIN svec USING (session) LEFT JOIN vec USING (aid)),
     out AS (SELECT session, aid, b AS bpr_distance, b - avg(b) OVER w AS diff_avg_bpr_distance, b - min(b) OVER w AS diff_min_bpr_distance,
             b - max(b) OVER w AS diff_max_bpr_distance FROM x WINDOW w AS (PARTITION BY session))""",
     ints=["session", "aid"],
@@ -119,55 +120,49 @@ def knn_sql(queries: str, key: str, k: int, items: str = "vec") -> str:
 
 add(
     "knn_items",
-    lambda s, d: neighbour_rows(nb.knn(item_vectors(s, d).withColumnRenamed("aid", "q"), item_vectors(s, d), 10, key="q", cell_rows=200), "q"),
-    VECTORS_SQL + knn_sql("SELECT aid AS k, vector AS v FROM vec", "q", 10) + "out AS (SELECT * FROM near)",
-    ints=["q", "place"],
+    lambda s, d: neighbour_rows(nb.knn(item_vectors(s, d).withColumnRenamed("aid", "q"), item_vectors(s, d), 50, key="q"), "q"),
+    VECTORS_SQL + knn_sql("SELECT aid AS k, vector AS v FROM vec", "q", 50) + "out AS (SELECT * FROM near)",
+    ints=["q", "aid", "place"],
     reals=["similarity"],
 )
 add(
     "knn_users",
-    lambda s, d: neighbour_rows(nb.knn(session_vectors(s, d), item_vectors(s, d), 20, key="session", query_vec="session_vector", cell_rows=200), "session"),
+    lambda s, d: neighbour_rows(nb.knn(session_vectors(s, d), item_vectors(s, d), 50, key="session", query_vec="session_vector"), "session"),
     SMALL_SQL
     + VECTORS_SQL
     + SESSION_VECTORS_SQL
-    + knn_sql("SELECT session AS k, list_transform(session_vector, lambda x: x / sqrt(list_dot_product(session_vector, session_vector))) AS v FROM svec", "session", 20)
+    + knn_sql("SELECT session AS k, list_transform(session_vector, lambda x: x / sqrt(list_dot_product(session_vector, session_vector))) AS v FROM svec", "session", 50)
     + "out AS (SELECT * FROM near)",
-    ints=["session", "place"],
+    ints=["session", "aid", "place"],
     reals=["similarity"],
 )
 
-def known_vectors(s, d):
-    return item_vectors(s, d).join(small(s, d).select("aid").distinct(), "aid", "left_semi")
-
-
 def item_neighbours(s, d):
-    v = known_vectors(s, d)
-    return nb.knn(v, v, 20)
+    return nb.knn(item_vectors(s, d), item_vectors(s, d), 50)
 
 
 add(
     "cand_w2v",
-    lambda s, d: cd.neighbour_candidates(small(s, d), item_neighbours(s, d), 0.3),
+    lambda s, d: cd.neighbour_candidates(small(s, d), item_neighbours(s, d), 0.85),
     SMALL_SQL
     + VECTORS_SQL
-    + "known AS (SELECT * FROM vec WHERE aid IN (SELECT aid FROM log)),"
-    + knn_sql("SELECT aid AS k, vector AS v FROM known", "start", 20, "known")
+    + knn_sql("SELECT aid AS k, vector AS v FROM vec", "start", 50)
     + """
     ends AS (SELECT session, type, aid AS start FROM log QUALIFY row_number() OVER (PARTITION BY session, type ORDER BY us DESC, aid DESC) = 1),
     found AS (SELECT session, type, near.aid, similarity FROM ends JOIN near USING (start) WHERE near.aid <> start),
     wide AS (SELECT session, aid, max(similarity) FILTER (type = 'clicks') AS last_click_cosine_similarity, max(similarity) FILTER (type = 'carts') AS last_cart_cosine_similarity,
              max(similarity) FILTER (type = 'orders') AS last_order_cosine_similarity FROM found GROUP BY session, aid),
-    out AS (SELECT * FROM wide WHERE last_click_cosine_similarity >= 0.3 OR last_cart_cosine_similarity >= 0.3 OR last_order_cosine_similarity >= 0.3)""",
+    out AS (SELECT * FROM wide WHERE last_click_cosine_similarity >= 0.85 OR last_cart_cosine_similarity >= 0.85 OR last_order_cosine_similarity >= 0.85)""",
     ints=["session", "aid"],
     reals=["last_click_cosine_similarity", "last_cart_cosine_similarity", "last_order_cosine_similarity"],
 )
 add(
     "cand_mf",
-    lambda s, d: cd.explode_neighbours(nb.knn(session_vectors(s, d), item_vectors(s, d), 5, key="session", query_vec="session_vector")).select("session", "aid"),
+    lambda s, d: cd.explode_neighbours(nb.knn(session_vectors(s, d), item_vectors(s, d), 50, key="session", query_vec="session_vector")).select("session", "aid"),
     SMALL_SQL
     + VECTORS_SQL
     + SESSION_VECTORS_SQL
-    + knn_sql("SELECT session AS k, list_transform(session_vector, lambda x: x / sqrt(list_dot_product(session_vector, session_vector))) AS v FROM svec", "session", 5)
+    + knn_sql("SELECT session AS k, list_transform(session_vector, lambda x: x / sqrt(list_dot_product(session_vector, session_vector))) AS v FROM svec", "session", 50)
     + "out AS (SELECT * FROM near)",
     ints=["session", "aid"],
 )
@@ -187,47 +182,67 @@ add(
 )
 add("emb_edges", lambda s, d: em.edges(big(s, d)), BIG_SQL + EDGES_SQL + "out AS (SELECT * FROM edges)", ints=["lag_aid", "aid"])
 _walk_draw = DRAW.format(key="start || '|' || walk || '|' || step", seed=11)
-add(
-    "emb_walks",
-    lambda s, d: em.random_walks(em.edges(small(s, d)), 8, 3, 11).select("start", "walk", joined("items").alias("items")),
-    SMALL_SQL
-    + EDGES_SQL
-    + f"""
+WALKS_SQL = f"""
     num AS (SELECT lag_aid AS node, aid AS next, row_number() OVER (PARTITION BY lag_aid ORDER BY aid) - 1 AS number FROM edges),
     deg AS (SELECT node, count(*) AS degree FROM num GROUP BY node),
     paths AS (
       WITH RECURSIVE go AS (
-        SELECT node AS start, walk, 1 AS step, node, [node] AS items FROM deg, range(0, 3) AS r(walk)
+        SELECT node AS start, walk, 1 AS step, node, [node] AS items FROM deg, range(0, 10) AS r(walk)
         UNION ALL
         SELECT start, walk, step + 1, num.next, list_append(items, num.next) FROM go JOIN deg USING (node)
-        JOIN num ON num.node = go.node AND num.number = {_walk_draw} % degree WHERE step < 8
+        JOIN num ON num.node = go.node AND num.number = {_walk_draw} % degree WHERE step < 20
       ) SELECT * FROM go),
-    out AS (SELECT start, walk, array_to_string(arg_max(items, step), ' ') AS items FROM paths GROUP BY start, walk)""",
+"""
+add(
+    "emb_walks",
+    lambda s, d: em.random_walks(em.edges(small(s, d)), 20, 10, 11).select("start", "walk", joined("items").alias("items")),
+    SMALL_SQL
+    + EDGES_SQL
+    + WALKS_SQL
+    + "out AS (SELECT start, walk, array_to_string(arg_max(items, step), ' ') AS items FROM paths GROUP BY start, walk)",
     ints=["start", "walk"],
     texts=["items"],
 )
-add(
-    "emb_word2vec",
-    lambda s, d: em.item2vec(em.sentences(small(s, d)), 16, 5, 5, seed=1, all_items=small(s, d)).select("aid", V.norm("vector").alias("norm")),
-    ints=["aid"],
-    reals=["norm"],
-)
+KEPT_SQL = """
+sized AS (SELECT * FROM log WHERE session IN (SELECT session FROM log GROUP BY session HAVING count(*) > 1)),
+seen AS (SELECT *, lag(aid) OVER (PARTITION BY session ORDER BY us, aid, type) AS before FROM sized),
+kept AS (SELECT * FROM seen WHERE before IS DISTINCT FROM aid),
+often AS (SELECT aid FROM kept GROUP BY aid HAVING count(*) >= 5),
+"""
+for _name, _method in (("emb_word2vec", None), ("emb_factors", "factors")):
+    # what is determined: which items have a vector, of length 1
+    add(
+        _name,
+        lambda s, d, m=_method: em.item2vec(em.sentences(small(s, d), overlap=5), 64, 5, 5, seed=1, all_items=small(s, d), method=m).select(
+            "aid", V.norm("vector").alias("norm")
+        ),
+        SMALL_SQL + KEPT_SQL + "out AS (SELECT DISTINCT aid, CASE WHEN aid IN (SELECT aid FROM often) THEN 1 ELSE 0 END AS norm FROM log)",
+        ints=["aid"],
+        reals=["norm"],
+    )
 
 
 def node2vec(s, d):
-    walks = em.random_walks(em.edges(small(s, d)), 6, 2, 1)
-    return em.item2vec(walks, 16, 5, 1, seed=1).select("aid", V.norm("vector").alias("norm"))
+    walks = em.random_walks(em.edges(small(s, d)), 20, 10, 11)
+    return em.item2vec(walks, 128, 5, 1, seed=1).select("aid", V.norm("vector").alias("norm"))
 
 
-add("emb_node2vec", node2vec, ints=["aid"], reals=["norm"])
+add(
+    "emb_node2vec",
+    node2vec,
+    SMALL_SQL + EDGES_SQL + WALKS_SQL + "out AS (SELECT DISTINCT node AS aid, 1 AS norm FROM paths)",
+    ints=["aid"],
+    reals=["norm"],
+)
 
 
 def factors(s, d):
-    users, items = em.implicit_factors(small(s, d), rank=8, iters=3, seed=1)
-    return vf.user_item_dot(target_pairs(s, d), users, items)
+    users, items = em.implicit_factors(small(s, d), seed=1)
+    out = vf.user_item_dot(target_pairs(s, d), users, items)
+    return out.withColumn("known", F.col("bpr_distance").isNotNull().cast("long"))
 
 
-add("emb_mf", factors, ints=["session", "aid"], reals=["bpr_distance"])
+add("emb_mf", factors, SMALL_SQL + "out AS (SELECT DISTINCT session, aid, 1 AS known FROM log WHERE split <> 'train')", ints=["session", "aid", "known"])
 
 # --- learning ---------------------------------------------------------------------------
 FEATURES = ["visit_count_clicks", "visit_count_carts", "visit_count_orders", "max_seconds_to_latest", "pred_clicks", "pred_carts", "session_size"]
@@ -237,47 +252,67 @@ def train_set(s, d):
     log = small(s, d)
     base = ds.add_label_flags(scores(s, d), labels(s, d))
     x = si.session_item_features(log)
-    return ds.add_fold(base.join(x, ["session", "aid"]).join(se.session_features(log), "session"), 3, 1)
+    return stage(ds.add_fold(base.join(x, ["session", "aid"]).join(se.session_features(log), "session"), 5, 3))
+
+
+def cross(s, d, label="carts_gt"):
+    data = train_set(s, d)
+    return data, *ml.cross_fit(data, FEATURES, label)
 
 
-FIT = {"maxDepth": 3}
+# What is determined of a learned score: its rows and folds, and that it is a probability.
+def is_share():
+    return F.col("pred").between(0, 1).cast("long").alias("valid")
 
 
-def cross(s, d, label="carts_gt"):
+FOLD_SQL = SMALL_SQL + scores_sql() + f"out AS (SELECT session, aid, {DRAW.format(key='session::VARCHAR', seed=3)} % 5 AS fold, 1 AS valid FROM score0)"
+LEARNED = dict(ints=["session", "aid", "fold", "valid"])
+
+
+def with_fold(data, scored):
+    return scored.join(data.select("session", "aid", "fold"), ["session", "aid"]).select("session", "aid", "fold", is_share())
+
+
+def cv(s, d):
+    data, _, oof = cross(s, d)
+    return with_fold(data, oof)
+
+
+add("ml_cv_gbt", cv, FOLD_SQL, **LEARNED)
+
+
+def full_fit(s, d):
     data = train_set(s, d)
-    return data, *ml.cross_fit(data, FEATURES, label, 3, FIT, n_iter=3)
+    return ml.predict_mean([ml.fit_all(data, FEATURES, "clicks_gt")], data, FEATURES).select("session", "aid", "fold", is_share())
 
 
-add("ml_cv_gbt", lambda s, d: cross(s, d)[2], ints=["session", "aid"], reals=["pred"])
-add(
-    "ml_full_fit",
-    lambda s, d: ml.predict_mean([ml.fit_all(train_set(s, d), FEATURES, "clicks_gt", 3, FIT)], train_set(s, d), FEATURES),
-    ints=["session", "aid"],
-    reals=["pred"],
-)
+add("ml_full_fit", full_fit, FOLD_SQL, **LEARNED)
 
 
 def chain(s, d):
     data, _, oof = cross(s, d)
     more = ml.add_oof(data, oof, "carts_pred")
-    _, second = ml.cross_fit(more, [*FEATURES, "carts_pred"], "orders_gt", 3, FIT, n_iter=2)
-    return second
+    _, second = ml.cross_fit(more, [*FEATURES, "carts_pred"], "orders_gt")
+    return with_fold(data, second)
 
 
-add("ml_chain", chain, ints=["session", "aid"], reals=["pred"])
+add("ml_chain", chain, FOLD_SQL, **LEARNED)
 
 
 def mean_of_folds(s, d):
     data, models, _ = cross(s, d)
-    return ml.predict_mean(models, data, FEATURES)
+    return ml.predict_mean(models, data, FEATURES).select("session", "aid", "fold", is_share())
 
 
-add("ml_predict_mean", mean_of_folds, ints=["session", "aid"], reals=["pred"])
+add("ml_predict_mean", mean_of_folds, FOLD_SQL, **LEARNED)
 
 
 def importance(s, d):
     _, models, _ = cross(s, d)
-    return ml.importances(s, models, FEATURES)
+    table = ml.importances(s, models, FEATURES)
+    total = table.agg(F.sum("mean").alias("total")).scalar().alias("total")
+    return table.select("feature", total, ((F.col("mean") >= 0) & (F.col("std") >= 0)).cast("long").alias("valid"))
 
 
-add("ml_importance", importance, reals=["mean", "std"], texts=["feature"])
+_rows = ", ".join(f"('{f}')" for f in FEATURES)
+add("ml_importance", importance, f"out AS (SELECT feature, 1.0 AS total, 1 AS valid FROM (VALUES {_rows}) t(feature))", ints=["valid"], reals=["total"], texts=["feature"])

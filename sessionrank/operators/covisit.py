@@ -44,8 +44,10 @@ def top_neighbours(
     """Keep a pair if one of its scores is large enough and among the ``k`` best of ``aid_x``.
 
     One pass: rows whose score reaches ``min_count`` sort before all others of their list, so
-    ranking everything and testing both conditions gives the same union of lists.
+    ranking everything and testing both conditions gives the same union of lists. Pairs
+    without any such score, most of a co-visit table, are left out before the sorts.
     """
+    counts = counts.where(F.greatest(*[F.col(s) for s in scores], F.lit(min_count - 1)) >= min_count)
     rank = {}
     for score in scores:
         order = [F.col(score).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in then], F.col("aid_y").asc()]
@@ -92,9 +94,11 @@ def expand(latest: DataFrame, edges: DataFrame, how: str = "inner") -> DataFrame
 
     ``latest`` has one row per (session, aid), so repeated events do not multiply the join,
     and ``edges`` is cut to the best neighbours per item. A popular item meets many sessions;
-    its join partition is split at run time (adaptive skew join).
+    its join partition is split at run time (adaptive skew join). That needs a shuffle right
+    below both sides of the join, so the edges are written first: as they come, they are
+    already dealt by their first item.
     """
-    return latest.join(edges.withColumnRenamed("aid_x", "aid"), "aid", how).withColumnRenamed("aid", "aid_x")
+    return latest.join(stage(edges).withColumnRenamed("aid_x", "aid"), "aid", how).withColumnRenamed("aid", "aid_x")
 
 
 class Spread:
@@ -249,10 +253,13 @@ def covisit_matrix(counts: DataFrame, score: str = "weight", k: int = 20) -> Dat
 
 
 def matrix_features(pairs: DataFrame, matrix: DataFrame, suffix: str) -> DataFrame:
-    """Neighbours of the distinct items of a session, with weight statistics per neighbour."""
+    """Neighbours of the distinct items of a session, with weight statistics per neighbour.
+
+    The matrix is written first, as in ``expand``, so that a popular item can be split.
+    """
     items = pairs.select("session", "aid").distinct()
     return (
-        items.join(matrix, "aid")
+        items.join(stage(matrix), "aid")
         .groupBy("session", F.col("aid_y").alias("aid"))
         .agg(
             F.sum("wgt").alias(f"wgt_{suffix}_sum"),

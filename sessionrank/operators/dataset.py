@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionrank.functions.hashing import bucket, draw
@@ -13,9 +12,11 @@ from sessionrank.functions.times import HOUR, US, hour_start, whole_units
 from sessionrank.operators.filters import semi
 from sessionrank.sources.labels import label_flags
 from sessionrank.schema import ACTIONS
+from sessionrank.settings import stage
 
 PAIR = ("session", "aid")
 SLOTS = 65_536
+FEW_VALUES = 100_000
 
 
 def assemble(pairs: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
@@ -116,8 +117,9 @@ def sample_negatives(df: DataFrame, labels: Sequence[str], ratio: int = 20, seed
 
     The wanted number of smallest draws is found without a global sort: draws are counted
     in 65,536 slots, whole slots are taken up to the limit, and only the slot on the limit
-    is ranked.
+    is ranked. The rows are read for the counts and for each part, so they are written once.
     """
+    df = stage(df)
     positive = _any_positive(labels)
     drawn = df.withColumn("_draw", draw("session", "aid", seed=seed))
     slot = F.floor(F.col("_draw") / F.lit(2.0**32 / SLOTS)).cast("long")
@@ -151,20 +153,48 @@ def sampled_dataset(df: DataFrame, n_folds: int = 5, ratio: int = 20, seed: int
     return add_fold(rows, n_folds, seed).withColumn("cart_order_label", both)
 
 
+def dense_ids(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Number the distinct values of a column from 0, without a global sort.
+
+    Values fall into slots by hash; each slot is numbered on its own and shifted by the
+    sizes of the slots before it.
+    """
+    ids = stage(df.select(col).distinct()).withColumn("_slot", F.pmod(F.xxhash64(col), F.lit(SLOTS)))
+    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    # at most SLOTS rows in this window
+    sizes = ids.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_slot").orderBy(col))
+    placed = ids.withColumn("_rn", inside).join(F.broadcast(starts), "_slot")
+    return placed.select(col, (F.col("_start") + F.col("_rn") - 1).cast("int").alias(name))
+
+
+def _coded(df: DataFrame, c: str) -> DataFrame:
+    """A category column as numbers from 0; NULL is the number after the last.
+
+    Up to ``FEW_VALUES`` values are numbered in alphabetical order, more in the order of a
+    hash, so that no task or driver holds all of them.
+    """
+    texts = df.withColumn(c, F.col(c).cast("string"))
+    values = stage(texts.select(c).where(F.col(c).isNotNull()).distinct())
+    n = values.count()
+    if n <= FEW_VALUES:
+        codes = F.broadcast(values.select(c, (F.row_number().over(Window.orderBy(c)) - 1).alias("_code")))
+    else:
+        codes = stage(dense_ids(values, c, "_code"))
+    number = F.coalesce("_code", F.lit(n)).cast("double")
+    return texts.join(codes, c, "left").withColumn(c, number).drop("_code").select(*df.columns)
+
+
 def encode(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], missing: float = -1.0, cap: float = 1e18) -> DataFrame:
     """Columns for a tree learner: category codes, and numbers without NULL, NaN or infinity."""
     out = df
-    if cat_cols:
-        codes = [f"_code_{c}" for c in cat_cols]
-        texts = out.withColumns({c: F.col(c).cast("string") for c in cat_cols})
-        model = StringIndexer(
-            inputCols=list(cat_cols), outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"
-        ).fit(texts)
-        out = model.transform(texts).drop(*cat_cols).withColumnsRenamed(dict(zip(codes, cat_cols)))
+    for c in cat_cols:
+        out = _coded(out, c)
 
     def clean(c: str) -> Column:
         x = F.col(c).cast("double")
-        bounded = F.greatest(F.least(x, F.lit(cap)), F.lit(-cap))
-        return F.when(x.isNull() | F.isnan(x), F.lit(missing)).otherwise(bounded)
+        endless = F.abs(x) == float("inf")
+        return F.when(x.isNull() | F.isnan(x), F.lit(missing)).when(endless, F.signum(x) * cap).otherwise(x)
 
     return out.withColumns({c: clean(c) for c in num_cols}) if num_cols else out

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sessionrank.functions import vectors as V
 from sessionrank.functions.hashing import draw
+from sessionrank.operators.dataset import dense_ids
 from sessionrank.operators.filters import dedup_consecutive
 from sessionrank.operators.order import EVENT_TIES, in_order, with_micros
 from sessionrank.settings import stage
 
 MAX_SENTENCE = 1000
+DRIVER_ITEMS = 1_000_000
+WORDS_PER_PARTITION = 2_000_000
 STEPS_PER_STAGE = 5
-SLOTS = 65_536
 
 
-def sentences(ev: DataFrame, max_len: int = MAX_SENTENCE, min_len: int = 2) -> DataFrame:
+def sentences(ev: DataFrame, max_len: int = MAX_SENTENCE, min_len: int = 2, overlap: int = 0) -> DataFrame:
     """Items of a session in order, repeats of the previous item left out.
 
-    A session longer than ``max_len`` gives several consecutive parts (Word2Vec cuts at that
-    length anyway), so no row grows with the log. Sessions below ``min_len`` events are left
-    out.
+    A session longer than ``max_len`` gives several consecutive parts, so no row grows with
+    the log; a part ends with the first ``overlap`` items of the next one, so that with the
+    width of a context no two neighbours are parted. Sessions below ``min_len`` events are
+    left out.
     """
     sized = ev.join(
         ev.groupBy("session").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_len).select("session"),
@@ -31,9 +34,12 @@ def sentences(ev: DataFrame, max_len: int = MAX_SENTENCE, min_len: int = 2) -> D
         "left_semi",
     )
     placed = in_order(with_micros(dedup_consecutive(sized)), ["session"], "us", EVENT_TIES, want={"_pos": "pos"}, census=with_micros(ev))
-    part = F.floor((F.col("_pos") - 1) / F.lit(float(max_len))).cast("long")
+    at = F.col("_pos") - 1
+    part = F.floor(at / F.lit(float(max_len))).cast("long")
+    shared = (F.pmod(at, F.lit(max_len)) < overlap) & (part > 0)
+    parts = F.when(shared, F.array(part - 1, part)).otherwise(F.array(part))
     return (
-        placed.groupBy("session", part.alias("part"))
+        placed.withColumn("part", F.explode(parts)).groupBy("session", "part")
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "aid"))).alias("s"))
         .select("session", "part", F.col("s.aid").alias("items"))
     )
@@ -52,12 +58,57 @@ def item2vec(
     min_count: int = 5,
     seed: int = 0,
     iterations: int = 1,
-    partitions: int = 1,
+    partitions: int | None = None,
     items_col: str = "items",
     all_items: DataFrame | None = None,
+    method: str | None = None,
+    max_len: int = MAX_SENTENCE,
 ) -> DataFrame:
-    """Unit item vectors learned from item sequences; items of ``all_items`` never seen get zeros."""
-    words = sents.select(F.transform(items_col, lambda x: x.cast("string")).alias("words"))
+    """Unit item vectors learned from item sequences; items of ``all_items`` never seen get zeros.
+
+    ``method='skipgram'`` is Word2Vec, whose model (items times dimensions) is held by the
+    driver; ``'factors'`` factorises the counts of items within ``window`` of each other
+    (implicit ALS) and is distributed throughout. Unless given, it is chosen by the number
+    of items: up to ``DRIVER_ITEMS`` skip-gram. Its partitions follow the number of items in
+    all sequences. ``max_len`` is the length at which the sequences were parted; what
+    follows in one is overlap and counts once as a left neighbour.
+    """
+    sents = stage(sents.select(F.col(items_col).alias("items")))
+    count = sents.select(F.explode("items").alias("aid")).groupBy("aid").agg(F.count(F.lit(1)).alias("n"))
+    known, total = count.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if (method or ("skipgram" if known <= DRIVER_ITEMS else "factors")) == "factors":
+        found = _context_factors(sents, count.where(F.col("n") >= min_count), dim, window, seed, max_len)
+    else:
+        parts = partitions or max(1, -(-(total or 0) // WORDS_PER_PARTITION))
+        found = _skipgram(sents, dim, window, min_count, seed, iterations, parts)
+    if all_items is None:
+        return found
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return (
+        all_items.select("aid").distinct().join(found, "aid", "left").select("aid", F.coalesce("vector", zeros).alias("vector"))
+    )
+
+
+def context_counts(sents: DataFrame, window: int, max_len: int = MAX_SENTENCE) -> DataFrame:
+    """How often two items are at most ``window`` apart, in both directions: (aid_x, aid_y, n)."""
+    at = sents.select("items", F.posexplode("items").alias("i", "aid")).where(F.col("i") < max_len)
+    near = at.select("aid", F.explode(F.expr(f"slice(items, i + 2, {window})")).alias("other"))
+    counts = near.groupBy("aid", "other").agg(F.count(F.lit(1)).alias("n"))
+    both = F.explode(F.array(F.struct(F.col("aid").alias("aid_x"), F.col("other").alias("aid_y")), F.struct(F.col("other").alias("aid_x"), F.col("aid").alias("aid_y"))))
+    return counts.select(both.alias("p"), "n").groupBy("p.aid_x", "p.aid_y").agg(F.sum("n").alias("n"))
+
+
+def _context_factors(sents: DataFrame, count: DataFrame, dim: int, window: int, seed: int, max_len: int) -> DataFrame:
+    ids = stage(dense_ids(count.select("aid"), "aid", "_i"))
+    x, y = (ids.select(F.col("aid").alias(f"aid_{c}"), F.col("_i").alias(f"_{c}")) for c in "xy")
+    pairs = stage(context_counts(sents, window, max_len).join(x, "aid_x").join(y, "aid_y").select("_x", "_y", F.log1p("n").alias("_r")))
+    model = ALS(userCol="_x", itemCol="_y", ratingCol="_r", implicitPrefs=True, rank=dim, seed=seed).fit(pairs)
+    named = model.userFactors.join(ids, F.col("id") == F.col("_i"))
+    return named.select("aid", V.unit(F.col("features").cast("array<double>")).alias("vector"))
+
+
+def _skipgram(sents: DataFrame, dim: int, window: int, min_count: int, seed: int, iterations: int, partitions: int) -> DataFrame:
+    words = sents.select(F.transform("items", lambda x: x.cast("string")).alias("words"))
     model = Word2Vec(
         inputCol="words",
         outputCol="_v",
@@ -67,30 +118,24 @@ def item2vec(
         seed=seed,
         maxIter=iterations,
         numPartitions=partitions,
-        maxSentenceLength=MAX_SENTENCE,
+        maxSentenceLength=MAX_SENTENCE + window,
     ).fit(words)
-    found = model.getVectors().select(
+    return model.getVectors().select(
         F.col("word").cast("long").alias("aid"), V.unit(vector_to_array("vector")).alias("vector")
     )
-    if all_items is None:
-        return found
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return (
-        all_items.select("aid").distinct().join(found, "aid", "left").select("aid", F.coalesce("vector", zeros).alias("vector"))
-    )
 
 
 def random_walks(edge_list: DataFrame, length: int = 20, per_node: int = 10, seed: int = 0) -> DataFrame:
     """Uniform random walks of at most ``length`` nodes, ``per_node`` from every start node.
 
     Neighbours are numbered per node, and a step joins on (node, number) instead of carrying
-    neighbour lists, so nodes with many neighbours cost no more than others. A walk ends at
+    neighbour lists, so nodes with many neighbours cost no more than others; one with very many
+    is numbered in stretches. A walk ends at
     a node without outgoing edges. The plan is cut every few steps.
     """
-    order = Window.partitionBy("lag_aid").orderBy("aid")
-    numbered = edge_list.select(
-        F.col("lag_aid").alias("node"), F.col("aid").alias("next"), (F.row_number().over(order) - 1).cast("long").alias("number")
-    )
+    edge_list = stage(edge_list.select(F.col("lag_aid").alias("node"), F.col("aid").alias("next")))
+    numbered = in_order(edge_list, ["node"], "next", [], want={"_pos1": "pos"})
+    numbered = numbered.select("node", "next", (F.col("_pos1") - 1).alias("number"))
     degree = numbered.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     steps = stage(
         numbered.join(
@@ -117,22 +162,6 @@ def random_walks(edge_list: DataFrame, length: int = 20, per_node: int = 10, see
     return walks.select("start", "walk", "items")
 
 
-def dense_ids(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Number the distinct values of a column from 0, without a global sort.
-
-    Values fall into slots by hash; each slot is numbered on its own and shifted by the
-    sizes of the slots before it.
-    """
-    ids = stage(df.select(col).distinct()).withColumn("_slot", F.pmod(F.xxhash64(col), F.lit(SLOTS)))
-    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    # at most SLOTS rows in this window
-    sizes = ids.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_slot").orderBy(col))
-    placed = ids.withColumn("_rn", inside).join(F.broadcast(starts), "_slot")
-    return placed.select(col, (F.col("_start") + F.col("_rn") - 1).cast("int").alias(name))
-
-
 def implicit_factors(
     ev: DataFrame, rank: int = 64, reg: float = 0.01, iters: int = 10, seed: int = 0, alpha: float = 1.0
 ) -> tuple[DataFrame, DataFrame]:

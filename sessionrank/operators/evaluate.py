@@ -21,7 +21,7 @@ def recall_lists(
     """Recall at ``k`` of prediction lists, per action and weighted.
 
     ``pred`` has ``click_pred``, ``cart_pred``, ``order_pred``. Clicks count sessions whose
-    first click is listed; carts and orders count listed labels out of at most 20 per session.
+    first click is listed; carts and orders count listed labels out of at most ``k`` per session.
     ``by`` groups the result, for example by shard. A missing list or label counts no hit.
     """
     joined = pred.join(ground_truth, "session", "left")
@@ -35,7 +35,7 @@ def recall_lists(
         label = F.col(f"{name}_label")
         hits = F.coalesce(F.size(F.array_intersect(listed(name), label)), F.lit(0))
         # least() passes over NULL, so a missing list must be told apart first
-        known = F.when(label.isNull(), 0).otherwise(F.least(F.array_size(label), F.lit(LIST_LENGTH)))
+        known = F.when(label.isNull(), 0).otherwise(F.least(F.array_size(label), F.lit(k)))
         parts[name] = (F.when(label.isNull() | F.col(f"{name}_pred").isNull(), 0).otherwise(hits), known)
     groups = [] if by is None else [by]
     sums = joined.groupBy(*groups).agg(
@@ -57,7 +57,7 @@ def recall_long(scores: DataFrame, labels: DataFrame, score: str, type: str, k:
     known = labels.where(F.col("type") == type).join(best.select("session").distinct(), "session", "left_semi")
     hits = best.join(known.select("session", F.explode("ground_truth").alias("aid")), ["session", "aid"])
     found = hits.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return known.agg(F.sum(F.least(F.array_size("ground_truth"), F.lit(LIST_LENGTH))).alias("labels")).select(
+    return known.agg(F.sum(F.least(F.array_size("ground_truth"), F.lit(k))).alias("labels")).select(
         found.alias("hits"), "labels", ratio(found, F.col("labels")).alias("recall")
     )
 

@@ -4,24 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionrank.functions import vectors as V
+from sessionrank.settings import stage
 
 CELL_ROWS = 250_000
 CHUNK_VALUES = 16_000_000
 SCORED = "key long, aid long, similarity double"
 
 
-def _cell_count(df: DataFrame, cell_rows: int) -> Column:
-    return F.greatest(df.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(cell_rows))).alias("c")).scalar(), F.lit(1))
-
-
-def _spread(df: DataFrame, key: str, vec: str, own: str, other: str, cell_rows: int, other_cells: Column) -> DataFrame:
-    """Unit vectors in cells of about ``cell_rows`` keys, one copy per cell of the other side."""
-    spot = F.pmod(F.xxhash64(key), _cell_count(df, cell_rows)).cast("int")
-    placed = df.select(F.col(key).alias("k"), V.unit(vec).alias("v"), spot.alias(own), other_cells.alias("_n"))
-    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1))).drop("_n")
+def _spread(df: DataFrame, own: str, other: str, cells: int, other_cells: int) -> DataFrame:
+    """Vectors in ``cells`` cells by key, one copy per cell of the other side."""
+    placed = df.withColumn(own, F.pmod(F.xxhash64("k"), F.lit(cells)).cast("int"))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_cells - 1))))
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -79,10 +75,12 @@ def knn(
     multiplies the two vector blocks of its cell and emits only the ``k`` best per query, and
     these are then reduced per query. Queries or items without a usable vector are left out.
     """
-    q = queries.where(V.norm(query_vec) > 0)
-    i = items.where(V.norm(item_vec) > 0)
-    left = _spread(q, key, query_vec, "qc", "ic", cell_rows, _cell_count(i, cell_rows))
-    right = _spread(i, "aid", item_vec, "ic", "qc", cell_rows, _cell_count(q, cell_rows))
+    # read for its size and for the grid
+    q = stage(queries.where(V.norm(query_vec) > 0).select(F.col(key).alias("k"), V.unit(query_vec).alias("v")))
+    i = stage(items.where(V.norm(item_vec) > 0).select(F.col("aid").alias("k"), V.unit(item_vec).alias("v")))
+    q_cells, i_cells = (max(1, -(-x.count() // cell_rows)) for x in (q, i))
+    left = _spread(q, "qc", "ic", q_cells, i_cells)
+    right = _spread(i, "ic", "qc", i_cells, q_cells)
     grid = left.groupBy("qc", "ic").cogroup(right.groupBy("qc", "ic"))
     scored = grid.applyInArrow(best_matches(k), SCORED)
     best = Window.partitionBy("key").orderBy(F.col("similarity").desc(), "aid")

@@ -1,10 +1,10 @@
 """Positions, neighbours and running totals inside ordered groups.
 
 A plain window puts every row of a key into one task, which fails when one session holds
-a large share of the log. Here keys above ``hot_rows`` rows are cut into consecutive
-stretches of the ordering column; windows run per (key, stretch), and a small table of
-stretch totals supplies the offsets. Keys below the limit have one stretch, so for them
-the plan is the plain window.
+a large share of the log. Here the largest key is looked up first. Where none has more than
+``hot_rows`` rows, the plan is the plain window. Otherwise hot keys are cut into consecutive
+stretches of the ordering column, again and again until none is too large; windows run per
+(key, stretch), and a small table of stretch totals supplies the offsets.
 """
 
 from __future__ import annotations
@@ -13,20 +13,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sessionrank.settings import hot_rows
+from sessionrank.settings import hot_rows, stage
 
-LEVELS = 2
-STRETCH = [f"_stretch{i}" for i in range(LEVELS)]
+MAX_LEVELS = 12
+FEW_KEYS = 500_000
 
 
-def cut_hot(df: DataFrame, keys: Sequence[str], lead: str, census: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _sizes(rows: DataFrame, on: Sequence[str], lead: str) -> DataFrame:
+    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
+
+
+def cut_hot(
+    df: DataFrame, keys: Sequence[str], lead: str, census: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None, list[str]]:
     """Add stretch numbers that follow the order of the numeric column ``lead``.
 
-    Returns all rows, and the rows of hot keys alone. A key of n rows gets about
-    4 n / hot_rows stretches of equal width; a stretch that is still too large (a burst) is
-    cut once more. Each list of hot keys has at most rows / hot_rows entries, which bounds
-    what is broadcast. Hot rows come from an inner join with that list, so where no key is
-    hot the run-time planner drops their branch before it reads anything.
+    Returns all rows, the rows of hot keys alone, and the names of the stretch columns; no
+    hot rows and no columns where no key is hot. A key of n rows gets about 4 n / hot_rows
+    stretches of equal width, and each that is still too large is cut in the same way, so
+    that any distribution of values ends in stretches below the limit. Only rows with one
+    value of ``lead`` cannot be parted. A list of hot keys or stretches has at most
+    rows / hot_rows entries; it is written, and broadcast if that is few.
 
     Rows are counted in ``census``, a table that holds at least the keys and ``lead`` of all
     rows of ``df``: the log itself, where ``df`` is expensive to derive from it.
@@ -34,27 +41,34 @@ def cut_hot(df: DataFrame, keys: Sequence[str], lead: str, census: DataFrame | N
     limit = hot_rows(df.sparkSession)
 
     def number(rows: DataFrame, hot: DataFrame, on: list[str], how: str, name: str) -> DataFrame:
-        part = F.floor((F.col(lead) - F.col("_lo")) / F.col("_span") * F.col("_parts")) + 1
-        joined = rows.join(F.broadcast(hot), on, how)
-        return joined.withColumn(name, F.coalesce(part, F.lit(0)).cast("long")).drop("_lo", "_span", "_parts")
+        part = F.floor((F.col(lead) - F.col("_lo")) / F.col("_span") * F.col("_parts"))
+        joined = rows.join(hot, on, how)
+        at = F.coalesce(F.least(part, F.col("_parts") - 1) + 1, F.lit(0)).cast("long")
+        return joined.withColumn(name, at).drop("_lo", "_span", "_parts")
 
-    def too_large(rows: DataFrame, on: list[str]) -> DataFrame:
-        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
-        span = (F.col("_hi") - F.col("_lo") + 1).cast("double").alias("_span")
+    def too_large(sizes: DataFrame, on: list[str]) -> DataFrame:
+        span = (F.col("_hi") - F.col("_lo")).cast("double").alias("_span")
         parts = (4 * F.ceil(F.col("_n") / limit)).cast("double").alias("_parts")
-        return counts.where((F.col("_n") > limit) & (F.col("_hi") > F.col("_lo"))).select(*on, "_lo", span, parts)
-
-    on = list(keys)
-    counted = df if census is None else census.select(*keys, lead)
-    hot = too_large(counted, on)
-    every, only, counted = (
-        number(rows, hot, on, how, STRETCH[0]) for rows, how in ((df, "left"), (df, "inner"), (counted, "inner"))
-    )
-    for name in STRETCH[1:]:
-        on = [*keys, *STRETCH[: STRETCH.index(name)]]
-        hot = too_large(counted, on)
-        every, only, counted = (number(rows, hot, on, "left", name) for rows in (every, only, counted))
-    return every, only
+        hot = stage(sizes.where((F.col("_n") > limit) & (F.col("_hi") > F.col("_lo"))).select(*on, "_lo", span, parts))
+        return F.broadcast(hot) if hot.limit(FEW_KEYS + 1).count() <= FEW_KEYS else hot
+
+    def largest(sizes: DataFrame) -> int:
+        return sizes.agg(F.max(F.when(F.col("_hi") > F.col("_lo"), F.col("_n")))).first()[0] or 0
+
+    every, only = df, None
+    counted = (df if census is None else census).select(*keys, lead)
+    names: list[str] = []
+    sizes = _sizes(counted, keys, lead)
+    while len(names) < MAX_LEVELS and largest(sizes) > limit:
+        on, name = [*keys, *names], f"_stretch{len(names)}"
+        hot = too_large(sizes, on)
+        how = "left" if names else "inner"
+        only = number(df if only is None else only, hot, on, how, name)
+        counted = number(counted, hot, on, how, name)
+        every = number(every, hot, on, "left", name)
+        names.append(name)
+        sizes = _sizes(counted, [*keys, *names], lead)
+    return every, only, names
 
 
 def in_order(
@@ -77,8 +91,8 @@ def in_order(
     up to and including the row). ``census`` is explained at ``cut_hot``.
     """
     kinds = set(want.values())
-    base, hot = cut_hot(df, keys, lead, census)
-    part = [*keys, *STRETCH]
+    base, hot, stretches = cut_hot(df, keys, lead, census)
+    part = [*keys, *stretches]
     by_row = Window.partitionBy(*part).orderBy(lead, *ties)
     by_lead = Window.partitionBy(*part).orderBy(lead)
     whole = Window.partitionBy(*part)
@@ -112,14 +126,16 @@ def in_order(
         if group:
             out = out.withColumns(group)
 
-    offsets = _stretch_offsets(hot, keys, lead, ties, kinds, row, flag)
-    out = out.join(F.broadcast(offsets), part, "left")
+    if stretches:
+        offsets = stage(_stretch_offsets(hot, keys, stretches, lead, ties, kinds, row, flag))
+        few = offsets.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+        out = out.join(F.broadcast(offsets) if few else offsets, part, "left")
 
     def shifted(local: str, offset: str) -> Column:
-        return F.col(local) + F.coalesce(F.col(offset), F.lit(0))
+        return F.col(local) + F.coalesce(F.col(offset), F.lit(0)) if stretches else F.col(local)
 
     def total(local: str, overall: str) -> Column:
-        return F.coalesce(F.col(overall), F.col(local))
+        return F.coalesce(F.col(overall), F.col(local)) if stretches else F.col(local)
 
     formulas = {
         "pos": lambda: shifted("_pos", "_before"),
@@ -130,8 +146,8 @@ def in_order(
         "size": lambda: total("_size", "_all"),
         "last": lambda: total("_last", "_last_all"),
         "first": lambda: total("_first", "_first_all"),
-        "prev": lambda: F.coalesce(F.col("_prev"), F.col("_prev_row")),
-        "next": lambda: F.coalesce(F.col("_next"), F.col("_next_row")),
+        "prev": lambda: F.coalesce(F.col("_prev"), F.col("_prev_row")) if stretches else F.col("_prev"),
+        "next": lambda: F.coalesce(F.col("_next"), F.col("_next_row")) if stretches else F.col("_next"),
         "running": lambda: shifted("_run", "_run_before"),
     }
     plain = {"prev", "next"}
@@ -141,7 +157,7 @@ def in_order(
     return out.select(*[c for c in df.columns if c not in want], *new)
 
 
-def _stretch_offsets(hot, keys, lead, ties, kinds, row, flag) -> DataFrame:
+def _stretch_offsets(hot, keys, stretches, lead, ties, kinds, row, flag) -> DataFrame:
     """One row per stretch of a hot key: what lies before it and in the whole key."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     if kinds & {"dense", "rdense"}:
@@ -157,9 +173,9 @@ def _stretch_offsets(hot, keys, lead, ties, kinds, row, flag) -> DataFrame:
         aggs.append(F.min_by(row, place).alias("_start_row"))
     if "running" in kinds:
         aggs.append(F.sum(flag).alias("_f"))
-    table = hot.groupBy(*keys, *STRETCH).agg(*aggs)
+    table = hot.groupBy(*keys, *stretches).agg(*aggs)
 
-    along = Window.partitionBy(*keys).orderBy(*STRETCH)
+    along = Window.partitionBy(*keys).orderBy(*stretches)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     over_key = Window.partitionBy(*keys)
     cols = [F.sum("_n").over(before).alias("_before"), F.sum("_n").over(over_key).alias("_all")]
@@ -175,7 +191,7 @@ def _stretch_offsets(hot, keys, lead, ties, kinds, row, flag) -> DataFrame:
         cols.append(F.lead("_start_row").over(along).alias("_next_row"))
     if "running" in kinds:
         cols.append(F.sum("_f").over(before).alias("_run_before"))
-    return table.select(*keys, *STRETCH, *cols)
+    return table.select(*keys, *stretches, *cols)
 
 
 def with_micros(ev: DataFrame) -> DataFrame:

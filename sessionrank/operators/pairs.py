@@ -18,7 +18,7 @@ from sessionrank.schema import ACTIONS, is_action
 from sessionrank.settings import cell_items, stage
 
 UNIT_SECONDS = {"SECOND": 1, "HOUR": 3600}
-WIDE_CELLS = 5_000_000
+FEW_CELLS = 100_000
 
 
 def reach_micros(max_gap: int, unit: str, strict: bool) -> int:
@@ -58,16 +58,17 @@ def pair_flags(
     def in_cells(rows: DataFrame) -> DataFrame:
         return with_micros(rows).withColumn("cell", F.col("us") - F.pmod(F.col("us"), F.lit(reach)))
 
-    # counted before the cut to the last times: an upper bound is enough here
-    wide = F.broadcast(_wide_cells(in_cells(events), cell_items(ev.sparkSession)))
-    timed = in_cells(events if last_n is None else stage(last_times(events, last_n)))
+    timed = in_cells(events if last_n is None else last_times(events, last_n))
 
     def ends(fn, head: str) -> list[Column]:
         return [fn(F.when(is_action(a), F.col("us"))).alias(f"{head}_{a}") for a in ACTIONS]
 
     key = ["session", "cell", "aid"]
-    last = timed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *ends(F.max, "hi"))
-    early = timed.groupBy(*key).agg(*ends(F.min, "lo"))
+    # read by both sides and for the sizes of the cells
+    folded = stage(timed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *ends(F.max, "hi"), *ends(F.min, "lo")))
+    last = folded.select(*key, "n", *[f"hi_{a}" for a in ACTIONS])
+    early = folded.select(*key, *[f"lo_{a}" for a in ACTIONS])
+    wide = _wide_cells(folded, cell_items(ev.sparkSession))
     first = (
         last.withColumnRenamed("aid", "aid_a")
         .join(wide, ["session", "cell"], "left")
@@ -105,19 +106,16 @@ def pair_flags(
     return _distinct_pairs(met.select("session", F.explode(both).alias("p")).select("session", "p.*"))
 
 
-def _wide_cells(timed: DataFrame, size: int) -> DataFrame:
-    """Cells with many distinct items and the number of slices to join them in.
+def _wide_cells(folded: DataFrame, size: int, cell: str = "cell") -> DataFrame:
+    """Cells with more than ``size`` distinct items and the number of slices to join them in.
 
-    Cells with few events are passed over by a plain count; items are counted for the rest
-    alone. The limit rises with the log, so that at most ``WIDE_CELLS`` cells can exceed it.
+    The limit does not depend on the log. The table is written; it is broadcast only where
+    it is known to have ``FEW_CELLS`` rows at most, and joined by a shuffle otherwise.
     """
-    total = timed.agg(F.count(F.lit(1)).alias("t")).scalar()
-    limit = F.greatest(F.lit(size), F.ceil(total / F.lit(float(WIDE_CELLS))))
-    cell = ["session", "cell"]
-    busy = timed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_events")).where(F.col("_events") > limit).select(*cell)
-    items = timed.select(*cell, "aid").join(F.broadcast(busy), cell).distinct()
-    counts = items.groupBy(*cell).agg(F.count(F.lit(1)).alias("_items"))
-    return counts.where(F.col("_items") > size).select(*cell, F.ceil(F.col("_items") / size).cast("int").alias("slices"))
+    cell = ["session", cell]
+    counts = folded.groupBy(*cell).agg(F.count(F.lit(1)).alias("_items")).where(F.col("_items") > size)
+    wide = stage(counts.select(*cell, F.ceil(F.col("_items") / size).cast("int").alias("slices")))
+    return F.broadcast(wide) if wide.limit(FEW_CELLS + 1).count() <= FEW_CELLS else wide
 
 
 def _distinct_pairs(rows: DataFrame) -> DataFrame:
@@ -136,7 +134,7 @@ def window_flags(ev: DataFrame, size: int = 2, rank: str = "row_number", last_n:
     ``rank='row_number'`` counts events, ``'dense_rank'`` counts distinct times (events at one
     time then do not pair). Positions are joined by equality on (session, position), which
     spreads a long session over all tasks; only forward offsets are joined and each meeting
-    gives both directions.
+    gives both directions. Times with many distinct items are joined in slices of the first side.
     """
     kind = {"row_number": "pos", "dense_rank": "dense"}[rank]
     want = {"at": kind}
@@ -145,7 +143,7 @@ def window_flags(ev: DataFrame, size: int = 2, rank: str = "row_number", last_n:
     placed = in_order(with_micros(ev), ["session"], "us", EVENT_TIES, want=want)
     if last_n is not None:
         placed = placed.where(F.col("_back") <= last_n)
-    spots = placed.groupBy("session", "at", "aid").agg(*[F.max(_flag(a)).alias(a) for a in ACTIONS])
+    spots = stage(placed.groupBy("session", "at", "aid").agg(*[F.max(_flag(a)).alias(a) for a in ACTIONS]))
     ahead = F.array(*[F.lit(i) for i in range(1, size + 1)])
     here = spots.select("session", "at", F.col("aid").alias("aid_a"), *[F.col(a).alias(f"a_{a}") for a in ACTIONS])
     there = spots.withColumn("ahead", F.explode(ahead)).select(
@@ -154,7 +152,14 @@ def window_flags(ev: DataFrame, size: int = 2, rank: str = "row_number", last_n:
         F.col("aid").alias("aid_b"),
         *[F.col(a).alias(f"b_{a}") for a in ACTIONS],
     )
-    met = here.join(there, ["session", "at"])
+    if rank == "dense_rank":
+        wide = _wide_cells(spots, cell_items(ev.sparkSession), "at")
+        slices = F.coalesce("slices", F.lit(1))
+        here = here.join(wide, ["session", "at"], "left").withColumn("slice", F.pmod(F.xxhash64("aid_a"), slices).cast("int")).drop("slices")
+        there = there.join(wide, ["session", "at"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("slices")
+        met = here.join(there, ["session", "at", "slice"])
+    else:
+        met = here.join(there, ["session", "at"])
     forward = F.struct(F.col("aid_a").alias("aid_x"), F.col("aid_b").alias("aid_y"), *[F.col(f"b_{a}").alias(a) for a in ACTIONS])
     back = F.struct(F.col("aid_b").alias("aid_x"), F.col("aid_a").alias("aid_y"), *[F.col(f"a_{a}").alias(a) for a in ACTIONS])
     both = met.select("session", F.explode(F.array(forward, back)).alias("p")).select("session", "p.*")
@@ -216,10 +221,11 @@ def transitions(ev: DataFrame) -> DataFrame:
 def normalise_transitions(tr: DataFrame) -> DataFrame:
     """Transition counts over the geometric mean of the outgoing totals of both items.
 
-    The counts are read three times, so they are written once.
+    The counts are read three times, so they are written once; the totals are, so that both
+    sides of the joins are shuffled for them and a popular item can be split.
     """
     tr = stage(tr)
-    out = tr.groupBy("aid_x").agg(F.sum("n").alias("_n"), F.sum("n_sessions").alias("_s"))
+    out = stage(tr.groupBy("aid_x").agg(F.sum("n").alias("_n"), F.sum("n_sessions").alias("_s")))
     left = out.select("aid_x", F.col("_n").alias("_nx"), F.col("_s").alias("_sx"))
     right = out.select(F.col("aid_x").alias("aid_y"), F.col("_n").alias("_ny"), F.col("_s").alias("_sy"))
     one = F.lit(1)

@@ -23,7 +23,7 @@ def session_features(ev: DataFrame) -> DataFrame:
         *[F.max(is_action(a).cast("int")).alias(a) for a in ACTIONS],
     )
     return folded.groupBy("session").agg(
-        whole_units(F.max("hi"), F.min("lo")).alias("search_secnonds"),
+        whole_units(F.max("hi"), F.min("lo")).alias("search_seconds"),
         F.sum("n").alias("session_size"),
         *[F.sum(a).cast("long").alias(f"{a[:-1]}_aid_session_count") for a in ACTIONS],
     )

@@ -11,14 +11,18 @@ from sessionrank.operators.lists import from_submission
 from sessionrank.schema import ACTIONS, LIST_LENGTH, LONG_LIST_LENGTH
 
 
-def rank_scores(scores: DataFrame, model: str, k: int = LONG_LIST_LENGTH, types: Sequence[str] | None = None) -> DataFrame:
-    """Score and dense rank per action in long form: (session, aid, model, action columns).
+def rank_scores(
+    scores: DataFrame, model: str, k: int = LONG_LIST_LENGTH, types: Sequence[str] | None = None, rank: str = "dense_rank"
+) -> DataFrame:
+    """Score and rank per action in long form: (session, aid, model, action columns).
 
     Kept are rows among the first ``k`` of any action. A model may lack some actions.
+    ``rank`` is ``dense_rank``, or ``row_number`` with equal scores in item order.
     """
     types = [t for t in (types or ACTIONS) if f"pred_{t}" in scores.columns]
+    place, ties = {"dense_rank": (F.dense_rank, []), "row_number": (F.row_number, ["aid"])}[rank]
     ranks = {
-        f"{t}_rank": F.dense_rank().over(Window.partitionBy("session").orderBy(F.col(f"pred_{t}").desc_nulls_last()))
+        f"{t}_rank": place().over(Window.partitionBy("session").orderBy(F.col(f"pred_{t}").desc_nulls_last(), *ties))
         for t in types
     }
     best = F.least(*[F.col(r) for r in ranks]) if len(ranks) > 1 else F.col(next(iter(ranks)))
@@ -40,7 +44,8 @@ def unpack_lists(lists: DataFrame, model: str, k: int = LONG_LIST_LENGTH) -> Dat
     """List predictions as long score rows; the rank is the place in the list.
 
     Accepts ``click_pred``/``click_pred_score`` columns (and cart, order), or submission rows
-    (``session_type, labels, scores``).
+    (``session_type, labels, scores``). A pair is kept with all its scores if any list has it
+    among its first ``k``.
     """
     if "session_type" in lists.columns:
         rows = from_submission(lists)
@@ -52,8 +57,8 @@ def unpack_lists(lists: DataFrame, model: str, k: int = LONG_LIST_LENGTH) -> Dat
     for t in ACTIONS:
         hit = F.col("_t") == t[:-1]
         aggs += [F.max(F.when(hit, F.col("score"))).alias(f"pred_{t}"), F.max(F.when(hit, F.col("place"))).alias(f"{t}_rank")]
-    wide = rows.where(F.col("place") <= k).groupBy("session", "aid").agg(*aggs)
-    return _long(wide, model)
+    wide = rows.groupBy("session", "aid").agg(*aggs, F.min("place").alias("_best"))
+    return _long(wide.where(F.col("_best") <= k), model)
 
 
 def _list_rows(name: str) -> Column:

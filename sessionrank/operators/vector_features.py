@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -20,12 +21,12 @@ def diff_to_session(df: DataFrame, cols: Sequence[str], label: str | None = None
     return df.withColumns({f"diff_{s}_{c}": F.col(c) - fn(c).over(whole) for c in cols for s, fn in stats.items()})
 
 
-def _with_last_vectors(pairs: DataFrame, ev: DataFrame, vectors: DataFrame, type: str | None) -> DataFrame:
+def _with_last_vectors(pairs: DataFrame, ev: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs with the vectors ``v`` of the candidate and ``u`` of the session's last item.
 
     The last item's vector is attached per session before it meets the pairs.
     """
-    last = last_item(ev, type).join(vectors.select(F.col("aid").alias("last_aid"), F.col("vector").alias("u")), "last_aid", "left")
+    last = last_item(ev, None).join(vectors.select(F.col("aid").alias("last_aid"), F.col("vector").alias("u")), "last_aid", "left")
     return (
         pairs.select("session", "aid")
         .join(last, "session", "left")
@@ -33,23 +34,41 @@ def _with_last_vectors(pairs: DataFrame, ev: DataFrame, vectors: DataFrame, type
     )
 
 
-def last_item_distance(
-    pairs: DataFrame, ev: DataFrame, vectors: DataFrame, prefix: str, type: str | None = None
+def last_item_distances(
+    pairs: DataFrame, ev: DataFrame, vectors: DataFrame, prefix: str, types: Sequence[str | None] = ("carts", "orders", None)
 ) -> DataFrame:
-    """Dot product and L2 distance of a candidate to the session's last item.
+    """Dot product and L2 distance of a candidate to the session's last item, and last item of an action.
 
-    Vectors of unit length are expected, so the dot product is the cosine.
+    Vectors of unit length are expected, so the dot product is the cosine. The last items'
+    vectors are brought together per session; the candidate's vector is joined once, and all
+    distances share one window.
     """
-    head = prefix if type is None else f"last_{type[:-1]}_{prefix}"
-    sim, dist = f"{head}_cosine_similarity", f"{head}_l2_distance"
-    both = _with_last_vectors(pairs, ev, vectors, type)
-    out = both.select("session", "aid", V.dot("v", "u").alias(sim), V.l2("v", "u").alias(dist))
-    return diff_to_session(out, [sim, dist])
+    u = vectors.select(F.col("aid").alias("last_aid"), "vector")
+    lasts = [last_item(ev, t).join(u, "last_aid", "left").select("session", F.col("vector").alias(f"_u{i}")) for i, t in enumerate(types)]
+    of_session = reduce(lambda x, y: x.join(y, "session", "full"), lasts)
+    both = (
+        pairs.select("session", "aid")
+        .join(of_session, "session", "left")
+        .join(vectors.select("aid", F.col("vector").alias("v")), "aid", "left")
+    )
+    cols = {}
+    for i, t in enumerate(types):
+        head = prefix if t is None else f"last_{t[:-1]}_{prefix}"
+        cols[f"{head}_cosine_similarity"] = V.dot("v", f"_u{i}")
+        cols[f"{head}_l2_distance"] = V.l2("v", f"_u{i}")
+    return diff_to_session(both.select("session", "aid", *[c.alias(n) for n, c in cols.items()]), list(cols))
+
+
+def last_item_distance(
+    pairs: DataFrame, ev: DataFrame, vectors: DataFrame, prefix: str, type: str | None = None
+) -> DataFrame:
+    """The distances to one last item."""
+    return last_item_distances(pairs, ev, vectors, prefix, [type])
 
 
 def last_item_angle(pairs: DataFrame, ev: DataFrame, vectors: DataFrame, suffix: str) -> DataFrame:
     """Squared distance and cosine of a candidate to the session's last item."""
-    both = _with_last_vectors(pairs, ev, vectors, None)
+    both = _with_last_vectors(pairs, ev, vectors)
     return both.select(
         "session", "aid", V.squared_l2("v", "u").alias(f"emb_diff_{suffix}"), V.cosine("v", "u").alias(f"emb_angle_{suffix}")
     )

@@ -28,7 +28,7 @@ from sessionrank.operators.session_items import (
     session_item_recency,
 )
 from sessionrank.operators.sessions import session_features, session_frame
-from sessionrank.operators.vector_features import last_item_angle, last_item_distance, user_item_dot
+from sessionrank.operators.vector_features import last_item_angle, last_item_distances, user_item_dot
 from sessionrank.plans import candidate_tables as C
 from sessionrank.schema import ACTIONS
 from sessionrank.settings import stage
@@ -98,10 +98,10 @@ def dataset(
     """Candidate pairs with all features, item ages and labels.
 
     Session features are computed for the sessions to predict for alone; items and averages
-    use the whole log.
+    use the whole log. ``pairs`` has each pair once, as ``user_item`` gives them.
     """
     mine = stage(semi(ev, target_sessions(ev), ["session"]))
-    base = pairs.select("session", "aid", "split").distinct().join(session_clock_keys(mine), "session", "left")
+    base = pairs.select("session", "aid", "split").join(session_clock_keys(mine), "session", "left")
     counts = session_item_features(mine)
     items = item_features(ev)
     by_pair = [session_item_recency(mine), counts]
@@ -109,8 +109,7 @@ def dataset(
         by_pair.append(session_item_cvr(counts, items, ev))
     by_pair += [features[n] for n in FEATURE_TABLES[variant]]
     if vectors is not None:
-        for type in ("carts", "orders", None):
-            by_pair += [last_item_distance(pairs, mine, v, name, type) for name, v in vectors.items.items()]
+        by_pair += [last_item_distances(pairs, mine, v, name) for name, v in vectors.items.items()]
         by_pair.append(user_item_dot(pairs, vectors.sessions, vectors.factors))
     tables = [
         (session_features(mine), ("session",)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,15 +22,28 @@ def cell_items(spark: SparkSession) -> int:
     return int(spark.conf.get(CELL_ITEMS_KEY, "20000"))
 
 
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """New folder for intermediate tables, under the cluster's shared checkpoint folder.
 
-    Only where the cluster names none (local tests) a temporary folder is taken.
+    The application's own folder there is removed when it ends. A cluster must name a shared
+    folder; only a local master may do without, and takes a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="sessionrank-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    key = (context.applicationId, base or "")
+    if key not in _ROOTS:
+        if not base and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{(base or tempfile.mkdtemp(prefix='sessionrank-')).rstrip('/')}/{context.applicationId}-{uuid.uuid4().hex}"
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS[key] = root
+    return f"{_ROOTS[key]}/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -162,3 +162,57 @@ def test_top_neighbours_needs_support_and_place(spark):
     )
     best = cv.top_neighbours(cv.pair_cvr(counts), cv.COUNTS, 3)
     assert {r["aid_y"] for r in best.collect()} == {2, 3, 4}
+
+
+def test_scores_beyond_the_cut_are_kept(spark):
+    """An item first in one list and third in another keeps both scores at k = 2."""
+    rows = [(1, [10, 20, 30], [3.0, 2.0, 1.0], [40, 50, 10], [6.0, 5.0, 4.0], None, None)]
+    kind = "session long, click_pred array<long>, click_pred_score array<double>, cart_pred array<long>, cart_pred_score array<double>, order_pred array<long>, order_pred_score array<double>"
+    got = {r["aid"]: r for r in st.unpack_lists(spark.createDataFrame(rows, kind), "m", 2).collect()}
+    assert set(got) == {10, 20, 40, 50}
+    assert (got[10]["pred_carts"], got[10]["carts_rank"], got[10]["clicks_rank"]) == (4.0, 3, 1)
+
+
+def test_missing_session_vectors_count_as_zeros(spark):
+    pairs = spark.createDataFrame([(1, 10), (2, 10)], "session long, aid long")
+    users = spark.createDataFrame([(1, [1.0, 0.0])], "session long, session_vector array<double>")
+    items = spark.createDataFrame([(10, [0.5, 0.5])], "aid long, aid_vector array<double>")
+    got = {r["session"]: r["bpr_distance"] for r in vf.user_item_dot(pairs, users, items, zero_missing=True).collect()}
+    assert got == {1: 0.5, 2: 0.0}
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sessionrank.settings import shared_dir
+
+    none = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(applicationId="a", master="spark://host:7077", getConf=lambda: none)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=none, sparkContext=context))
+
+
+def test_parts_of_a_long_session_overlap(spark):
+    from sessionrank.operators import embeddings as em
+
+    e = log(spark, [(1, i, i, "clicks") for i in range(25)])
+    parts = {r["part"]: r["items"] for r in em.sentences(e, max_len=10, overlap=3).collect()}
+    assert parts == {0: list(range(13)), 1: list(range(10, 23)), 2: list(range(20, 25))}
+    counts = em.context_counts(em.sentences(e, max_len=10, overlap=3), 3, 10).collect()
+    assert {(r["aid_x"], r["aid_y"]): r["n"] for r in counts} == {(a, b): 1 for a in range(25) for b in range(25) if 0 < abs(a - b) <= 3}
+
+
+@pytest.mark.parametrize("method", ["skipgram", "factors"])
+def test_item_vectors_tell_groups_apart(spark, method):
+    import random
+
+    from sessionrank.operators import embeddings as em
+
+    random.seed(3)
+    rows = [(s, [random.randrange(10) + 100 * (s % 2) for _ in range(12)]) for s in range(400)]
+    sents = spark.createDataFrame(rows, "session long, items array<long>")
+    v = {r["aid"]: r["vector"] for r in em.item2vec(sents, 8, 5, 1, seed=2, iterations=5, method=method).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    same = [dot(a, b) for a in range(10) for b in range(10) if a != b]
+    other = [dot(a, 100 + b) for a in range(10) for b in range(10)]
+    assert sum(same) / len(same) > sum(other) / len(other) + 0.3

@@ -69,3 +69,67 @@ def test_one_session_with_a_third_of_all_rows(spark, small_limits):
         F.lead("aid").over(w).alias("n_aid"),
     )
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("power", [1, 3, 8])
+def test_stretches_stay_below_the_limit(spark, power):
+    """Also for real scores that crowd near zero."""
+    from pyspark.sql import functions as F
+
+    from sessionrank.operators.order import cut_hot
+    from sessionrank.settings import HOT_ROWS_KEY
+
+    rows = spark.range(20_000).select(F.lit(1).alias("all"), F.pow((F.col("id") + 1) / 20_000, F.lit(float(power))).alias("s"))
+    spark.conf.set(HOT_ROWS_KEY, "500")
+    try:
+        every, only, names = cut_hot(rows, ["all"], "s")
+    finally:
+        spark.conf.unset(HOT_ROWS_KEY)
+    assert every.groupBy(*names).count().agg(F.max("count")).first()[0] <= 500
+    assert every.count() == only.count() == 20_000
+    # stretches follow the order of the scores
+    ends = every.groupBy(*names).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).orderBy(*names).collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(ends, ends[1:]))
+
+
+def test_plain_window_where_nothing_is_hot(spark):
+    from pyspark.sql import functions as F
+
+    from sessionrank.operators.order import in_order
+
+    rows = spark.range(100).select((F.col("id") % 7).alias("session"), F.col("id").alias("us"))
+    plan = in_order(rows, ["session"], "us", [], {"pos": "pos"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_popular_item_is_split(spark):
+    """One item in most sessions: the adaptive plan splits its partition in the join with the edges."""
+    from pyspark.sql import functions as F
+
+    from sessionrank.operators import covisit as cv
+
+    n = 60_000
+    latest = spark.range(n).select(F.col("id").alias("session"), F.when(F.col("id") % 10 < 9, F.lit(1)).otherwise(F.col("id") % 500).alias("aid"), F.lit(1).alias("n")).repartition(8)
+    counts = spark.range(5_000).select((F.col("id") % 500).alias("aid_x"), F.col("id").alias("aid_y"), F.lit(3).alias("weight"))
+    edges = cv.top_neighbours(counts, ["weight"], 300, then=())
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        out = cv.expand(latest, edges)
+        out.write.format("noop").mode("overwrite").save()
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == n * 10 and "skew=true" in plan
