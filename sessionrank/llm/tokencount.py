@@ -19,7 +19,7 @@ RESULT = "struct<before:long,after:long,pretokens:long,reencoded:long>"
 
 
 class Counter:
-    """Numbers of ids of pre-tokens; the last ``CACHE`` or fewer of them are remembered."""
+    """Numbers of ids of pre-tokens. Some ``CACHE`` of them are remembered, then it begins anew."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -29,10 +29,16 @@ class Counter:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, int] = {}
 
+    def counts(self, pieces: list[str]) -> np.ndarray:
+        """Of all pieces of a text; those that are not known are counted first."""
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        for p in set(pieces).difference(self.known):
+            self.known[p] = len(self.coding.encode_ordinary(p))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
     def count(self, piece: str) -> int:
         if (n := self.known.get(piece)) is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
             n = self.known[piece] = len(self.coding.encode_ordinary(piece))
         return n
 
@@ -48,7 +54,7 @@ class Tree:
         sums = np.zeros((self.width, 2), np.int64)
         if self.n:
             sums[: self.n, 0] = np.fromiter(map(len, self.pieces), np.int64, self.n)
-            sums[: self.n, 1] = np.fromiter(map(counter.count, self.pieces), np.int64, self.n)
+            sums[: self.n, 1] = counter.counts(self.pieces)
         levels = [sums]
         while len(levels[-1]) > 1:
             levels.append(levels[-1].reshape(-1, 2, 2).sum(axis=1))
@@ -73,13 +79,15 @@ class Tree:
                 start, node = start + left, node + 1
         return node - self.width, start
 
-    def _set(self, leaf: int, text: str, tokens: int) -> None:
-        self.pieces[leaf] = text
-        node = leaf + self.width
-        change = np.array([len(text), tokens], np.int64) - self.sums[node]
-        while node and change.any():
-            self.sums[node] += change
-            node //= 2
+    def _set(self, first: int, stop: int, text: str, tokens: int) -> None:
+        """Leaf ``first`` holds a text, those up to ``stop`` nothing; sums follow up to the root."""
+        self.pieces[first:stop] = [text] + [""] * (stop - first - 1)
+        a, b = first + self.width, stop + self.width
+        self.sums[a:b] = 0
+        self.sums[a] = len(text), tokens
+        while a > 1:
+            a, b = a // 2, (b - 1) // 2 + 1
+            self.sums[a:b] = self.sums[2 * a : 2 * b].reshape(-1, 2, 2).sum(axis=1)
 
     def _before(self, leaf: int, steps: int) -> int:
         while leaf > 0 and steps:
@@ -129,10 +137,7 @@ class Tree:
         kept = found[: limits[pos]] if meet is not None else found
         meet = self.n if meet is None else meet
         self.reencoded += len(kept)
-        self._set(low, "".join(kept), sum(map(self.counter.count, kept)))
-        for leaf in range(low + 1, meet):
-            if self.pieces[leaf]:
-                self._set(leaf, "", 0)
+        self._set(low, meet, "".join(kept), sum(map(self.counter.count, kept)))
 
     def text(self) -> str:
         return "".join(self.pieces)
