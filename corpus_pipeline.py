@@ -3,27 +3,32 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionrank.llm import decontaminate, mixing, simhash, tokenfile, toxicity
-from sessionrank.llm.common import read, stage
+from sessionrank.llm.common import batched, read, stage
 from sessionrank.llm.entries import dealt
 from sessionrank.settings import shared_dir
 
 
+@batched
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.mild(docs, docs, read(spark, sf_dir, "labels").where(~dealt(5, 0)))
 
 
+@batched
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_each(docs)
 
 
+@batched
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+@batched
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@batched
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     tokenfile.write(docs, path)

@@ -1,5 +1,7 @@
 """Helpers shared by the operators of this package."""
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -7,13 +9,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionrank.settings import stage
 
-__all__ = ["bounded", "fresh", "labelled", "read", "stage", "tally", "utf8"]
+__all__ = ["batched", "bounded", "fresh", "labelled", "read", "stage", "tally", "utf8"]
+
+BATCH_ROWS = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def batched(step):
+    """Texts may be long: Arrow batches of ``BATCH_ROWS`` rows at most while a query or stage is in use."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+        return step(spark, *rest)
+
+    return run
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it where the table has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sessionrank.llm import chat, decontaminate, language, mixing, quality, simhash, tokencount, tokenfile, toxicity, vectors
-from sessionrank.llm.common import read
+from sessionrank.llm.common import batched, read
 from sessionrank.settings import shared_dir
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -202,4 +202,5 @@ QUERIES = {
     "op9_weighted_mix": op9,
     "op10_pairwise_quality": op10,
 }
+QUERIES = {name: batched(build) for name, build in QUERIES.items()}
 SQL = {"op1_winnowing": OP1_SQL, "op4_hyperplane_dedup": OP4_SQL, "op7_preference_pairs": OP7_SQL, "op9_weighted_mix": OP9_SQL}

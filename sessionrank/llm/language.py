@@ -83,7 +83,7 @@ class Parser:
             self.start.append(base * CLASSES)
             self.cost.append(np.log2(len(text) + 2))
             base += len(t)
-        self.table = np.concatenate(tables).ravel()
+        self.table = np.concatenate([np.zeros((0, CLASSES), np.int32), *tables]).ravel()
 
     def phrases(self, codes: np.ndarray) -> np.ndarray:
         """Finished phrases for (languages, lanes), from (steps, lanes) of character classes."""
@@ -116,9 +116,8 @@ class Parser:
                 lanes.clear()
                 owner.clear()
 
-        flat = data.tobytes()
         for i in range(n):
-            cps = np.frombuffer(flat[cut[i] : cut[i + 1]].decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+            cps = np.frombuffer(data[cut[i] : cut[i + 1]].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
             length[i], letters[i] = len(cps), self.letter[cps].any()
             if letters[i] and k:
                 codes = self.code[cps]

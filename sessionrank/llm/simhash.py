@@ -42,8 +42,7 @@ def fingerprint(shingle: int = SHINGLE, seed: int = SEED):
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             data, cut = utf8(texts)
-            flat = data.tobytes()
-            own = [simhash(flat[a:b], shingle, seed) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            own = [simhash(data[a:b].tobytes(), shingle, seed) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.array(np.array(own, np.uint64).view(np.int64))
 
     return prints
@@ -152,15 +151,15 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int = PARTS, leaf_
                         ["leaf", "visitor", "fp"],
                     )
 
-    there = prints.select("fp").mapInArrow(routed, schema)
+    fps = prints.select("fp")
     sizes = np.zeros((parts * leaves, 2), np.int64)
-    for leaf, visitor, count in there.groupBy("leaf", "visitor").count().collect():  # two rows a leaf
+    for leaf, visitor, count in fps.mapInArrow(routed, schema).groupBy("leaf", "visitor").count().collect():  # two rows a leaf
         sizes[leaf, int(visitor)] = count
     blocks = spark.sparkContext.broadcast(np.maximum(1, -(-sizes // cell_rows)).astype(np.int64))
 
     def celled(batches):
         """Homes in block i meet homes in blocks from i on (cells i, j of the first grid) and visitors (second grid)."""
-        for batch in batches:
+        for batch in routed(batches):
             leaf, visitor, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             mix = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             n_home, n_guest = blocks.value[leaf, 0], blocks.value[leaf, 1]
@@ -195,7 +194,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int = PARTS, leaf_
         at = np.flatnonzero(root != np.arange(len(fp)))
         return pa.table({"a": pa.array(fp[at]), "b": pa.array(fp[root[at]])})
 
-    cells = there.mapInArrow(celled, "leaf long, own boolean, lo long, hi long, side boolean, fp long")
+    cells = fps.mapInArrow(celled, "leaf long, own boolean, lo long, hi long, side boolean, fp long")
     return cells.groupBy("leaf", "own", "lo", "hi").applyInArrow(compared, "a long, b long")
 
 
@@ -233,10 +232,10 @@ def one_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, **option
     prints = stage(docs.select("doc_id", hashed("text").alias("fp")))
     found = stage(groups(prints, **options))
     many = stage(prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("repeated")))
-    best = found.select("root", "component_id").distinct()
-    kept = fresh(docs, "kept_id")
-    once = stage(best.join(many, F.expr("component_id <=> repeated"), "left_anti").select(F.col("component_id").alias(kept)))
-    single = docs.join(once, F.col("doc_id") == F.col(kept), "left_semi")
+    # those that go are fewer than those that stay, unless most documents are copies
+    kept, gone = fresh(docs, "kept_id"), prints.join(found, "fp").where("doc_id <> component_id").select("doc_id")
+    gone = stage(gone.union(many.where("repeated is not null")).distinct().select(F.col("doc_id").alias(kept)))
+    single = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col(kept), "left_anti")
     if not many.limit(1).count():
         return single
     row, fp = fresh(docs, "row"), fresh(docs, "fp")

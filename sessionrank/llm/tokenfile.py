@@ -19,7 +19,7 @@ from sessionrank.llm.common import bounded, utf8
 END = 1
 BLOCK_TOKENS = 1 << 20
 ROUNDS, MIN_COUNT, RULES = 6, 24, 4_096
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 FEW_PARTS = 1_000_000
 SCHEMA = (
     "part int, block int, before long, n long, doc_ids array<long>, tokens array<long>, symbols array<long>,"
@@ -38,8 +38,9 @@ BYTE_LEVEL = {b: b for b in _KEPT} | {b: 256 + i for i, b in enumerate(_REST)}
 class Encoder:
     """Ids of whole texts, word by word: the tokenizer never joins what ASCII white space parts.
 
-    A process keeps the ids of the words that it has met, at most ``CACHE_WORDS`` of them.
-    ASCII capitals are folded as the tokenizer does it. Plain Latin words are parted into
+    A process keeps the ids of the words that it has met last, in two halves of at most about
+    ``CACHE_WORDS``: when the younger half is full, the older one is dropped, and words that
+    come back move to the younger. ASCII capitals are folded as the tokenizer does it. Plain Latin words are parted into
     their pre-tokens, which go to the tokenizer's model; any other word goes through the
     whole tokenizer.
     """
@@ -48,7 +49,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         kept = sys.modules.setdefault("_ids_of_words", types.ModuleType("_ids_of_words"))
-        self.ids: dict[bytes, bytes] = kept.__dict__.setdefault(path, {})
+        self.halves: list[dict[bytes, bytes]] = kept.__dict__.setdefault(path, [{}, {}])
 
     def _encode(self, word: bytes) -> bytes:
         if word.isalpha() and word.islower():  # ASCII letters are one pre-token
@@ -67,17 +68,19 @@ class Encoder:
         return array("i", ids).tobytes()
 
     def of(self, word: bytes) -> bytes:
-        if (got := self.ids.get(word)) is None:
-            got = self.ids[word] = self._encode(word)
+        young, old = self.halves
+        if (got := young.get(word)) is None:
+            got = young[word] = old.get(word) or self._encode(word)
         return got
 
     def encode(self, text: bytes) -> np.ndarray:
         words = (text if b"<|" in text else text.lower()).split()
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        for w in set(words).difference(self.ids):
+        if len(self.halves[0]) > CACHE_WORDS // 2:
+            self.halves[:] = {}, self.halves[0]
+        young = self.halves[0]
+        for w in set(words).difference(young):
             self.of(w)
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, words)), np.int32)
+        return np.frombuffer(b"".join(map(young.__getitem__, words)), np.int32)
 
 
 def repair(seq: np.ndarray, last: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, rules: int = RULES):
@@ -211,9 +214,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             data, cut = utf8(batch.column(1))
-            flat = data.tobytes()
             for i, doc_id in enumerate(doc_ids):
-                own = np.append(encoder.encode(flat[cut[i] : cut[i + 1]]), np.int32(end))
+                own = np.append(encoder.encode(data[cut[i] : cut[i + 1]].tobytes()), np.int32(end))
                 ids.append(own)
                 names.append(doc_id)
                 held += len(own)
