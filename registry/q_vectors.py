@@ -141,21 +141,23 @@ def item_neighbours(s, d):
     return nb.knn(item_vectors(s, d), item_vectors(s, d), 50)
 
 
-add(
-    "cand_w2v",
-    lambda s, d: cd.neighbour_candidates(small(s, d), item_neighbours(s, d), 0.85),
-    SMALL_SQL
-    + VECTORS_SQL
-    + knn_sql("SELECT aid AS k, vector AS v FROM vec", "start", 50)
-    + """
-    ends AS (SELECT session, type, aid AS start FROM log QUALIFY row_number() OVER (PARTITION BY session, type ORDER BY us DESC, aid DESC) = 1),
-    found AS (SELECT session, type, near.aid, similarity FROM ends JOIN near USING (start) WHERE near.aid <> start),
-    wide AS (SELECT session, aid, max(similarity) FILTER (type = 'clicks') AS last_click_cosine_similarity, max(similarity) FILTER (type = 'carts') AS last_cart_cosine_similarity,
-             max(similarity) FILTER (type = 'orders') AS last_order_cosine_similarity FROM found GROUP BY session, aid),
-    out AS (SELECT * FROM wide WHERE last_click_cosine_similarity >= 0.85 OR last_cart_cosine_similarity >= 0.85 OR last_order_cosine_similarity >= 0.85)""",
-    ints=["session", "aid"],
-    reals=["last_click_cosine_similarity", "last_cart_cosine_similarity", "last_order_cosine_similarity"],
-)
+# at the method's limit, and at one that many pairs of the given vectors reach
+for _name, _least in (("cand_w2v", 0.85), ("cand_w2v_wide", 0.3)):
+    add(
+        _name,
+        lambda s, d, x=_least: cd.neighbour_candidates(small(s, d), item_neighbours(s, d), x),
+        SMALL_SQL
+        + VECTORS_SQL
+        + knn_sql("SELECT aid AS k, vector AS v FROM vec", "start", 50)
+        + f"""
+        ends AS (SELECT session, type, aid AS start FROM log QUALIFY row_number() OVER (PARTITION BY session, type ORDER BY us DESC, aid DESC) = 1),
+        found AS (SELECT session, type, near.aid, similarity FROM ends JOIN near USING (start) WHERE near.aid <> start),
+        wide AS (SELECT session, aid, max(similarity) FILTER (type = 'clicks') AS last_click_cosine_similarity, max(similarity) FILTER (type = 'carts') AS last_cart_cosine_similarity,
+                 max(similarity) FILTER (type = 'orders') AS last_order_cosine_similarity FROM found GROUP BY session, aid),
+        out AS (SELECT * FROM wide WHERE last_click_cosine_similarity >= {_least} OR last_cart_cosine_similarity >= {_least} OR last_order_cosine_similarity >= {_least})""",
+        ints=["session", "aid"],
+        reals=["last_click_cosine_similarity", "last_cart_cosine_similarity", "last_order_cosine_similarity"],
+    )
 add(
     "cand_mf",
     lambda s, d: cd.explode_neighbours(nb.knn(session_vectors(s, d), item_vectors(s, d), 50, key="session", query_vec="session_vector")).select("session", "aid"),
