@@ -11,7 +11,6 @@ from sessionrank.operators import covisit as cv
 from sessionrank.operators import pairs as p
 from sessionrank.operators.candidates import grow_outer
 from sessionrank.plans import candidate_tables as C
-from sessionrank.schema import ACTIONS
 
 HOUR_US = 3_600_000_000
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from registry.core import add, joined
-from registry.logs import BIG_SQL, LABELS_SQL, SMALL_SQL, WEIGHT_SQL, big, labels, small
+from registry.logs import BIG_SQL, LABELS_SQL, SMALL_SQL, big, labels, small
 from registry.q_features import (
     DRAW,
     HOURLY_REALS,
@@ -29,7 +29,6 @@ from sessionrank.operators import dataset as ds
 from sessionrank.operators import evaluate as ev
 from sessionrank.operators import items as it
 from sessionrank.operators import lists as ls
-from sessionrank.operators import ranks as r
 from sessionrank.operators import session_items as si
 from sessionrank.operators import sessions as se
 from sessionrank.operators import stacking as st

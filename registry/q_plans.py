@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.core import add
-from registry.logs import LABELS_SQL, SESSION_VECTORS_SQL, SMALL_SQL, VECTORS_SQL, WEIGHT_SQL, item_vectors, labels, session_vectors, small
+from registry.logs import LABELS_SQL, SESSION_VECTORS_SQL, SMALL_SQL, VECTORS_SQL, item_vectors, labels, session_vectors, small
 from registry.q_covisit import (
     COUNTS_SQL,
     CVR_SQL,
@@ -23,7 +23,6 @@ from registry.q_covisit import (
     weighted_sql,
 )
 from registry.q_features import (
-    A2S_COLS,
     A2S_SQL,
     CLOCK_SQL,
     CVR_PAIR_REALS,
@@ -39,19 +38,17 @@ from registry.q_features import (
     TRANSITION_COLS,
     per_type,
 )
-from registry.q_lists import AGES, ASSEMBLE_SQL, DRAW, FLAGS_SQL, LABEL_COLS_SQL, cut, scores, submission, submission_sql, scores_sql
+from registry.q_lists import AGES, ASSEMBLE_SQL, DRAW, FLAGS_SQL, LABEL_COLS_SQL, cut, submission, submission_sql, scores_sql
 from registry.q_sources import MATRIX_FEATURES_SQL, SECOND_MATRIX_SQL, matrix
 from registry.q_vectors import FEATURES as MODEL_FEATURES, item_neighbours, train_set
 from sessionrank.operators import candidates as cd
 from sessionrank.operators import covisit as cv
-from sessionrank.operators import dataset as ds
 from sessionrank.operators import items as it
 from sessionrank.operators import learn as ml
 from sessionrank.operators import neighbours as nb
 from sessionrank.plans import ranking as R
 from sessionrank.plans import training_set as T
 from sessionrank.schema import ACTIONS
-from sessionrank.settings import stage
 from sessionrank.sources.labels import wide_ground_truth
 
 WEIGHTS = "weights AS (SELECT aid_x, aid_y, count(*) AS weight FROM met GROUP BY ALL HAVING count(*) > 1),"

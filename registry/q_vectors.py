@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.core import add, joined
-from registry.logs import BIG_SQL, LABELS_SQL, SESSION_VECTORS_SQL, SMALL_SQL, VECTORS_SQL, big, item_vectors, labels, session_vectors, small
+from registry.logs import BIG_SQL, SESSION_VECTORS_SQL, SMALL_SQL, VECTORS_SQL, big, item_vectors, labels, session_vectors, small
 from registry.q_features import DRAW
 from registry.q_lists import scores, scores_sql
 from sessionrank.functions import vectors as V
 from sessionrank.operators import candidates as cd
 from sessionrank.operators import dataset as ds
 from sessionrank.operators import embeddings as em
-from sessionrank.operators import evaluate as ev
 from sessionrank.operators import learn as ml
 from sessionrank.operators import neighbours as nb
 from sessionrank.operators import session_items as si

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionrank.functions.hashing import bucket, draw
-from sessionrank.functions.times import HOUR, US, hour_start, whole_units
+from sessionrank.functions.times import US, hour_start, whole_units
 from sessionrank.operators.filters import semi
 from sessionrank.sources.labels import label_flags
 from sessionrank.schema import ACTIONS
