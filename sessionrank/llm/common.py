@@ -1,6 +1,7 @@
 """Helpers shared by the operators of this package."""
 
 import functools
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,11 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[cut[0] : cut[-1]], cut - cut[0]
 
 
+def forget_words() -> None:
+    """Free the words that a token count of another stage has left in this process."""
+    sys.modules.pop("_ids_of_words", None)
+
+
 def tally(mask: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """How often ``mask`` holds within each of the texts."""
     total = np.zeros(len(mask) + 1, np.int64)

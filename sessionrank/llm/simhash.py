@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sessionrank.llm.common import fresh, stage, utf8
+from sessionrank.llm.common import forget_words, fresh, stage, utf8
 from sessionrank.llm.components import components, forest
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -40,6 +40,7 @@ def fingerprint(shingle: int = SHINGLE, seed: int = SEED):
 
     @arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_words()
         for texts in batches:
             data, cut = utf8(texts)
             own = [simhash(data[a:b].tobytes(), shingle, seed) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]

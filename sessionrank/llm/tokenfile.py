@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from sessionrank.llm.common import bounded, utf8
 
 END = 1
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 ROUNDS, MIN_COUNT, RULES = 6, 24, 4_096
 CACHE_WORDS = 800_000
 FEW_PARTS = 1_000_000

@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sessionrank.llm.common import fresh, labelled, stage, tally, utf8
+from sessionrank.llm.common import forget_words, fresh, labelled, stage, tally, utf8
 
 ROWS, TERMS = 10_000, 1_000
 MIN_TEXTS, MIN_SHARE, MIN_ODDS = 4, 0.02, 4.0
@@ -160,6 +160,7 @@ def featured(featurizer):
     """Column function: ``features`` of texts, in slices of bounded size."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_words()
         for texts in batches:
             parts = []
             for a in range(0, len(texts), 256):
