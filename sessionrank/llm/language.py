@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sessionrank.llm.common import utf8
+from sessionrank.llm.common import stage, utf8
 
 CHARS, PER_TEXT = 20_000, 400
 CLASSES = 96
@@ -138,22 +138,41 @@ class Parser:
         return names, score
 
 
+def _first(spans: DataFrame, keys: list[str], chars: int) -> DataFrame:
+    """Of each language the keys, in their order, before which the spans have fewer than ``chars`` characters."""
+    before = Window.partitionBy("lang").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = spans.groupBy("lang", *keys).agg(F.sum("size").alias("size"))
+    return sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < chars).select("lang", *keys)
+
+
 def samples(docs: DataFrame, chars: int = CHARS, per_text: int = PER_TEXT) -> dict[str, str]:
     """Text of each language for its automaton: from ``docs`` with text and lang, ``chars`` characters at most.
 
-    A bounded sample: of each language the rows with the smallest hash of the text, of each
-    of them ``per_text`` characters, until ``chars`` are reached. The hash does not depend on ids or order.
+    A bounded sample of spans of ``per_text`` characters. Equal texts of a language count once.
+    Texts are taken in the order of their hash, first one span of each, at a place that the hash
+    chooses in the whole text, then the span after it (the first follows the last), and so on
+    until ``chars`` are reached or all text is taken. Nothing depends on ids or order.
+
+    The limit is looked for in numbers only: turns, slots of the hash in the turns that are
+    needed, texts in the slots that are needed; texts are read again for the chosen spans.
     """
-    rows = chars // per_text
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    usable = docs.where("lang is not null and text is not null and length(trim(text)) > 0")
-    cut = usable.select("lang", F.substring("text", 1, per_text).alias("text"), F.xxhash64("text").alias("h"))
-    few = cut.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * rows).collect()
+    usable = docs.where("lang is not null and text is not null and length(trim(text)) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
+    texts = stage(usable.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n")))
+    parts = F.ceil(F.col("n") / F.lit(float(per_text))).cast("long")
+    turns = F.sequence(F.lit(0).cast("long"), F.least(F.col("parts"), F.lit(-(-chars // per_text))) - 1)
+    spans = texts.withColumn("parts", parts).withColumn("turn", F.explode(turns)).select(
+        "lang", "h", "turn", "n", F.shiftrightunsigned("h", 52).alias("slot"), F.pmod(F.pmod(F.xxhash64("h"), "parts") + F.col("turn"), "parts").alias("part")
+    )
+    spans = spans.withColumn("size", F.least(F.lit(per_text), F.col("n") - F.col("part") * per_text) + 1)
+    chosen = spans
+    for keys in (["turn"], ["turn", "slot"], ["turn", "slot", "h"]):
+        chosen = chosen.join(F.broadcast(_first(chosen, keys, chars)), ["lang", *keys])
+    at = (F.col("part") * per_text + 1).cast("int")
+    cut = usable.join(F.broadcast(stage(chosen.select("lang", "h", "turn", "slot", "part"))), ["lang", "h"])
+    cut = cut.groupBy("lang", "turn", "slot", "h").agg(F.min(F.substr("text", at, F.lit(per_text))).alias("text"))
     out: dict[str, str] = {}
-    for r in sorted(few, key=lambda r: (r["lang"], r["n"])):
-        own = out.get(r["lang"], "")
-        if len(own) < chars:
-            out[r["lang"]] = (own + r["text"] + "\n")[:chars]
+    for r in sorted(cut.collect(), key=lambda r: (r["lang"], r["turn"], r["slot"], r["h"])):
+        out[r["lang"]] = (out.get(r["lang"], "") + r["text"] + "\n")[:chars]
     return out
 
 

@@ -249,6 +249,27 @@ def test_languages_of_held_out_texts(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in out.collect())
 
 
+def test_language_samples_fold_copies_and_read_whole_texts(spark):
+    random.seed(5)
+
+    def prose(n):
+        return " ".join("".join(random.choice("abcdefghij") for _ in range(7)) for _ in range(n // 8))
+
+    # the first in the order of the signed hash is the one with copies
+    few = sorted((prose(600) for _ in range(40)), key=lambda t: (xxhash.xxh64(t, seed=42).intdigest() + 2**63) % 2**64)
+    opening = prose(400)
+    long = [opening + prose(30_000) for _ in range(3)]
+    short = [prose(16) for _ in range(3_000)]
+    rows = [("copied", few[0])] * 1_000 + [("copied", t) for t in few[1:]] + [("long", t) for t in long] + [("short", t) for t in short]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    found = language.samples(docs)
+    assert all(len(found[x]) == language.CHARS for x in ("copied", "long", "short"))
+    spans = found["copied"].split("\n")
+    assert len(set(spans)) == len(spans) and all(any(span in t for span in spans) for t in few)
+    assert sum(span[:300] in opening for span in found["long"].split("\n")[:-1]) <= 3
+    assert found == language.samples(docs.repartition(5).unionByName(docs))
+
+
 def test_languages_of_odd_rows(spark, odd):
     said = odd.select("doc_id", "text", language.identify(odd, odd).alias("x")).collect()
     assert {r.x.lang_pred for r in said if not (r.text or "").strip()} == {"und"}
