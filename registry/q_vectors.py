@@ -214,7 +214,7 @@ for _name, _method in (("emb_word2vec", None), ("emb_factors", "factors")):
     # what is determined: which items have a vector, of length 1
     add(
         _name,
-        lambda s, d, m=_method: em.item2vec(em.sentences(small(s, d), overlap=5), 64, 5, 5, seed=1, all_items=small(s, d), method=m).select(
+        lambda s, d, m=_method: em.item2vec(em.sentences(small(s, d), overlap=5), 64, 5, 5, seed=1, iterations=em.SESSION_PASSES, all_items=small(s, d), method=m).select(
             "aid", V.norm("vector").alias("norm")
         ),
         SMALL_SQL + KEPT_SQL + "out AS (SELECT DISTINCT aid, CASE WHEN aid IN (SELECT aid FROM often) THEN 1 ELSE 0 END AS norm FROM log)",
@@ -225,7 +225,7 @@ for _name, _method in (("emb_word2vec", None), ("emb_factors", "factors")):
 
 def node2vec(s, d):
     walks = em.random_walks(em.edges(small(s, d)), 20, 10, 11)
-    return em.item2vec(walks, 128, 5, 1, seed=1).select("aid", V.norm("vector").alias("norm"))
+    return em.item2vec(walks, 128, 5, 1, seed=1, iterations=em.WALK_PASSES).select("aid", V.norm("vector").alias("norm"))
 
 
 add(

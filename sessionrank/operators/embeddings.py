@@ -18,6 +18,7 @@ MAX_SENTENCE = 1000
 DRIVER_ITEMS = 1_000_000
 WORDS_PER_PARTITION = 2_000_000
 STEPS_PER_STAGE = 5
+SESSION_PASSES, WALK_PASSES = 100, 30
 
 
 def sentences(ev: DataFrame, max_len: int = MAX_SENTENCE, min_len: int = 2, overlap: int = 0) -> DataFrame:
@@ -57,7 +58,7 @@ def item2vec(
     window: int = 5,
     min_count: int = 5,
     seed: int = 0,
-    iterations: int = 1,
+    iterations: int = SESSION_PASSES,
     partitions: int | None = None,
     items_col: str = "items",
     all_items: DataFrame | None = None,
@@ -71,7 +72,9 @@ def item2vec(
     (implicit ALS) and is distributed throughout. Unless given, it is chosen by the number
     of items: up to ``DRIVER_ITEMS`` skip-gram. Its partitions follow the number of items in
     all sequences. ``max_len`` is the length at which the sequences were parted; what
-    follows in one is overlap and counts once as a left neighbour.
+    follows in one is overlap and counts once as a left neighbour. ``iterations`` are passes of
+    skip-gram over the sequences: the method takes ``SESSION_PASSES`` over sessions and
+    ``WALK_PASSES`` over walks on the graph.
     """
     sents = stage(sents.select(F.col(items_col).alias("items")))
     count = sents.select(F.explode("items").alias("aid")).groupBy("aid").agg(F.count(F.lit(1)).alias("n"))

@@ -8,11 +8,13 @@ from registry.check import compare
 from registry.logs import big, labels, small
 from registry.q_lists import pred_lists
 from registry.q_vectors import FEATURES, train_set
+from sessionrank.operators import candidates as cd
 from sessionrank.operators import covisit as cv
 from sessionrank.operators import dataset as ds
 from sessionrank.operators import embeddings as em
 from sessionrank.operators import evaluate as ev
 from sessionrank.operators import learn as ml
+from sessionrank.operators import neighbours as nb
 from sessionrank.operators import pairs as p
 from sessionrank.sources import sinks
 from sessionrank.sources.labels import wide_ground_truth
@@ -68,6 +70,18 @@ def test_word2vec_vectors_are_unit(spark, sf_dir):
     assert abs(norms[0] - 1) < 1e-6 and abs(norms[1] - 1) < 1e-6
 
 
+def test_learned_neighbours_are_those_that_occur_together(spark):
+    # 20 groups of 6 items, each in a few short sessions with items of its own group only
+    rows = [(g * 10 + s, g * 100 + (s + i * (1 + s % 5)) % 6, i) for g in range(20) for s in range(5) for i in range(6)]
+    log = spark.createDataFrame(rows, "session long, aid long, i long").select("session", "aid", F.timestamp_seconds(1_700_000_000 + F.col("i")).alias("ts"), F.lit("clicks").alias("type"))
+    sents = em.stage(em.sentences(log))
+    v = em.stage(em.item2vec(sents, 64, 5, 1, seed=1))
+    near = nb.knn(v.withColumnRenamed("aid", "q"), v, 4, key="q")
+    found = cd.explode_neighbours(near, "q").where("q <> aid").select(F.col("q").alias("aid_x"), F.col("aid").alias("aid_y"))
+    together = em.context_counts(sents, 5).select("aid_x", "aid_y")
+    assert found.join(together, ["aid_x", "aid_y"], "left_semi").count() > 0.9 * found.count() > 0
+
+
 def test_factors_of_ids_beyond_32_bits(spark, sf_dir):
     log = small(spark, sf_dir).withColumn("session", F.col("session") + 10**12)
     numbers = em.dense_ids(log, "session", "n").agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()
