@@ -2,7 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sessionrank.llm import chat, decontaminate, language, mixing, quality, simhash, tokencount, tokenfile, toxicity, vectors
+from sessionrank.llm import (
+    alignment, chat, decontaminate, htmltext, language, mixing, quality, simhash, tokencount, tokenfile, toxicity, vectors, whitening,
+)
 from sessionrank.llm.common import batched, read
 from sessionrank.settings import shared_dir
 
@@ -190,6 +192,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", dealt(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = rows.select("vec_id", "white", F.posexplode("white.whitened").alias("pos", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("pos") + 1).alias("component"),
+        "white.n",
+        "white.deviation",
+        "whitened",
+        F.get("white.explained", F.col("pos")).alias("explained"),
+        "white.identity_error",
+    )
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned(read(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select(F.col("doc_id").cast("long"), *alignment.FIELDS, digest.alias("groups_sha256"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extracted(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_winnowing": op1,
     "op2_edit_counts": op2,
@@ -201,6 +228,9 @@ QUERIES = {
     "op8_boosted_toxicity": op8,
     "op9_weighted_mix": op9,
     "op10_pairwise_quality": op10,
+    "op11_qdwh_whitening": op11,
+    "op12_arrow_alignment": op12,
+    "op13_flat_blocks": op13,
 }
 QUERIES = {name: batched(build) for name, build in QUERIES.items()}
 SQL = {"op1_winnowing": OP1_SQL, "op4_hyperplane_dedup": OP4_SQL, "op7_preference_pairs": OP7_SQL, "op9_weighted_mix": OP9_SQL}
