@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sessionrank.functions.hashing import bucket, draw
 from sessionrank.functions.times import US, hour_start, whole_units
 from sessionrank.operators.filters import semi
+from sessionrank.operators.order import in_order
 from sessionrank.sources.labels import label_flags
 from sessionrank.schema import ACTIONS
 from sessionrank.settings import stage
@@ -17,6 +18,7 @@ from sessionrank.settings import stage
 PAIR = ("session", "aid")
 SLOTS = 65_536
 FEW_VALUES = 100_000
+PART_VALUES = 1_000_000
 
 
 def assemble(pairs: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
@@ -108,6 +110,28 @@ def add_fold(df: DataFrame, n: int = 5, seed: int = 0, key: str = "session") ->
     return df.withColumn("fold", bucket(key, n=n, seed=seed))
 
 
+def deal_folds(df: DataFrame, n: int = 5, seed: int = 0, key: str = "session") -> DataFrame:
+    """Folds of even size; all rows of a session share one.
+
+    Sessions are numbered by falling size, equal sizes in random order, and dealt to the folds
+    forth and back (0 to n - 1, then n - 1 to 0), so no two folds differ by more rows than the
+    largest session has. The histogram of sizes, with at most sqrt(2 N) rows for N rows, gives the
+    first number of each size; sessions of one size are numbered among themselves, in several
+    tasks where they are many. NULL sessions are one session.
+    """
+    sizes = stage(df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_size")).withColumn("_draw", draw("_key", seed=seed)))
+    histogram = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("_n"))
+    larger = Window.orderBy(F.col("_size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    first = stage(histogram.select("_size", F.coalesce(F.sum("_n").over(larger), F.lit(0)).alias("_first")))
+    placed = in_order(sizes, ["_size"], "_draw", ["_key"], want={"_pos": "pos"})
+    turn = F.pmod(F.col("_first") + F.col("_pos") - 1, F.lit(2 * n))
+    few = first.limit(FEW_VALUES + 1).count() <= FEW_VALUES
+    dealt = placed.join(F.broadcast(first) if few else first, "_size").select(
+        "_key", F.when(turn < n, turn).otherwise(2 * n - 1 - turn).alias("fold")
+    )
+    return df.join(dealt, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 def _any_positive(labels: Sequence[str]) -> Column:
     return F.greatest(*[F.col(c) for c in labels]) == 1 if len(labels) > 1 else F.col(labels[0]) == 1
 
@@ -169,20 +193,31 @@ def dense_ids(df: DataFrame, col: str, name: str) -> DataFrame:
     return placed.select(col, (F.col("_start") + F.col("_rn") - 1).cast("int").alias(name))
 
 
-def _coded(df: DataFrame, c: str) -> DataFrame:
-    """A category column as numbers from 0; NULL is the number after the last.
+def ordered_ids(df: DataFrame, col: str, name: str, part_values: int = PART_VALUES) -> DataFrame:
+    """Number the distinct values of a column from 0 in their order.
 
-    Up to ``FEW_VALUES`` values are numbered in alphabetical order, more in the order of a
-    hash, so that no task or driver holds all of them.
+    Values are dealt to ranges of about ``part_values``; each range is numbered on its own and
+    shifted by the sizes of the ranges before it. NULL is the first value, where there is one.
     """
+    values = stage(df.select(col).distinct())
+    parts = max(1, -(-values.count() // part_values))
+    ranged = stage(values.repartitionByRange(parts, col).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range in this window
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(col))
+    placed = ranged.withColumn("_rn", inside).join(F.broadcast(starts), "_part")
+    return placed.select(col, (F.col("_start") + F.col("_rn") - 1).alias(name))
+
+
+def _coded(df: DataFrame, c: str) -> DataFrame:
+    """A category column as numbers from 0 in alphabetical order; NULL is the number after the last."""
     texts = df.withColumn(c, F.col(c).cast("string"))
-    values = stage(texts.select(c).where(F.col(c).isNotNull()).distinct())
-    n = values.count()
-    if n <= FEW_VALUES:
-        codes = F.broadcast(values.select(c, (F.row_number().over(Window.orderBy(c)) - 1).alias("_code")))
-    else:
-        codes = stage(dense_ids(values, c, "_code"))
+    codes = stage(ordered_ids(texts.where(F.col(c).isNotNull()), c, "_code"))
+    n = codes.count()
     number = F.coalesce("_code", F.lit(n)).cast("double")
+    codes = F.broadcast(codes) if n <= FEW_VALUES else codes
     return texts.join(codes, c, "left").withColumn(c, number).drop("_code").select(*df.columns)
 
 

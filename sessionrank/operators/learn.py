@@ -55,9 +55,11 @@ def cross_fit(
     """A model per fold on the other folds, and the score of every row by the model that did
     not see its session, as (session, aid, pred).
 
-    ``only_positive_sessions`` trains on sessions with a positive candidate; all are scored.
+    ``only_positive_sessions`` trains on sessions with a positive candidate; all are scored. Fold numbers
+    from ``n_folds`` up count from 0 again and NULL is 0, so that every row has a model that leaves it out.
     """
-    rows = stage(_features(df, features).select("session", "aid", fold, label, "_x"))
+    number = F.coalesce(F.pmod(F.col(fold).cast("long"), F.lit(n_folds)), F.lit(0)).alias(fold)
+    rows = stage(_features(df, features).select("session", "aid", number, label, "_x"))
     models, parts = [], []
     for i in range(n_folds):
         train = rows.where(F.col(fold) != i)

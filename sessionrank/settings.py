@@ -58,6 +58,12 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that its maker has read for the last time."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings the operators are designed for; sizes are left to the cluster."""
     return (
