@@ -12,6 +12,7 @@ from sessionrank.functions import vectors as V
 from sessionrank.operators import candidates as cd
 from sessionrank.operators import dataset as ds
 from sessionrank.operators import embeddings as em
+from sessionrank.operators import factorise as fa
 from sessionrank.operators import learn as ml
 from sessionrank.operators import neighbours as nb
 from sessionrank.operators import session_items as si
@@ -136,6 +137,26 @@ add(
     reals=["similarity"],
 )
 
+def found_by_lists(s, d):
+    """How many neighbours each item gets, and whether its own are what the exact way says in nine of ten places over all."""
+    v = item_vectors(s, d)
+    q = v.withColumnRenamed("aid", "q")
+    found, exact = stage(nb.knn(q, v, 50, key="q", method="ivf")), nb.knn(q, v, 50, key="q")
+    good = int(nb.recall_of(found, exact, "q") >= 0.9)
+    return found.select("q", F.size("neighbor_aids").alias("n"), F.get("neighbor_aids", F.lit(0)).alias("nearest"), F.lit(good).alias("good"))
+
+
+# what is determined of approximate neighbours: their number, the item itself, and the recall
+add(
+    "knn_items_ivf",
+    found_by_lists,
+    VECTORS_SQL
+    + knn_sql("SELECT aid AS k, vector AS v FROM vec", "q", 50)
+    + "out AS (SELECT q, count(*) AS n, any_value(aid) FILTER (place = 0) AS nearest, 1 AS good FROM near GROUP BY q)",
+    ints=["q", "n", "nearest", "good"],
+)
+
+
 def item_neighbours(s, d):
     return nb.knn(item_vectors(s, d), item_vectors(s, d), 50)
 
@@ -210,7 +231,7 @@ seen AS (SELECT *, lag(aid) OVER (PARTITION BY session ORDER BY us, aid, type) A
 kept AS (SELECT * FROM seen WHERE before IS DISTINCT FROM aid),
 often AS (SELECT aid FROM kept GROUP BY aid HAVING count(*) >= 5),
 """
-for _name, _method in (("emb_word2vec", None), ("emb_factors", "factors")):
+for _name, _method in (("emb_word2vec", "skipgram"), ("emb_factors", "factors")):
     # what is determined: which items have a vector, of length 1
     add(
         _name,
@@ -225,7 +246,9 @@ for _name, _method in (("emb_word2vec", None), ("emb_factors", "factors")):
 
 def node2vec(s, d):
     walks = em.random_walks(em.edges(small(s, d)), 20, 10, 11)
-    return em.item2vec(walks, 128, 5, 1, seed=1, iterations=em.WALK_PASSES).select("aid", V.norm("vector").alias("norm"))
+    # a node and the nine that follow it, one uniform noise node each
+    v = em.item2vec(walks, 128, 9, 1, seed=1, iterations=em.WALK_PASSES, negatives=1, exponent=em.WALK_NOISE, sample=0, shrink=False)
+    return v.select("aid", V.norm("vector").alias("norm"))
 
 
 add(
@@ -237,13 +260,73 @@ add(
 )
 
 
-def factors(s, d):
-    users, items = em.implicit_factors(small(s, d), seed=1)
-    out = vf.user_item_dot(target_pairs(s, d), users, items)
-    return out.withColumn("known", F.col("bpr_distance").isNotNull().cast("long"))
+def sents_of(s, d):
+    return stage(em.sentences(small(s, d), overlap=5).select("items", F.monotonically_increasing_id().alias("sent")))
+
+
+PAIRS_SQL = (
+    SMALL_SQL
+    + KEPT_SQL
+    + f"""
+    many AS (SELECT aid, count(*) AS n, {em.SAMPLE} * (SELECT count(*) FROM kept WHERE aid IN (SELECT aid FROM often)) / count(*) AS q
+             FROM kept WHERE aid IN (SELECT aid FROM often) GROUP BY aid),
+    many2 AS (SELECT *, least(1.0, sqrt(q) + q) AS keep, CAST(greatest(1, round(1e6 * pow(n, {em.SESSION_NOISE}))) AS BIGINT) AS noise FROM many),
+    pos AS (SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY us, aid, type) AS p FROM kept WHERE aid IN (SELECT aid FROM often)),
+    near AS (SELECT a.aid AS x, b.aid AS y, (6 - (b.p - a.p)) / 5.0 AS w FROM pos a JOIN pos b ON a.session = b.session AND b.p BETWEEN a.p + 1 AND a.p + 5),
+    both_ways AS (SELECT x AS aid_x, y AS aid_y, w FROM near UNION ALL SELECT y, x, w FROM near),
+    pairs AS (SELECT aid_x, aid_y, sum(w) * any_value(a.keep) * any_value(b.keep) AS w FROM both_ways JOIN many2 a ON a.aid = aid_x JOIN many2 b ON b.aid = aid_y GROUP BY ALL),
+    """
+)
+add("emb_skipgram_pairs", lambda s, d: em.skipgram_pairs(sents_of(s, d)), PAIRS_SQL + "out AS (SELECT * FROM pairs)", ints=["aid_x", "aid_y"], reals=["w"])
+
+
+def noise_sql(pairs: str, left: str, right: str, weights: str, turn: int, seed: int) -> str:
+    """The noise item of each pair, from the running sum of the weights of the right ids."""
+    return f"""
+    ln AS (SELECT {left}, row_number() OVER (ORDER BY {DRAW.format(key=left + '::VARCHAR', seed=0)}, {left}) - 1 AS l FROM (SELECT DISTINCT {left} FROM {pairs})),
+    rn AS (SELECT {right}, row_number() OVER (ORDER BY {DRAW.format(key=right + '::VARCHAR', seed=0)}, {right}) - 1 AS r FROM (SELECT DISTINCT {right} FROM {pairs})),
+    upto AS (SELECT {right} AS other, r AS o, coalesce(sum(w) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
+                    sum(w) OVER (ORDER BY r) AS hi, sum(w) OVER () AS total FROM rn JOIN ({weights}) w USING ({right})),
+    fell AS (SELECT {left}, {right}, floor(CAST({fa.mixed_sql('l', 'r', str(turn), seed)} AS DOUBLE) / CAST(4294967296 AS DOUBLE) * CAST((SELECT max(total) FROM upto) AS DOUBLE)) AS u
+           FROM {pairs} JOIN ln USING ({left}) JOIN rn USING ({right})),
+    noise AS (SELECT {left}, {right}, other FROM fell JOIN upto ON u >= lo AND u < hi),
+    """
+
+
+def skipgram_noise(s, d):
+    sents = sents_of(s, d)
+    return fa.drawn_noise(em.skipgram_pairs(sents), "aid_x", "aid_y", em.noise_weights(sents).withColumnRenamed("aid", "aid_y"), 3, 1)
+
+
+add(
+    "emb_skipgram_noise",
+    skipgram_noise,
+    PAIRS_SQL + noise_sql("pairs", "aid_x", "aid_y", "SELECT aid AS aid_y, noise AS w FROM many2", 3, 1) + "out AS (SELECT * FROM noise)",
+    ints=["aid_x", "aid_y", "other"],
+)
+CONTACTS_SQL = SMALL_SQL + "contacts AS (SELECT DISTINCT session, aid FROM log),"
+add(
+    "emb_bpr_triples",
+    lambda s, d: fa.drawn_noise(stage(em.contacts(small(s, d))), "session", "aid", em.popularity(small(s, d)), 0, 1, unseen=True),
+    CONTACTS_SQL
+    + noise_sql("contacts", "session", "aid", "SELECT aid, count(*) AS w FROM contacts GROUP BY aid", 0, 1)
+    + "out AS (SELECT n.* FROM noise n ANTI JOIN contacts c ON c.session = n.session AND c.aid = n.other)",
+    ints=["session", "aid", "other"],
+)
+
+
+def factors(learn):
+    def run(s, d):
+        users, items = learn(small(s, d), seed=1)
+        out = vf.user_item_dot(target_pairs(s, d), users, items)
+        return out.withColumn("known", F.col("bpr_distance").isNotNull().cast("long"))
+
+    return run
 
 
-add("emb_mf", factors, SMALL_SQL + "out AS (SELECT DISTINCT session, aid, 1 AS known FROM log WHERE split <> 'train')", ints=["session", "aid", "known"])
+# which pairs have both vectors; the draws they are learned from are in emb_bpr_triples
+for _name, _learn in (("emb_mf", em.ranking_factors), ("emb_als", em.implicit_factors)):
+    add(_name, factors(_learn), SMALL_SQL + "out AS (SELECT DISTINCT session, aid, 1 AS known FROM log WHERE split <> 'train')", ints=["session", "aid", "known"])
 
 # --- learning ---------------------------------------------------------------------------
 FEATURES = ["visit_count_clicks", "visit_count_carts", "visit_count_orders", "max_seconds_to_latest", "pred_clicks", "pred_carts", "session_size"]

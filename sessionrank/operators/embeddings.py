@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from dataclasses import replace
+
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
 from sessionrank.functions import vectors as V
 from sessionrank.functions.hashing import draw
+from sessionrank.operators import factorise as fa
 from sessionrank.operators.dataset import dense_ids
 from sessionrank.operators.filters import dedup_consecutive
 from sessionrank.operators.order import EVENT_TIES, in_order, with_micros
 from sessionrank.settings import stage
 
 MAX_SENTENCE = 1000
-DRIVER_ITEMS = 1_000_000
-WORDS_PER_PARTITION = 2_000_000
 STEPS_PER_STAGE = 5
-SESSION_PASSES, WALK_PASSES = 100, 30
+SESSION_PASSES, WALK_PASSES, RANK_PASSES = 100, 30, 30
+# Share above which items are thinned out, and exponents of the noise of sessions and of walks.
+SAMPLE, SESSION_NOISE, WALK_NOISE = 1e-4, -0.5, 0.0
 
 
 def sentences(ev: DataFrame, max_len: int = MAX_SENTENCE, min_len: int = 2, overlap: int = 0) -> DataFrame:
@@ -59,31 +60,36 @@ def item2vec(
     min_count: int = 5,
     seed: int = 0,
     iterations: int = SESSION_PASSES,
-    partitions: int | None = None,
     items_col: str = "items",
     all_items: DataFrame | None = None,
-    method: str | None = None,
+    method: str = "skipgram",
     max_len: int = MAX_SENTENCE,
+    negatives: int = 5,
+    exponent: float = SESSION_NOISE,
+    sample: float = SAMPLE,
+    shrink: bool = True,
+    settings: fa.Settings = fa.Settings(),
 ) -> DataFrame:
     """Unit item vectors learned from item sequences; items of ``all_items`` never seen get zeros.
 
-    ``method='skipgram'`` is Word2Vec, whose model (items times dimensions) is held by the
-    driver; ``'factors'`` factorises the counts of items within ``window`` of each other
-    (implicit ALS) and is distributed throughout. Unless given, it is chosen by the number
-    of items: up to ``DRIVER_ITEMS`` skip-gram. Its partitions follow the number of items in
-    all sequences. ``max_len`` is the length at which the sequences were parted; what
-    follows in one is overlap and counts once as a left neighbour. ``iterations`` are passes of
-    skip-gram over the sequences: the method takes ``SESSION_PASSES`` over sessions and
-    ``WALK_PASSES`` over walks on the graph.
+    ``method='skipgram'`` learns, for any number of items, from the weighted pairs of ``skipgram_pairs``
+    against ``negatives`` noise items each, drawn with their count to the power of ``exponent``, in
+    ``iterations`` passes over the distinct pairs; ``'factors'`` factorises the counts of items
+    within ``window`` of each other (implicit ALS). ``max_len`` is the length at which the sequences were
+    parted; what follows in one is overlap and counts once as a left neighbour.
     """
-    sents = stage(sents.select(F.col(items_col).alias("items")))
-    count = sents.select(F.explode("items").alias("aid")).groupBy("aid").agg(F.count(F.lit(1)).alias("n"))
-    known, total = count.agg(F.count(F.lit(1)), F.sum("n")).first()
-    if (method or ("skipgram" if known <= DRIVER_ITEMS else "factors")) == "factors":
-        found = _context_factors(sents, count.where(F.col("n") >= min_count), dim, window, seed, max_len)
+    sents = stage(sents.select(F.col(items_col).alias("items"), F.monotonically_increasing_id().alias("sent")))
+    count = _counts(sents, max_len).where(F.col("n") >= min_count)
+    if method == "factors":
+        found = _context_factors(sents, count, dim, window, seed, max_len)
+    elif method == "skipgram":
+        pairs = skipgram_pairs(sents, window, min_count, sample, max_len, shrink)
+        own = replace(settings, loss="skipgram", dim=dim, passes=iterations, negatives=negatives, seed=seed)
+        vectors, _ = fa.learned(pairs, "aid_x", "aid_y", noise_weights(sents, min_count, exponent, max_len).withColumnRenamed("aid", "aid_y"), own)
+        # an item that never has a neighbour keeps no direction
+        found = count.select("aid").join(vectors.select(F.col("aid_x").alias("aid"), V.unit("vector").alias("vector")), "aid")
     else:
-        parts = partitions or max(1, -(-(total or 0) // WORDS_PER_PARTITION))
-        found = _skipgram(sents, dim, window, min_count, seed, iterations, parts)
+        raise ValueError(f"method is skipgram or factors, not {method}")
     if all_items is None:
         return found
     zeros = F.array_repeat(F.lit(0.0), dim)
@@ -92,6 +98,48 @@ def item2vec(
     )
 
 
+def _counts(sents: DataFrame, max_len: int) -> DataFrame:
+    """How often each item occurs, overlaps left out."""
+    each = sents.select(F.posexplode("items").alias("i", "aid")).where(F.col("i") < max_len)
+    return each.groupBy("aid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def noise_weights(sents: DataFrame, min_count: int = 5, exponent: float = SESSION_NOISE, max_len: int = MAX_SENTENCE) -> DataFrame:
+    """(aid, w): whole numbers in proportion to the count to the power of ``exponent``; the count itself for 1."""
+    scale = 1.0 if exponent >= 1 else 1e6
+    weight = F.greatest(F.lit(1), F.round(F.lit(scale) * F.pow(F.col("n").cast("double"), F.lit(float(exponent)))).cast("long"))
+    return _counts(sents, max_len).where(F.col("n") >= min_count).select("aid", weight.alias("w"))
+
+
+def skipgram_pairs(
+    sents: DataFrame, window: int = 5, min_count: int = 5, sample: float = SAMPLE, max_len: int = MAX_SENTENCE, shrink: bool = True
+) -> DataFrame:
+    """(aid_x, aid_y, w) of items within ``window`` of each other in ``sents`` (sent, items), in both directions.
+
+    Items below ``min_count`` are taken out before distances count. Instead of drawing a window from 1 to
+    ``window`` for each item and drawing which occurrences are kept, every pair has the weight that these draws
+    give it on average: (window - distance + 1) / window, with ``shrink``, times both items' chances
+    sqrt(sample / share) + sample / share, 1 at most, of being kept. What the learner reads is
+    bounded by the pairs of items, not by the log.
+    """
+    count = _counts(sents, max_len).where(F.col("n") >= min_count)
+    total = count.agg(F.sum("n")).scalar()
+    share = F.lit(sample) * total / F.col("n")
+    keep = F.least(F.lit(1.0), F.sqrt(share) + share) if sample else F.lit(1.0)
+    known = stage(count.select("aid", keep.alias("keep")))
+    each = sents.select("sent", F.posexplode("items").alias("i", "aid")).join(known, "aid")
+    # a part has no more than max_len items and the overlap
+    parts = each.groupBy("sent").agg(F.sort_array(F.collect_list(F.struct("i", "aid"))).alias("s"))
+    at = parts.select("s", F.posexplode("s").alias("p", "x")).where(F.col("x.i") < max_len)
+    near = at.select(F.col("x.aid").alias("x"), F.posexplode(F.expr(f"slice(s, p + 2, {window})")).alias("k", "y"))
+    weight = F.sum((F.lit(window) - F.col("k")) / F.lit(window)) if shrink else F.sum(F.lit(1.0))
+    sums = near.groupBy("x", F.col("y.aid").alias("y")).agg(weight.alias("w"))
+    both = F.explode(F.array(F.struct(F.col("x").alias("aid_x"), F.col("y").alias("aid_y")), F.struct(F.col("y").alias("aid_x"), F.col("x").alias("aid_y"))))
+    sums = sums.select(both.alias("p"), "w").groupBy("p.aid_x", "p.aid_y").agg(F.sum("w").alias("w"))
+    x, y = (known.select(F.col("aid").alias(f"aid_{c}"), F.col("keep").alias(f"_{c}")) for c in "xy")
+    return sums.join(x, "aid_x").join(y, "aid_y").select("aid_x", "aid_y", (F.col("w") * F.col("_x") * F.col("_y")).alias("w"))
+
+
 def context_counts(sents: DataFrame, window: int, max_len: int = MAX_SENTENCE) -> DataFrame:
     """How often two items are at most ``window`` apart, in both directions: (aid_x, aid_y, n)."""
     at = sents.select("items", F.posexplode("items").alias("i", "aid")).where(F.col("i") < max_len)
@@ -110,24 +158,6 @@ def _context_factors(sents: DataFrame, count: DataFrame, dim: int, window: int,
     return named.select("aid", V.unit(F.col("features").cast("array<double>")).alias("vector"))
 
 
-def _skipgram(sents: DataFrame, dim: int, window: int, min_count: int, seed: int, iterations: int, partitions: int) -> DataFrame:
-    words = sents.select(F.transform("items", lambda x: x.cast("string")).alias("words"))
-    model = Word2Vec(
-        inputCol="words",
-        outputCol="_v",
-        vectorSize=dim,
-        windowSize=window,
-        minCount=min_count,
-        seed=seed,
-        maxIter=iterations,
-        numPartitions=partitions,
-        maxSentenceLength=MAX_SENTENCE + window,
-    ).fit(words)
-    return model.getVectors().select(
-        F.col("word").cast("long").alias("aid"), V.unit(vector_to_array("vector")).alias("vector")
-    )
-
-
 def random_walks(edge_list: DataFrame, length: int = 20, per_node: int = 10, seed: int = 0) -> DataFrame:
     """Uniform random walks of at most ``length`` nodes, ``per_node`` from every start node.
 
@@ -189,3 +219,27 @@ def implicit_factors(
         named(model.userFactors, users, "_u", "session", "session_vector"),
         named(model.itemFactors, items, "_i", "aid", "aid_vector"),
     )
+
+
+def contacts(ev: DataFrame) -> DataFrame:
+    """(session, aid, w): each item of a session once."""
+    return ev.select("session", "aid").distinct().withColumn("w", F.lit(1.0))
+
+
+def popularity(ev: DataFrame) -> DataFrame:
+    """(aid, w): the number of sessions that have an item, by which noise items are drawn."""
+    return contacts(ev).groupBy("aid").agg(F.count(F.lit(1)).alias("w"))
+
+
+def ranking_factors(
+    ev: DataFrame, rank: int = 64, passes: int = RANK_PASSES, seed: int = 0, decay: float = 0.001, settings: fa.Settings = fa.Settings()
+) -> tuple[DataFrame, DataFrame]:
+    """Session and item vectors by Bayesian personalised ranking, ``rank`` + 1 numbers each.
+
+    From distinct (session, item) contacts: each is to score above an item that the session does not have, drawn by its
+    number of sessions in each of ``passes`` passes. The last number of an item is its bias, that of a session 1.
+    """
+    seen = stage(contacts(ev))
+    own = replace(settings, loss="bpr", dim=rank, passes=passes, seed=seed, decay=decay)
+    users, items = fa.learned(seen, "session", "aid", popularity(ev), own)
+    return users.withColumnRenamed("vector", "session_vector"), items.withColumnRenamed("vector", "aid_vector")

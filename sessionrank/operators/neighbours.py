@@ -1,9 +1,13 @@
-"""Exact nearest neighbours by cosine."""
+"""Nearest neighbours by cosine: exact over a grid of cells, or by an inverted file with exact re-ranking."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionrank.functions import vectors as V
@@ -12,6 +16,9 @@ from sessionrank.settings import stage
 CELL_ROWS = 250_000
 CHUNK_VALUES = 16_000_000
 SCORED = "key long, aid long, similarity double"
+#: Rows that centroids are learned from and queries that the recall is measured on, at most.
+SAMPLE_ROWS, SAMPLE_QUERIES, MAX_LISTS = 100_000, 256, 4_096
+RECALL = 0.95
 
 
 def _spread(df: DataFrame, own: str, other: str, cells: int, other_cells: int) -> DataFrame:
@@ -68,24 +75,123 @@ def knn(
     query_vec: str = "vector",
     item_vec: str = "vector",
     cell_rows: int = CELL_ROWS,
+    method: str = "exact",
+    recall: float = RECALL,
+    lists: int | None = None,
 ) -> DataFrame:
     """The ``k`` most similar items per query as (key, neighbor_aids, cosine_similarity).
 
-    Exact: queries and items are spread over a grid of cells of bounded size, a task
+    ``method='exact'``: queries and items are spread over a grid of cells of bounded size, a task
     multiplies the two vector blocks of its cell and emits only the ``k`` best per query, and
-    these are then reduced per query. Queries or items without a usable vector are left out.
+    these are then reduced per query. ``method='ivf'``: every item is in the list of its nearest centroid, a query looks
+    into as many of its nearest lists as a sample of queries needs to find ``recall`` of their exact
+    neighbours, and no fewer than hold ``k`` items; inside lists the same exact products. Queries or items without a usable vector are left out.
     """
     # read for its size and for the grid
     q = stage(queries.where(V.norm(query_vec) > 0).select(F.col(key).alias("k"), V.unit(query_vec).alias("v")))
     i = stage(items.where(V.norm(item_vec) > 0).select(F.col("aid").alias("k"), V.unit(item_vec).alias("v")))
-    q_cells, i_cells = (max(1, -(-x.count() // cell_rows)) for x in (q, i))
-    left = _spread(q, "qc", "ic", q_cells, i_cells)
-    right = _spread(i, "ic", "qc", i_cells, q_cells)
-    grid = left.groupBy("qc", "ic").cogroup(right.groupBy("qc", "ic"))
-    scored = grid.applyInArrow(best_matches(k), SCORED)
+    if method == "ivf":
+        q, i = _listed(q, i, k, recall, lists)
+        left, right, by = *_split_lists(q, i, cell_rows), ["list", "qc", "ic"]
+    elif method == "exact":
+        q_cells, i_cells = (max(1, -(-x.count() // cell_rows)) for x in (q, i))
+        left, right, by = _spread(q, "qc", "ic", q_cells, i_cells), _spread(i, "ic", "qc", i_cells, q_cells), ["qc", "ic"]
+    else:
+        raise ValueError(f"method is exact or ivf, not {method}")
+    return _best_lists(left, right, by, k, key)
+
+
+def _best_lists(left: DataFrame, right: DataFrame, by: list[str], k: int, key: str) -> DataFrame:
+    scored = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best_matches(k), SCORED)
     best = Window.partitionBy("key").orderBy(F.col("similarity").desc(), "aid")
     top = scored.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
     lists = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_rn", "aid", "similarity"))).alias("n"))
     return lists.select(
         F.col("key").alias(key), F.col("n.aid").alias("neighbor_aids"), F.col("n.similarity").alias("cosine_similarity")
     )
+
+
+def _sampled(df: DataFrame, rows: int) -> DataFrame:
+    """The rows with the smallest hashes of their ids."""
+    return df.orderBy(F.xxhash64("k"), "k").limit(rows)
+
+
+def centroids(items: DataFrame, lists: int, seed: int = 0) -> np.ndarray:
+    """Unit centres of ``lists`` groups of the sampled unit vectors; ``MAX_LISTS`` at most, so a task can hold them."""
+    model = KMeans(k=max(2, min(lists, MAX_LISTS)), maxIter=10, seed=seed, distanceMeasure="cosine").fit(
+        stage(_sampled(items, SAMPLE_ROWS).select(array_to_vector("v").alias("features")))
+    )
+    c = np.array(model.clusterCenters())
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest_lists(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """(k, v, lists): the numbers of the ``n`` nearest centres, nearest first, equal ones by number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = len(batch)
+            if rows:
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+                order = np.argsort(-np.round(v @ centres.T, 12), axis=1, kind="stable")[:, :n].astype(np.int32)
+                lists = pa.ListArray.from_arrays(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32), pa.array(order.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), lists], ["k", "v", "lists"])
+
+    kind = df.schema["k"].dataType.simpleString()
+    return df.mapInArrow(run, f"k {kind}, v array<double>, lists array<int>")
+
+
+def _listed(q: DataFrame, i: DataFrame, k: int, recall: float, lists: int | None) -> tuple[DataFrame, DataFrame]:
+    """Queries with each list that they look into, and items with their own."""
+    n = i.count()
+    if n <= 2 * k:  # one list
+        return q.withColumn("list", F.lit(0)), i.withColumn("list", F.lit(0))
+    centres = centroids(i, lists or int(np.ceil(np.sqrt(n))))
+    own = stage(_nearest_lists(i, centres, 1).select("k", "v", F.col("lists")[0].alias("list")))
+    size = np.zeros(len(centres), np.int64)
+    for r in own.groupBy("list").count().collect():
+        size[r["list"]] = r["count"]
+    few = stage(_sampled(q, SAMPLE_QUERIES))
+    exact = _best_lists(_spread(few, "qc", "ic", 1, cells := max(1, -(-n // CELL_ROWS))), _spread(own.select("k", "v"), "ic", "qc", cells, 1), ["qc", "ic"], k, "k")
+    found = exact.select("k", F.explode("neighbor_aids").alias("aid")).join(own.select(F.col("k").alias("aid"), "list"), "aid")
+    seen = found.join(_nearest_lists(few, centres, len(centres)).select("k", "lists"), "k")
+    # how many lists until each neighbour is met
+    needed = np.sort([r[0] for r in seen.select(F.array_position("lists", F.col("list"))).collect()])
+    probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else len(centres)
+
+    def chosen(order: np.ndarray) -> int:
+        """As many lists as the sample asks for, and more until they hold ``k`` items."""
+        return max(probes, int(np.searchsorted(np.cumsum(size[order]), k)) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders = batch.column("lists").flatten().to_numpy().reshape(len(batch), -1)
+            kept = [o[: chosen(o)] for o in orders]
+            cut = np.concatenate([[0], np.cumsum([len(o) for o in kept])]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *kept]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), pa.ListArray.from_arrays(cut, flat)], ["k", "v", "lists"])
+
+    kind = q.schema["k"].dataType.simpleString()
+    asked = _nearest_lists(q, centres, len(centres)).mapInArrow(run, f"k {kind}, v array<double>, lists array<int>")
+    return stage(asked.select("k", "v", F.explode("lists").alias("list"))), own
+
+
+def _split_lists(q: DataFrame, i: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Lists that more rows are in, or ask for, than a cell holds become grids of cells."""
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias(name))
+
+    plan = stage(cells(q, "nq").join(cells(i, "ni"), "list"))  # a row for each list
+
+    def spread(df: DataFrame, own: str, other: str, n: str, m: str) -> DataFrame:
+        placed = df.join(F.broadcast(plan), "list").withColumn(own, F.pmod(F.xxhash64("k"), F.col(n)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).select("k", "v", "list", own, other)
+
+    return spread(q, "qc", "ic", "nq", "ni"), spread(i, "ic", "qc", "ni", "nq")
+
+
+def recall_of(found: DataFrame, exact: DataFrame, key: str) -> float:
+    """The share of the exact neighbours that are found."""
+    a, b = (x.select(key, F.explode("neighbor_aids").alias("aid")) for x in (found, exact))
+    return b.join(a, [key, "aid"], "left_semi").count() / max(1, b.count())
