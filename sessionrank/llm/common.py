@@ -1,16 +1,18 @@
 """Helpers shared by the operators of this package."""
 
 import functools
+import pickle
 import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionrank.settings import stage
 
-__all__ = ["batched", "bounded", "fresh", "labelled", "read", "stage", "tally", "utf8"]
+__all__ = ["batched", "bounded", "carried", "fresh", "labelled", "read", "stage", "tally", "utf8"]
 
 BATCH_ROWS = 1_000
 
@@ -20,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def batched(step):
-    """Texts may be long: Arrow batches of ``BATCH_ROWS`` rows at most while a query or stage is in use."""
+    """Texts may be long: Arrow batches of ``BATCH_ROWS`` rows at most, in this session from now on (its plans run later)."""
 
     @functools.wraps(step)
     def run(spark: SparkSession, *rest) -> DataFrame:
@@ -32,6 +34,22 @@ def batched(step):
     return run
 
 
+def carried(spark: SparkSession, value):
+    """A function that gives ``value`` in a task, which opens it once.
+
+    Broadcasts pickle classes by name, which workers without this package do not know; this is pickled by value.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    opened: list = []
+
+    def get():
+        if not opened:
+            opened.append(pickle.loads(sent.value))
+        return opened[0]
+
+    return get
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it where the table has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sessionrank.llm.common import fresh, stage, utf8
+from sessionrank.llm.common import carried, fresh, stage, utf8
 
 SPAN, K = 10, 5
 BLOCK_BYTES = 16 << 20
@@ -202,7 +202,7 @@ def _blocks(bench: DataFrame, block_bytes: int):
 
 def _matcher(spark, block: DataFrame, span: int, k: int):
     got = block.collect()
-    index = spark.sparkContext.broadcast(Index([r[0] for r in got], [r[1] for r in got], span, k))
+    index = carried(spark, Index([r[0] for r in got], [r[1] for r in got], span, k))
 
     @arrow_udf(RESULT)
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -210,7 +210,7 @@ def _matcher(spark, block: DataFrame, span: int, k: int):
             [("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))]
         )
         for texts in batches:
-            parts = [pa.array(index.value.match(texts.slice(a, 1000)), kind) for a in range(0, len(texts), 1000)]
+            parts = [pa.array(index().match(texts.slice(a, 1000)), kind) for a in range(0, len(texts), 1000)]
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return match

@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sessionrank.llm.common import stage, utf8
+from sessionrank.llm.common import carried, stage, utf8
 
 CHARS, PER_TEXT = 20_000, 400
-CLASSES = 96
+#: Characters with a column of their own in a language's automaton, and columns that its rarer ones share by hash.
+OWN, SHARED = 224, 30
 SEGMENT, LANES = 512, 8_192
 PAD, OTHER = 0, 1
 
@@ -53,7 +54,9 @@ class Parser:
     """The automata of all languages in one table; a text is cut into the longest matches of each.
 
     An entry holds the next state, or, where the match ends, the complement of the state with
-    which the next phrase begins.
+    which the next phrase begins. Every character of any sample is a class; a language's automaton has columns for the
+    characters of its own sample, and a class without a column ends its match. A language takes about
+    2 * chars * columns * 4 bytes.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -62,8 +65,8 @@ class Parser:
         for text in samples.values():
             for ch in text.lower():
                 chars[ch] = chars.get(ch, 0) + 1
-        common = sorted(chars, key=lambda ch: (-chars[ch], ch))[: CLASSES - 2]
-        self.code = np.full(0x110000, OTHER, np.uint8)
+        common = sorted(chars, key=lambda ch: (-chars[ch], ch))
+        self.code = np.full(0x110000, OTHER, np.int32)
         own = {ch: i + 2 for i, ch in enumerate(common)}
         self.letter = np.zeros(0x110000, bool)
         for cp in range(0x110000):
@@ -73,27 +76,37 @@ class Parser:
                 self.code[cp] = low
         tables, base = [], 0
         self.start, self.cost = [], []
-        for name in self.names:
-            text = np.frombuffer(samples[name].encode("utf-32-le"), np.uint32)
-            t = automaton(self.code[text], CLASSES)
-            fresh = np.maximum(t[0], 0)
-            t = np.where(t < 0, ~((fresh + base) * CLASSES)[None, :], (t + base) * CLASSES).astype(np.int32)
-            t[:, PAD] = (np.arange(len(t)) + base) * CLASSES
-            tables.append(t)
-            self.start.append(base * CLASSES)
+        self.column = np.full((len(self.names), len(common) + 2), OTHER, np.int32)
+        self.column[:, PAD] = PAD
+        for k, name in enumerate(self.names):
+            text = self.code[np.frombuffer(samples[name].encode("utf-32-le"), np.uint32)]
+            found, count = np.unique(text[text != OTHER], return_counts=True)
+            order = np.lexsort((found, -count))
+            self.column[k, found[order[:OWN]]] = np.arange(min(OWN, len(found))) + 2
+            self.column[k, found[order[OWN:]]] = OWN + 2 + found[order[OWN:]] % SHARED
+            width = int(self.column[k].max()) + 1
+            t = automaton(self.column[k][text], width)
+            fresh = np.maximum(t[0], 0).astype(np.int64)
+            t = np.where(t < 0, ~(fresh * width + base)[None, :], t.astype(np.int64) * width + base)
+            t[:, PAD] = np.arange(len(t)) * width + base
+            tables.append(t.ravel())
+            self.start.append(base)
             self.cost.append(np.log2(len(text) + 2))
-            base += len(t)
-        self.table = np.concatenate([np.zeros((0, CLASSES), np.int32), *tables]).ravel()
+            base += t.size
+        self.kind = np.int32 if base < 2**31 else np.int64
+        self.table = np.concatenate([np.zeros(0, np.int64), *tables]).astype(self.kind)
 
     def phrases(self, codes: np.ndarray) -> np.ndarray:
         """Finished phrases for (languages, lanes), from (steps, lanes) of character classes."""
-        state = np.repeat(np.array(self.start, np.int32)[:, None], codes.shape[1], axis=1)
+        state = np.repeat(np.array(self.start, self.kind)[:, None], codes.shape[1], axis=1)
         count = np.zeros_like(state)
-        at = np.empty_like(state)
+        at, column = np.empty_like(state), np.empty(state.shape, np.int32)
+        sign = 8 * state.itemsize - 1
         for c in codes:
-            np.add(state, c, out=at)
+            np.take(self.column, c, axis=1, out=column)
+            np.add(state, column, out=at)
             np.take(self.table, at, out=state)
-            np.right_shift(state, 31, out=at)
+            np.right_shift(state, sign, out=at)
             count -= at
             state ^= at
         return count
@@ -107,10 +120,10 @@ class Parser:
 
         def flush() -> None:
             if lanes:
-                codes = np.zeros((len(lanes), SEGMENT), np.uint8)
+                codes = np.zeros((len(lanes), SEGMENT), np.int32)
                 for i, x in enumerate(lanes):
                     codes[i, : len(x)] = x
-                got = self.phrases(np.ascontiguousarray(codes.T).astype(np.int32))
+                got = self.phrases(np.ascontiguousarray(codes.T))
                 for i in range(k):
                     total[i] += np.bincount(owner, got[i] + 1, n)
                 lanes.clear()
@@ -183,18 +196,18 @@ def identify(docs: DataFrame, train: DataFrame, chars: int = CHARS, per_text: in
     ``SEGMENT`` characters (all of it), each parsed into longest matches with the automaton; a
     phrase costs log2 of the sample's length, and the cheapest language wins, the first in
     order among equals. The score is the runner-up's cost over the sum of both, 0.5 to 1.
-    Character classes are the most frequent lower-case characters of the samples; all others
-    are one class. ``und`` and score 0 for null texts, texts without a letter, and where
+    Characters count in lower case; one that a language's sample lacks ends its phrase, and beyond the ``OWN`` most
+    frequent of a sample characters share columns by hash. ``und`` and score 0 for null texts, texts without a letter, and where
     nothing was learned. Languages that are null are not learned.
     """
-    parser = docs.sparkSession.sparkContext.broadcast(Parser(samples(train, chars, per_text)))
+    parser = carried(docs.sparkSession, Parser(samples(train, chars, per_text)))
 
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
         for texts in batches:
             parts = []
             for a in range(0, len(texts), 4096):
-                names, score = parser.value.predict(texts.slice(a, 4096))
+                names, score = parser().predict(texts.slice(a, 4096))
                 parts.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], names=["lang_pred", "score"]))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
