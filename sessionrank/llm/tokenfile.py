@@ -1,5 +1,7 @@
 """Token ids in grammar-compressed files (Re-Pair), with random access."""
 
+import itertools
+import json
 import sys
 import types
 import unicodedata
@@ -10,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
@@ -18,7 +21,7 @@ from sessionrank.llm.common import bounded, utf8
 
 END = 1
 BLOCK_TOKENS = 1 << 19
-ROUNDS, MIN_COUNT, RULES = 6, 24, 4_096
+MIN_COUNT, RULES = 24, 4_096
 CACHE_WORDS = 800_000
 FEW_PARTS = 1_000_000
 SCHEMA = (
@@ -27,6 +30,9 @@ SCHEMA = (
 )
 
 
+#: How the vocabulary marks the last id of a pre-token.
+WORD_END = "</w>"
+END_MARK = "\x00"
 #: Pre-tokens of lower-case text without apostrophes, as the tokenizer's own pattern has them.
 PRE_TOKEN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -35,37 +41,51 @@ _REST = [b for b in range(256) if b not in _KEPT]
 BYTE_LEVEL = {b: b for b in _KEPT} | {b: 256 + i for i, b in enumerate(_REST)}
 
 
+def word_ranks(path: str) -> tuple[tiktoken.Encoding, np.ndarray, np.ndarray]:
+    """The vocabulary's merges as ranks of byte strings, for pre-tokens that end in ``END_MARK``: encoder, ids of ranks, and which of them end one.
+
+    The mark stands for the vocabulary's own: it joins the last byte before any merge.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    back, mark = {chr(c): b for b, c in BYTE_LEVEL.items()}, END_MARK.encode()
+
+    def spelt(token: str) -> bytes:
+        core = token.removesuffix(WORD_END)
+        return bytes(back[c] for c in core) + (mark if core != token else b"")
+
+    ranks = {bytes([b]): b for b in range(256)}
+    ranks |= {bytes([b]) + mark: 256 + b for b in range(256)}
+    for i, (a, b) in enumerate(model["merges"]):
+        ranks.setdefault(spelt(a + b), 512 + i)
+    ids = np.full(512 + len(model["merges"]), -1, np.int32)
+    for token, i in model["vocab"].items():
+        if all(c in back for c in token.removesuffix(WORD_END)) and (r := ranks.get(spelt(token))) is not None:
+            ids[r] = i
+    ends = np.zeros(len(ids), bool)
+    ends[[r for t, r in ranks.items() if t.endswith(mark) and t != mark]] = True
+    return tiktoken.Encoding("words", pat_str=rf"[^{END_MARK}]+{END_MARK}", mergeable_ranks=ranks, special_tokens={}), ids, ends
+
+
 class Encoder:
     """Ids of whole texts, word by word: the tokenizer never joins what ASCII white space parts.
 
     A process keeps the ids of the words that it has met last, in two halves of at most about
     ``CACHE_WORDS``: when the younger half is full, the older one is dropped, and words that
     come back move to the younger. ASCII capitals are folded as the tokenizer does it. Plain Latin words are parted into
-    their pre-tokens, which go to the tokenizer's model; any other word goes through the
-    whole tokenizer.
+    their pre-tokens, and those of a text that are new are merged together by the vocabulary's ranks; any other word goes through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        kept = sys.modules.setdefault("_ids_of_words", types.ModuleType("_ids_of_words"))
-        self.halves: list[dict[bytes, bytes]] = kept.__dict__.setdefault(path, [{}, {}])
+        kept = sys.modules.setdefault("_ids_of_words", types.ModuleType("_ids_of_words")).__dict__
+        if path not in kept:  # a process takes many tasks
+            kept[path] = [[{}, {}], Tokenizer.from_file(path), *word_ranks(path)]
+        self.halves: list[dict[bytes, bytes]] = kept[path][0]
+        self.tokenizer, self.bare, self.ids, self.ends = kept[path][1:]
 
     def _encode(self, word: bytes) -> bytes:
-        if word.isalpha() and word.islower():  # ASCII letters are one pre-token
-            return array("i", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
-        head = word[:-1]
-        if word[-1] in b".," and head.isalpha() and head.islower():
-            return self.of(head) + self.of(word[-1:])
-        text = word.decode("utf-8", "replace")
-        plain = max(text) < "\u0250" and "'" not in text and "<|" not in text and text == text.lower()
-        if not plain or not unicodedata.is_normalized("NFC", text):
-            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = PRE_TOKEN.findall(text)
-        if len(parts) > 1:
-            return b"".join([self.of(x.encode()) for x in parts])
-        ids = [t.id for x in parts for t in self.model.tokenize(x.encode().decode("latin-1").translate(BYTE_LEVEL))]
-        return array("i", ids).tobytes()
+        return array("i", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def of(self, word: bytes) -> bytes:
         young, old = self.halves
@@ -73,27 +93,65 @@ class Encoder:
             got = young[word] = old.get(word) or self._encode(word)
         return got
 
+    def _parts(self, word: bytes) -> list[bytes]:
+        """The pre-tokens of a plain lower-case Latin word; none for any other word."""
+        text = word.decode("utf-8", "replace")
+        plain = max(text) < "\u0250" and END_MARK not in text and "'" not in text and "<|" not in text and text == text.lower()
+        return [x.encode() for x in PRE_TOKEN.findall(text)] if plain and unicodedata.is_normalized("NFC", text) else []
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words: their pre-tokens are encoded in one call, whose ids part where a pre-token ends."""
+        young, old = self.halves
+        parted, wanted = [], set()
+        for w in words:
+            if w.isalpha() and w.islower():  # ASCII letters are one pre-token
+                wanted.add(w)
+                continue
+            head = w[:-1]
+            if w[-1] in b".," and head.isalpha() and head.islower():
+                parts = [head, w[-1:]]
+            elif not (parts := self._parts(w)):
+                continue
+            parted.append((w, parts))
+            wanted.update(parts)
+        new = [x for x in wanted if x not in young and x not in old]
+        if new:
+            found = np.array(self.bare.encode_ordinary(END_MARK.join([x.decode() for x in new]) + END_MARK), np.int64)
+            ids = self.ids[found]
+            cut = np.flatnonzero(self.ends[found]) + 1
+            if len(cut) != len(new) or (ids < 0).any():
+                raise ValueError("a pre-token has no ids in this vocabulary")
+            flat, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+            young.update(zip(new, [flat[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        for w, parts in parted:
+            if len(parts) > 1:
+                young[w] = b"".join([young.get(x) or old[x] for x in parts])
+
     def encode(self, text: bytes) -> np.ndarray:
         words = (text if b"<|" in text else text.lower()).split()
         if len(self.halves[0]) > CACHE_WORDS // 2:
             self.halves[:] = {}, self.halves[0]
-        young = self.halves[0]
-        for w in set(words).difference(young):
-            self.of(w)
+        young, old = self.halves
+        missing = set(words).difference(young)
+        if missing:
+            self._learn([w for w in missing if w not in old])
+            for w in missing.difference(young):
+                self.of(w)
         return np.frombuffer(b"".join(map(young.__getitem__, words)), np.int32)
 
 
-def repair(seq: np.ndarray, last: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, rules: int = RULES):
+def repair(seq: np.ndarray, last: np.ndarray, terminals: int, rounds: int | None = None, min_count: int = MIN_COUNT, rules: int = RULES):
     """(symbols, their number up to each document's end, rules as pairs) of a block.
 
     ``last`` marks the last id of each document; no rule crosses it. A round counts the pairs,
     and the most frequent ones (``min_count`` times at least, ``rules`` at most) become
-    nonterminals; where chosen pairs overlap, every other one from the left is replaced.
+    nonterminals; where chosen pairs overlap, every other one from the left is replaced. It ends when no
+    pair is that frequent, or after ``rounds``.
     Hashed counts, never below the true ones, leave few pairs to be counted exactly.
     """
     seq, last, made = seq.astype(np.int64), last.copy(), [np.zeros((0, 2), np.int64)]
     top = terminals
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         key = seq[:-1] << 24 | seq[1:]
