@@ -93,16 +93,18 @@ def swapped_answers(conversations: DataFrame, trained: str = TRAINED) -> tuple[D
     the same with the last answer of its neighbour (2k and 2k + 1) is rejected.
 
     Without an answer of the neighbour the rejected side ends before it; without an own
-    answer both sides are the whole conversation. Rows without conv_id or turn are left out.
+    answer both sides are the whole conversation. The last answer has the greatest turn, of equal turns
+    the greatest text; turns that are null come before all others, and nulls before texts. Repeated rows are turns
+    of their own. Rows without conv_id belong to no conversation and are left out; other columns are not read; no rows give no rows.
     """
-    turns = conversations.where("conv_id is not null and turn is not null")
+    turns = conversations.where("conv_id is not null").select("conv_id", "turn", "role", "text")
     is_answer = F.col("role") == trained
     last = turns.groupBy("conv_id").agg(F.max(F.when(is_answer, F.struct("turn", "text"))).alias("x"))
     last = last.select(F.col("conv_id").alias("conv"), F.col("x.turn").alias("last_turn"), F.col("x.text").alias("answer"), F.col("x").isNotNull().alias("has"))
-    chosen = turns.join(last.select("conv", "last_turn"), F.expr("conv_id = conv")).where("last_turn is null or turn <= last_turn")
-    chosen = chosen.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text", "last_turn")
-    kept = chosen.where("last_turn is null or turn < last_turn").select("pair_id", "turn", "role", "text")
+    chosen = turns.join(last.select("conv", "last_turn", "has"), F.expr("conv_id = conv")).where("not has or turn is null or turn <= last_turn")
+    chosen = chosen.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text", "last_turn", "has")
+    kept = chosen.where("not has or turn < last_turn or (turn is null and last_turn is not null)").select("pair_id", "turn", "role", "text")
     neighbour = F.col("conv") + 1 - 2 * F.pmod("conv", F.lit(2))
     given = last.where("has").select(neighbour.alias("pair_id"), F.lit(trained).alias("role"), F.col("answer").alias("text"))
     given = given.join(last.where("has").select(F.col("conv").alias("pair_id"), F.col("last_turn").alias("turn")), "pair_id")
-    return chosen.drop("last_turn"), kept.unionByName(given)
+    return chosen.drop("last_turn", "has"), kept.unionByName(given)

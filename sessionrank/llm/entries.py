@@ -129,15 +129,15 @@ def _side7(side: str) -> str:
 
 
 OP7_SQL = f"""
-WITH t AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-la AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last_turn FROM t GROUP BY 1),
-an AS (SELECT conv_id, last_turn, max(text) AS answer FROM t JOIN la USING (conv_id) WHERE turn = last_turn AND role = 'assistant' GROUP BY 1, 2),
-c AS (SELECT conv_id AS pair_id, turn, role, text, last_turn FROM t JOIN la USING (conv_id) WHERE last_turn IS NULL OR turn <= last_turn),
-r AS (SELECT pair_id, turn, role, text FROM c WHERE last_turn IS NULL OR turn < last_turn
+WITH t AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL),
+la AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last_turn, count(*) FILTER (role = 'assistant') > 0 AS has FROM t GROUP BY 1),
+an AS (SELECT conv_id, last_turn, max(text) AS answer FROM t JOIN la USING (conv_id) WHERE turn IS NOT DISTINCT FROM last_turn AND role = 'assistant' GROUP BY 1, 2),
+c AS (SELECT conv_id AS pair_id, turn, role, text, last_turn, has FROM t JOIN la USING (conv_id) WHERE NOT has OR turn IS NULL OR turn <= last_turn),
+r AS (SELECT pair_id, turn, role, text FROM c WHERE NOT has OR turn < last_turn OR (turn IS NULL AND last_turn IS NOT NULL)
       UNION ALL
       SELECT a.conv_id, a.last_turn, 'assistant', b.answer FROM an a JOIN an b ON b.conv_id = a.conv_id + 1 - 2 * (a.conv_id % 2)),
-cn AS (SELECT pair_id, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS place FROM c),
-rn AS (SELECT pair_id, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS place FROM r),
+cn AS (SELECT pair_id, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM c),
+rn AS (SELECT pair_id, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM r),
 splits AS (SELECT pair_id, coalesce(min(CASE WHEN cn.place IS NULL OR rn.place IS NULL OR cn.role IS DISTINCT FROM rn.role
              OR cn.text IS DISTINCT FROM rn.text THEN place END), 2147483647) AS split
            FROM cn FULL JOIN rn USING (pair_id, place) GROUP BY 1),
