@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sessionrank.operators.order import in_order
 from sessionrank.llm.common import bounded, fresh, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,9 +92,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, weight: Column | None
     last = F.broadcast(last) if bounded(last, FEW_SOURCES) else last
     edge = in_bucket.join(last.withColumnRenamed("name", "name2"), F.expr("name <=> name2 and bucket = stop"))
     peers = edge.groupBy("name", "key", "tie").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("part").alias("part"))
-    w = Window.partitionBy("name").orderBy("key", "tie")
+    # where low weights fill the last bucket it is ordered in stretches
+    peers = stage(peers.withColumn("pile", F.coalesce(F.concat(F.lit("="), "name"), F.lit(""))))
+    peers = in_order(peers, ["pile"], "key", ["tie"], want={"run": "running"}, flag="size")
     cuts = (
-        peers.withColumn("upto", F.col("before") + F.sum("size").over(w) - F.col("size") / 2)
+        peers.withColumn("upto", F.col("before") + F.col("run") - F.col("size") / 2)
         .where("upto <= part")
         .groupBy("name")
         .agg(F.max(F.struct("key", "tie")).alias("cut"))
@@ -130,8 +133,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, weight: Column | None
     taken once for each whole epoch in the target; the rest goes to the smallest keys until
     the words run out, to the nearest document.
 
-    Keys are dealt into sqrt(n) buckets a source; sums of buckets find the bucket with the
-    cut, and only its rows are ordered. So no task sees more than sqrt(n) rows of a source.
+    Keys are dealt into sqrt(n) buckets a source, about even for weights near 1; sums of buckets find the bucket with the
+    cut, and only its rows are ordered. Low weights crowd the last bucket: one with very many rows is ordered in
+    stretches of its keys, in several tasks.
     Null texts have size 0. Rows equal in doc_id and text have one key and are taken alike.
     No rows give no rows; a source without words has target 0. Other columns are not read.
     """
