@@ -87,12 +87,6 @@ class Encoder:
     def _encode(self, word: bytes) -> bytes:
         return array("i", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
-    def of(self, word: bytes) -> bytes:
-        young, old = self.halves
-        if (got := young.get(word)) is None:
-            got = young[word] = old.get(word) or self._encode(word)
-        return got
-
     def _parts(self, word: bytes) -> list[bytes]:
         """The pre-tokens of a plain lower-case Latin word; none for any other word."""
         text = word.decode("utf-8", "replace")
@@ -102,18 +96,17 @@ class Encoder:
     def _learn(self, words: list[bytes]) -> None:
         """Ids of new words: their pre-tokens are encoded in one call, whose ids part where a pre-token ends."""
         young, old = self.halves
-        parted, wanted = [], set()
+        headed, parted, wanted = [], [], set()
         for w in words:
-            if w.isalpha() and w.islower():  # ASCII letters are one pre-token
+            if w.isalpha():  # in lower case: ASCII letters are one pre-token
                 wanted.add(w)
-                continue
-            head = w[:-1]
-            if w[-1] in b".," and head.isalpha() and head.islower():
-                parts = [head, w[-1:]]
-            elif not (parts := self._parts(w)):
-                continue
-            parted.append((w, parts))
-            wanted.update(parts)
+            elif w[-1] in b".," and w[:-1].isalpha():
+                headed.append(w)
+                wanted.add(w[:-1])
+                wanted.add(w[-1:])
+            elif parts := self._parts(w):
+                parted.append((w, parts))
+                wanted.update(parts)
         new = [x for x in wanted if x not in young and x not in old]
         if new:
             found = np.array(self.bare.encode_ordinary(END_MARK.join([x.decode() for x in new]) + END_MARK), np.int64)
@@ -123,20 +116,33 @@ class Encoder:
                 raise ValueError("a pre-token has no ids in this vocabulary")
             flat, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
             young.update(zip(new, [flat[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        for w in headed:
+            h = w[:-1]
+            young[w] = (young.get(h) or old[h]) + (young.get(w[-1:]) or old[w[-1:]])
         for w, parts in parted:
             if len(parts) > 1:
                 young[w] = b"".join([young.get(x) or old[x] for x in parts])
 
     def encode(self, text: bytes) -> np.ndarray:
-        words = (text if b"<|" in text else text.lower()).split()
+        if b"<|" in text:  # special tokens are told apart by their case
+            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
+        words = text.lower().split()
         if len(self.halves[0]) > CACHE_WORDS // 2:
             self.halves[:] = {}, self.halves[0]
         young, old = self.halves
         missing = set(words).difference(young)
         if missing:
-            self._learn([w for w in missing if w not in old])
-            for w in missing.difference(young):
-                self.of(w)
+            new = []
+            for w in missing:
+                if (got := old.get(w)) is None:
+                    new.append(w)
+                else:
+                    young[w] = got
+            if new:
+                self._learn(new)
+                for w in new:
+                    if w not in young:
+                        young[w] = self._encode(w)
         return np.frombuffer(b"".join(map(young.__getitem__, words)), np.int32)
 
 
