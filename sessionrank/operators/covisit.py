@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sessionrank.functions.numbers import ratio
 from sessionrank.operators.filters import with_scalars
 from sessionrank.operators.order import EVENT_TIES, in_order, with_micros
-from sessionrank.operators.ranks import any_rank, keep_any_rank, percent
+from sessionrank.operators.ranks import any_rank, keep_any_rank, percent, row_numbers
 from sessionrank.schema import ACTIONS, action_weight
 from sessionrank.settings import stage
 
@@ -45,24 +45,27 @@ def top_neighbours(
 
     One pass: rows whose score reaches ``min_count`` sort before all others of their list, so
     ranking everything and testing both conditions gives the same union of lists. Pairs
-    without any such score, most of a co-visit table, are left out before the sorts.
+    without any such score, most of a co-visit table, are left out before the sorts. An item
+    with very many neighbours is ranked by many tasks.
     """
     counts = counts.where(F.greatest(*[F.col(s) for s in scores], F.lit(min_count - 1)) >= min_count)
-    rank = {}
-    for score in scores:
-        order = [F.col(score).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in then], F.col("aid_y").asc()]
-        rank[f"_rank_{score}"] = F.row_number().over(Window.partitionBy("aid_x").orderBy(*order))
+    rank = {
+        f"_rank_{score}": [*[F.col(c).desc_nulls_last() for c in (score, *then)], F.col("aid_y").asc()] for score in scores
+    }
     keep = None
     for score in scores:
         hit = (F.col(score) >= min_count) & (F.col(f"_rank_{score}") <= k)
         keep = hit if keep is None else keep | hit
-    return counts.withColumns(rank).where(keep).drop(*rank)
+    return row_numbers(counts, "aid_x", rank).where(keep).drop(*rank)
 
 
 def top_transitions(norm: DataFrame, k: int = 500) -> DataFrame:
-    """Keep a transition among the ``k`` best of its first item by either normalised count."""
+    """Keep a transition among the ``k`` best of its first item by either normalised count.
+
+    The table is counted and ranked, so it is written once.
+    """
     return keep_any_rank(
-        norm,
+        stage(norm),
         "aid_x",
         {"_r1": "norm_transition_count", "_r2": "norm_transition_user_count"},
         k,
@@ -98,7 +101,11 @@ def expand(latest: DataFrame, edges: DataFrame, how: str = "inner") -> DataFrame
     below both sides of the join, so the edges are written first: as they come, they are
     already dealt by their first item.
     """
-    return latest.join(stage(edges).withColumnRenamed("aid_x", "aid"), "aid", how).withColumnRenamed("aid", "aid_x")
+    return _meet(latest, stage(edges), how)
+
+
+def _meet(latest: DataFrame, edges: DataFrame, how: str = "inner") -> DataFrame:
+    return latest.join(edges.withColumnRenamed("aid_x", "aid"), "aid", how).withColumnRenamed("aid", "aid_x")
 
 
 class Spread:
@@ -133,11 +140,20 @@ class Spread:
         return out
 
 
-def _score_neighbours(found: DataFrame, spreads: list[Spread], more: dict[str, Column], scores: dict, k: int) -> DataFrame:
-    """Aggregate per (session, neighbour), rank, keep, and complete the statistics."""
-    aggs = {name: agg for s in spreads for name, agg in s.aggs().items()} | more
+def _rank_neighbours(latest: DataFrame, edges: DataFrame, aggs: dict[str, Column], scores: dict, k: int) -> DataFrame:
+    """Aggregate per (session, neighbour), rank and keep. A session has at most all neighbours of the edges."""
+    edges = stage(edges)
+    found = _meet(latest, edges)
     scored = found.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
-    kept = keep_any_rank(scored, "session", scores, k)
+    return keep_any_rank(scored, "session", scores, k, members=edges.select("aid_y"))
+
+
+def _score_neighbours(
+    latest: DataFrame, edges: DataFrame, spreads: list[Spread], more: dict[str, Column], scores: dict, k: int
+) -> DataFrame:
+    """Neighbours ranked and kept, with complete statistics."""
+    aggs = {name: agg for s in spreads for name, agg in s.aggs().items()} | more
+    kept = _rank_neighbours(latest, edges, aggs, scores, k)
     rest = {name: col for s in spreads for name, col in s.rest().items()}
     return kept.withColumns(rest).drop(*[s.squares for s in spreads])
 
@@ -187,13 +203,12 @@ def covisit_features(
     for c in CVRS:
         scores[f"rn_covisit_{P}_{c}"] = _steady(f"sum_{P}_{c}")
     more = {f"covisit_{P}_type_count": F.sum("w"), events: F.sum("n")}
-    return _score_neighbours(expand(history(ev), edges), spreads, more, scores, k)
+    return _score_neighbours(history(ev), edges, spreads, more, scores, k)
 
 
 def weighted_covisit_features(ev: DataFrame, weights: DataFrame, prefix: str, k: int = 1000) -> DataFrame:
     """Score neighbours by pair weight: plain, times action weight, recency, and both."""
     P = prefix
-    found = expand(history(ev, time_weight=True), weights)
     w = F.col("weight")
     sums = {"": F.sum(w * F.col("n")), "type_": F.sum(w * F.col("w")), "time_": F.sum(w * F.col("tw")), "type_time_": F.sum(w * F.col("twt"))}
     events = {"": "n", "type_": "w", "time_": "tw", "type_time_": "twt"}
@@ -202,14 +217,13 @@ def weighted_covisit_features(ev: DataFrame, weights: DataFrame, prefix: str, k:
         aggs[f"sum_{P}_{s}weight"] = total
         aggs[f"avg_{P}_{s}weight"] = total / F.sum("n")
         aggs[f"covisit_{P}_{s}count"] = F.sum(events[s])
-    scored = found.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
     scores = {
         f"rn_{P}": f"sum_{P}_weight",
         f"rn_time_weight_{P}": _steady(f"sum_{P}_time_weight"),
         f"rn_type_weight_{P}": f"sum_{P}_type_weight",
         f"rn_type_time_weight_{P}": _steady(f"sum_{P}_type_time_weight"),
     }
-    return keep_any_rank(scored, "session", scores, k)
+    return _rank_neighbours(history(ev, time_weight=True), weights, aggs, scores, k)
 
 
 def bigram_features(ev: DataFrame, norm: DataFrame, prefix: str, k_item: int = 500, k: int = 1000) -> DataFrame:
@@ -226,8 +240,7 @@ def bigram_features(ev: DataFrame, norm: DataFrame, prefix: str, k_item: int = 5
     scores[f"rn_{P}_type_weight_aid_count"] = f"{P}_type_weight_count"
     scores[f"rn_{P}_aid_count"] = events
     more = {f"{P}_type_weight_count": F.sum("w"), events: F.sum("n")}
-    found = expand(history(ev), top_transitions(norm, k_item))
-    return _score_neighbours(found, spreads, more, scores, k)
+    return _score_neighbours(history(ev), top_transitions(norm, k_item), spreads, more, scores, k)
 
 
 def candidates_of(features: DataFrame, k: int) -> DataFrame:

@@ -13,7 +13,7 @@ from sessionrank.operators.filters import semi
 from sessionrank.operators.order import in_order
 from sessionrank.sources.labels import label_flags
 from sessionrank.schema import ACTIONS
-from sessionrank.settings import stage
+from sessionrank.settings import stage, stage_by
 
 PAIR = ("session", "aid")
 SLOTS = 65_536
@@ -21,22 +21,28 @@ FEW_VALUES = 100_000
 PART_VALUES = 1_000_000
 
 
-def assemble(pairs: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+def assemble(
+    pairs: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]], bucketed: bool = False
+) -> DataFrame:
     """Left join of feature tables onto candidate pairs.
 
     Tables on part of the pair key (by session, by item) are first joined with each other,
     so the pairs are shuffled once per key set and a popular item's partition can be split.
     Tables on the whole pair key come last and join one after another in one partitioning,
-    so their many columns are never shuffled again.
+    so their many columns are never shuffled again. With ``bucketed`` the pairs are written
+    before these last joins in the buckets of ``stage_by``; with tables written likewise no
+    join after it moves a row.
     """
     groups: dict[tuple[str, ...], list[DataFrame]] = {}
     for df, keys in tables:
         groups.setdefault(tuple(keys), []).append(df)
-    out = pairs
+    out, moved = pairs, False
     for keys in sorted(groups, key=lambda k: set(k) >= set(PAIR)):
         on = list(keys)
         if set(keys) >= set(PAIR):
             parts = groups[keys]
+            if bucketed and not moved:
+                out, moved = stage_by(out, PAIR), True
         else:
             parts = [reduce(lambda a, b: a.join(b, on, "full"), groups[keys])]
         for part in parts:

@@ -1,7 +1,8 @@
 """Ranking of candidate tables and global ranks.
 
 Candidate tables have one row per (session, item), so a session group is at most as long
-as the catalogue; event groups are not bounded and go through ``order.in_order``.
+as the catalogue; ``row_numbers`` ranks groups above ``hot_rows`` in many tasks. Event groups
+go through ``order.in_order``.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sessionrank.operators.order import EVENT_TIES, in_order, with_micros
+from sessionrank.operators.order import EVENT_TIES, FEW_KEYS, in_order, with_micros
+from sessionrank.settings import hot_rows, stage
 
 FUNCTIONS = {"row_number": F.row_number, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "rank": F.rank}
 
@@ -20,20 +22,80 @@ def rank_in(keys: Sequence[str], order: Sequence[Column], fn: str = "row_number"
     return FUNCTIONS[fn]().over(Window.partitionBy(*keys).orderBy(*order))
 
 
-def row_ranks(df: DataFrame, key: str, scores: dict[str, Column | str], tie: str = "aid") -> DataFrame:
+def deal_ranges(rows: DataFrame, key: str, order: Sequence[Column], limit: int, n: int) -> DataFrame:
+    """``n`` rows written in ranges of (key, order), numbered ascending in ``_range``.
+
+    Ranges hold half of ``limit`` rows on average. Their borders come from Spark's sample of each
+    input part, whose error is about a tenth, so none reaches the limit unless rows are
+    equal in the key and the whole order.
+    """
+    parts = max(1, -(-2 * n // limit))
+    return stage(rows.repartitionByRange(parts, key, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def row_numbers(
+    df: DataFrame, key: str, orders: dict[str, Sequence[Column]], members: DataFrame | None = None
+) -> DataFrame:
+    """One row number per order inside the groups of ``key``.
+
+    Where no group has more than ``hot_rows`` rows these are plain windows in one partitioning.
+    Rows of larger groups are dealt to ranges of each order in turn: a task numbers the rows of
+    a range, and the rows in earlier ranges of the group, a small table, are added. Every
+    sort then meets a bounded number of rows, whatever the scores and ties. Rows equal in
+    the whole order are numbered in any order; rows without a key are not parted.
+
+    ``members`` is a table whose distinct rows no group can outnumber, such as the items that
+    may be proposed. It is counted instead of ``df``, where that is costly to derive.
+    """
+    limit = hot_rows(df.sparkSession)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(
+            {name: F.row_number().over(Window.partitionBy(key).orderBy(*order)) for name, order in orders.items()}
+        )
+
+    if members is not None:
+        if members.distinct().count() <= limit:
+            return plain(df)
+        df = stage(df)
+    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= limit:
+        return plain(df)
+    if members is None:
+        df = stage(df)
+    large = stage(sizes.where(F.col("_n") > limit))
+    groups, n = large.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    names = large.select(key)
+    names = F.broadcast(names) if groups <= FEW_KEYS else names
+    hot = df.join(names, key, "left_semi")
+    for name, order in orders.items():
+        dealt = deal_ranges(hot, key, order, limit, n)
+        along = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        before = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        before = before.select(key, "_range", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+        inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order))
+        hot = (
+            dealt.withColumn("_inside", inside)
+            .join(before, [key, "_range"])
+            .withColumn(name, (F.col("_inside") + F.col("_before")).cast("int"))
+            .drop("_range", "_inside", "_before")
+        )
+    return plain(df.join(names, key, "left_anti")).unionByName(hot)
+
+
+def row_ranks(
+    df: DataFrame, key: str, scores: dict[str, Column | str], tie: str = "aid", members: DataFrame | None = None
+) -> DataFrame:
     """One row number per score, greatest first, equal scores by ``tie``.
 
     A score is the name of a column or an expression. Expressions become columns first: a
-    sort evaluates its expressions at every comparison.
+    sort evaluates its expressions at every comparison. ``members`` as in ``row_numbers``.
     """
     made = {f"_score{i}": s for i, s in enumerate(scores.values()) if not isinstance(s, str)}
     names = [s if isinstance(s, str) else f"_score{i}" for i, s in enumerate(scores.values())]
-    new = {
-        rank: F.row_number().over(Window.partitionBy(key).orderBy(F.col(name).desc_nulls_last(), F.col(tie)))
-        for rank, name in zip(scores, names)
-    }
+    orders = {rank: [F.col(name).desc_nulls_last(), F.col(tie)] for rank, name in zip(scores, names)}
     rows = df.withColumns(made) if made else df
-    return rows.withColumns(new).drop(*made)
+    return row_numbers(rows, key, orders, members).drop(*made)
 
 
 def any_rank(names: Sequence[str], k: int) -> Column:
@@ -41,9 +103,16 @@ def any_rank(names: Sequence[str], k: int) -> Column:
     return F.least(*[F.col(n) for n in names]) <= k if len(names) > 1 else F.col(names[0]) <= k
 
 
-def keep_any_rank(df: DataFrame, key: str, scores: dict[str, Column | str], k: int, tie: str = "aid") -> DataFrame:
+def keep_any_rank(
+    df: DataFrame,
+    key: str,
+    scores: dict[str, Column | str],
+    k: int,
+    tie: str = "aid",
+    members: DataFrame | None = None,
+) -> DataFrame:
     """Add the ranks and keep rows that are among the first ``k`` of at least one."""
-    return row_ranks(df, key, scores, tie).where(any_rank(list(scores), k))
+    return row_ranks(df, key, scores, tie, members).where(any_rank(list(scores), k))
 
 
 def event_ranks(ev: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from sessionrank.operators.candidates import explode_neighbours, grow_outer, union_candidates
 from sessionrank.operators.covisit import matrix_counts, matrix_features
 from sessionrank.operators.dataset import (
+    PAIR,
     add_item_age,
     add_label_flags,
     add_labels,
@@ -31,7 +32,7 @@ from sessionrank.operators.sessions import session_features, session_frame
 from sessionrank.operators.vector_features import last_item_angle, last_item_distances, user_item_dot
 from sessionrank.plans import candidate_tables as C
 from sessionrank.schema import ACTIONS
-from sessionrank.settings import stage
+from sessionrank.settings import stage, stage_by
 
 # Which tables the two variants use.
 CANDIDATE_SOURCES = (
@@ -98,27 +99,33 @@ def dataset(
     """Candidate pairs with all features, item ages and labels.
 
     Session features are computed for the sessions to predict for alone; items and averages
-    use the whole log. ``pairs`` has each pair once, as ``user_item`` gives them.
+    use the whole log. ``pairs`` has each pair once, as ``user_item`` gives them. Tables on the
+    pair are written in buckets of it, so that their joins move no rows.
     """
     mine = stage(semi(ev, target_sessions(ev), ["session"]))
     base = pairs.select("session", "aid", "split").join(session_clock_keys(mine), "session", "left")
-    counts = session_item_features(mine)
+    counts = by_pair_buckets(session_item_features(mine))
     items = item_features(ev)
-    by_pair = [session_item_recency(mine), counts]
+    made = [session_item_recency(mine)]
     if variant == "069":
-        by_pair.append(session_item_cvr(counts, items, ev))
-    by_pair += [features[n] for n in FEATURE_TABLES[variant]]
+        made.append(session_item_cvr(counts, items, ev))
     if vectors is not None:
-        by_pair += [last_item_distances(pairs, mine, v, name) for name, v in vectors.items.items()]
-        by_pair.append(user_item_dot(pairs, vectors.sessions, vectors.factors))
+        made += [last_item_distances(pairs, mine, v, name) for name, v in vectors.items.items()]
+        made.append(user_item_dot(pairs, vectors.sessions, vectors.factors))
+    by_pair = [counts, *map(by_pair_buckets, made), *[features[n] for n in FEATURE_TABLES[variant]]]
     tables = [
         (session_features(mine), ("session",)),
         (item_repeat_frame(ev), ("aid",)),
         (items, ("aid",)),
         (item_hourly(ev, *hours), ("aid", "ts_hour")),
-        *[(t, ("session", "aid")) for t in by_pair],
+        *[(t, PAIR) for t in by_pair],
     ]
-    return add_labels(add_item_age(assemble(base, tables)), ground_truth)
+    return add_labels(add_item_age(assemble(base, tables, bucketed=True)), ground_truth)
+
+
+def by_pair_buckets(df: DataFrame) -> DataFrame:
+    """Write a table in buckets of (session, aid)."""
+    return stage_by(df, PAIR)
 
 
 def build(
@@ -130,14 +137,16 @@ def build(
     similar: DataFrame | None = None,
     limits: dict[str, int] | None = None,
     keep: Callable[[DataFrame], DataFrame] = stage,
+    keep_features: Callable[[DataFrame], DataFrame] = by_pair_buckets,
 ) -> tuple[DataFrame, DataFrame]:
     """Dataset and sampled dataset of a variant.
 
-    ``keep`` materialises the feature tables, the pairs and the dataset, which several later
-    steps read; by default they are written to the shared folder.
+    ``keep`` materialises the pairs and the dataset, ``keep_features`` the feature tables, which
+    several later steps read; by default they are written to the shared folder, the features in
+    buckets of the pair.
     """
     names = dict.fromkeys((*CANDIDATE_SOURCES, *FEATURE_TABLES[variant]))
-    features = {n: keep(C.TABLES[n](ev)) for n in names}
+    features = {n: keep_features(C.TABLES[n](ev)) for n in names}
     pairs = keep(user_item(ev, features, variant, neighbours, similar, limits))
     full = keep(dataset(ev, pairs, features, ground_truth, vectors, variant))
     return full, sampled_dataset(full)

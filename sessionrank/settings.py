@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,21 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``stage`` as a table bucketed and sorted on ``by``, so that joins on these columns need no exchange.
+
+    There are as many buckets as shuffle partitions, and one file in each. The table's files
+    lie in the shared folder; its name leaves the catalogue once it has been read.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"stage_{uuid.uuid4().hex}"
+    out = df.repartition(n, *by).write.format("parquet").option("path", shared_dir(spark))
+    out.bucketBy(n, *by).sortBy(*by).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that its maker has read for the last time."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -133,3 +133,62 @@ def test_popular_item_is_split(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(rows) == n * 10 and "skew=true" in plan
+
+
+RANKED = ["w_multi_rank_filter", "cov_topk", "cov_session_agg", "cov_session_agg_w", "bigram_candidates"]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_ranks_of_hot_groups(spark, duck, sf_dir, name):
+    """Groups above the limit are ranked by many tasks, with the same ranks."""
+    from sessionrank.settings import HOT_ROWS_KEY
+
+    spark.conf.set(HOT_ROWS_KEY, "25")
+    try:
+        message, rows, _ = compare(spark, duck, QUERIES[name], sf_dir)
+    finally:
+        spark.conf.unset(HOT_ROWS_KEY)
+    assert message is None and rows, message
+
+
+def test_ranges_of_ranks_stay_below_the_limit(spark):
+    """One group with a third of all rows, most scores equal, some null: equal ranks, bounded ranges."""
+    from pyspark.sql import Window, functions as F
+
+    from sessionrank.operators import ranks as rk
+    from sessionrank.settings import HOT_ROWS_KEY
+
+    limit = 500
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 997 == 1, F.lit(None)).otherwise(F.col("id") % 400).cast("long").alias("session"),
+        F.col("id").alias("aid"),
+        F.when(F.col("id") % 10 < 8, F.lit(2)).when(F.col("id") % 10 == 8, F.lit(None)).otherwise(F.col("id") * 7919 % 83).alias("n"),
+        F.pow(F.col("id") % 101 / 100, F.lit(9.0)).alias("x"),
+    )
+    scores = {"r_n": "n", "r_x": F.col("x") * 2}
+    spark.conf.set(HOT_ROWS_KEY, str(limit))
+    try:
+        got = rk.row_ranks(rows, "session", scores)
+        kept = rk.keep_any_rank(rows, "session", scores, 3, members=rows.select("aid")).count()
+        hot = rows.where("session = 7")
+        dealt = rk.deal_ranges(hot, "session", [F.col("n").desc_nulls_last(), F.col("aid")], limit, hot.count())
+    finally:
+        spark.conf.unset(HOT_ROWS_KEY)
+    want = rows
+    for name, score in (("r_n", "n"), ("r_x", "x")):
+        want = want.withColumn(name, F.row_number().over(Window.partitionBy("session").orderBy(F.col(score).desc_nulls_last(), "aid")))
+    assert got.schema.names == want.schema.names and got.count() == 30_000
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert kept == want.where("r_n <= 3 or r_x <= 3").count()
+    sizes = dealt.groupBy("_range").count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= limit and sizes[1] == hot.count()
+
+
+def test_ranks_are_plain_windows_where_nothing_is_hot(spark):
+    from pyspark.sql import functions as F
+
+    from sessionrank.operators.ranks import row_ranks
+
+    rows = spark.range(100).select((F.col("id") % 7).alias("session"), F.col("id").alias("aid"), (F.col("id") % 5).alias("n"))
+    plan = row_ranks(rows, "session", {"r": "n", "q": F.col("n") + 1})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
