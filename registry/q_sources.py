@@ -177,9 +177,15 @@ add(
     """,
     **EVENT_COLS,
 )
+
+
+def of_targets(log):
+    return f.semi(log, f.target_sessions(log), ["session"])
+
+
 add(
     "join_semi",
-    lambda s, d: us(f.semi(big(s, d), f.target_sessions(big(s, d)), ["session"])),
+    lambda s, d: us(of_targets(big(s, d))),
     BIG_SQL + "out AS (SELECT * FROM log WHERE session IN (SELECT session FROM log WHERE split <> 'train'))",
     **EVENT_COLS,
 )
@@ -232,11 +238,16 @@ add(
     SMALL_SQL + BIG_SQL.replace("log AS", "log2 AS") + "out AS (SELECT * FROM log UNION ALL SELECT * FROM log2)",
     **EVENT_COLS,
 )
+
+
+def with_shifted(log):
+    """Own items of the log with two sources made from it; the log is written once."""
+    return union_candidates(log, [log.select("session", c.alias("aid")) for c in (F.col("aid") + 1, F.col("aid") * 2)])
+
+
 add(
     "set_union_distinct",
-    lambda s, d: union_candidates(
-        big(s, d), [big(s, d).select("session", (F.col("aid") + 1).alias("aid")), big(s, d).select("session", (F.col("aid") * 2).alias("aid"))]
-    ),
+    lambda s, d: with_shifted(big(s, d)),
     BIG_SQL
     + """
     found AS (SELECT session, aid FROM log UNION ALL SELECT session, aid + 1 FROM log UNION ALL SELECT session, aid * 2 FROM log),
