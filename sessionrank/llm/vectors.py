@@ -46,9 +46,10 @@ def near_vectors(
     Vectors of one label and length are linked if their cosine in double precision reaches
     ``cosine`` and the signs of ``bits`` random projections agree in one of ``tables``: two
     vectors at cosine 0.98 share no table with a probability below one in a million.
-    Equal vectors are folded first. A bucket above ``cell_rows`` becomes a grid of cells of
-    bounded size. A cell counts the links of each vector (a pair counts in the first table
-    that it shares) and sends a spanning forest of them, never the pairs.
+    Equal vectors are folded first. What is dealt to buckets is a vector's number; buckets of one
+    vector go before its components are fetched. A bucket above ``cell_rows`` becomes a grid of
+    cells of bounded size. A cell counts the links of each vector (a pair counts in the first
+    table that it shares) and sends a spanning forest of them, never the pairs.
 
     Null labels, null or empty vectors, zero vectors and those with null or non-finite
     components link with nothing. A vector's component is the smallest vec_id that links reach; rows
@@ -71,57 +72,50 @@ def near_vectors(
     )
 
     def hashed(batches):
-        """A row for each vector and table."""
+        """The bucket of each vector in every table, and its components as bytes."""
         powers = 1 << np.arange(bits)
         for batch in batches:
-            node, label, copies = (batch.column(c) for c in ("node", "label", "copies"))
             lists = batch.column("embedding")
             dims = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, np.int64)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 for g in range(0, len(at), 1024):
                     own = pa.array(at[g : g + 1024])
-                    flat = lists.take(own).flatten()
-                    flat = flat.to_numpy().reshape(-1, dim)
+                    flat = lists.take(own).flatten().to_numpy().reshape(-1, dim)
                     keys = (_unit(flat) @ _planes(int(dim), tables, bits, seed) >= 0).reshape(-1, tables, bits) @ powers
-                    raw = np.ascontiguousarray(flat)
-                    vec = pa.array([r.tobytes() for r in raw], pa.binary())
-                    sig = pa.array([r.tobytes() for r in keys.astype(np.int32)], pa.binary())
-                    for t in range(tables):
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(own), t)),
-                                label.take(own),
-                                pa.array(np.full(len(own), int(dim))),
-                                pa.array(keys[:, t]),
-                                node.take(own),
-                                copies.take(own),
-                                vec,
-                                sig,
-                            ],
-                            ["t", "label", "dim", "key", "node", "copies", "vec", "sig"],
-                        )
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("node").take(own),
+                            batch.column("label").take(own),
+                            pa.array(np.full(len(own), int(dim))),
+                            batch.column("copies").take(own),
+                            pa.array([r.tobytes() for r in np.ascontiguousarray(flat)], pa.binary()),
+                            pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32())),
+                        ],
+                        ["node", "label", "dim", "copies", "vec", "keys"],
+                    )
 
     label_type = vectors.schema["label"].dataType.simpleString()
     double = vectors.schema["embedding"].dataType.elementType.simpleString() != "float"
     data = folded.select("node", "label", "copies", F.col("embedding").cast("array<double>" if double else "array<float>"))
-    tabled = data.mapInArrow(
-        hashed, f"t long, label {label_type}, dim long, key long, node long, copies long, vec binary, sig binary"
-    )
+    signed = stage(data.mapInArrow(hashed, f"node long, label {label_type}, dim long, copies long, vec binary, keys array<int>"))
     bucket = ["t", "label", "dim", "key"]
-    large = stage(tabled.groupBy(*bucket).count().where(F.col("count") > cell_rows).select(*bucket, F.ceil(F.col("count") / cell_rows).alias("n")))
-    tabled = tabled.join(F.broadcast(large) if bounded(large, FEW_BUCKETS) else large, bucket, "left")
-    block = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("n")))
+    tabled = signed.select("node", "label", "dim", F.posexplode("keys").alias("t", "key"))
+    shared = stage(
+        tabled.groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("n", F.ceil(F.col("rows") / cell_rows))
+    )
+    # a row of a bucket of n blocks goes to n cells; most cells hold a few vectors, and a task call takes a shelf of them
+    shelves = max(1, -(-(shared.agg(F.sum(F.col("rows") * F.col("n"))).first()[0] or 0) // SHELF_ROWS))
+    cell = [*bucket, "lo", "hi"]
     celled = (
-        tabled.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)))
-        .select(*bucket, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "copies", "vec", "sig")
+        tabled.join(F.broadcast(shared) if bounded(shared, FEW_BUCKETS) else shared, bucket)
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .select("node", "t", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
     )
+    fetched = celled.join(signed.select("node", "label", "dim", "copies", "vec", "keys"), "node")
     kind = np.float64 if double else np.float32
-    cell = [*bucket, "lo", "hi"]
-    # most cells hold a vector or two; a task call takes a shelf of them
-    shelves = max(1, -(-folded.count() * tables // SHELF_ROWS))
-    shelved = celled.withColumn("shelf", F.pmod(F.xxhash64(*cell), F.lit(shelves)))
+    shelved = fetched.withColumn("shelf", F.pmod(F.xxhash64(*cell), F.lit(shelves)))
 
     def compared(shelf: pa.Table) -> pa.Table:
         """All cells of a shelf."""
@@ -135,13 +129,14 @@ def near_vectors(
         cuts = np.append(np.flatnonzero(new), len(order))
         several = np.flatnonzero(np.diff(cuts) > 1)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        vec, sig = (shelf.column(c).to_pylist() for c in ("vec", "sig")) if len(several) else ([], [])
+        vec = shelf.column("vec").combine_chunks()
+        sig = shelf.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)
         for c in several.tolist():
             rows = order[cuts[c] : cuts[c + 1]]
             t, dim, lo, hi = (int(cols[k][rows[0]]) for k in ("t", "dim", "lo", "hi"))
             node, copies, n = cols["node"][rows], cols["copies"][rows], len(rows)
-            x = _unit(np.frombuffer(b"".join([vec[r] for r in rows.tolist()]), kind).reshape(n, dim))
-            own = np.frombuffer(b"".join([sig[r] for r in rows.tolist()]), np.int32).reshape(n, tables)
+            x = _unit(np.frombuffer(b"".join(vec.take(pa.array(rows)).to_pylist()), kind).reshape(n, dim))
+            own = sig[rows]
             if lo == hi:
                 i, j = _linked(x, x, own, own, t, cosine, True)
             else:
