@@ -129,24 +129,30 @@ def near_vectors(
         cuts = np.append(np.flatnonzero(new), len(order))
         several = np.flatnonzero(np.diff(cuts) > 1)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        vec = shelf.column("vec").combine_chunks()
-        sig = shelf.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)
+        _, limits, data = shelf.column("vec").combine_chunks().take(pa.array(order)).buffers()
+        limits = np.frombuffer(limits, np.int32)
+        sig = shelf.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)[order]
+        ordered = {k: c[order] for k, c in cols.items()}
+        first, units = 0, None  # the unit vectors of one length, from row ``first`` on; lengths are the main order
         for c in several.tolist():
-            rows = order[cuts[c] : cuts[c + 1]]
-            t, dim, lo, hi = (int(cols[k][rows[0]]) for k in ("t", "dim", "lo", "hi"))
-            node, copies, n = cols["node"][rows], cols["copies"][rows], len(rows)
-            x = _unit(np.frombuffer(b"".join(vec.take(pa.array(rows)).to_pylist()), kind).reshape(n, dim))
-            own = sig[rows]
+            at, stop = cuts[c], cuts[c + 1]
+            t, dim, lo, hi = (int(ordered[k][at]) for k in ("t", "dim", "lo", "hi"))
+            if units is None or units.shape[1] != dim:
+                first, last = np.searchsorted(ordered["dim"], [dim, dim + 1])
+                flat = np.frombuffer(data, np.uint8)[limits[first] : limits[last]]
+                units = _unit(flat.view(kind).reshape(-1, dim))
+            node, copies, n = ordered["node"][at:stop], ordered["copies"][at:stop], stop - at
+            x, own = units[at - first : stop - first], sig[at:stop]
             if lo == hi:
                 i, j = _linked(x, x, own, own, t, cosine, True)
             else:
-                a, b = np.flatnonzero(cols["block"][rows] == lo), np.flatnonzero(cols["block"][rows] == hi)
+                a, b = np.flatnonzero(ordered["block"][at:stop] == lo), np.flatnonzero(ordered["block"][at:stop] == hi)
                 i, j = _linked(x[a], x[b], own[a], own[b], t, cosine, False)
                 i, j = a[i], b[j]
             if len(i):
                 links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-                at = np.flatnonzero(links)
-                out.append((node[at], node[forest(i, j, n)[at]], links[at].astype(np.int64)))
+                met = np.flatnonzero(links)
+                out.append((node[met], node[forest(i, j, n)[met]], links[met].astype(np.int64)))
         a, b, links = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"a": a, "b": b, "links": links})
 
