@@ -130,6 +130,9 @@ class Featurizer:
         if len(data) > 2:
             pair[1:] = up[1:] & up[:-1]
             hidden[1:-1] = hide[1:-1] & letter[:-2] & letter[2:]
+            # characters of another text of the batch are no neighbours
+            first, last = cut[:-1][np.diff(cut) > 0], cut[1:][np.diff(cut) > 0] - 1
+            pair[first] = hidden[first] = hidden[last] = False
         words = np.maximum(1, tally(SPACE[data], cut) + 1)
         hidden = tally(hidden, cut)
         out = np.zeros((n, 16))
