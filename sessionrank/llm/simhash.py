@@ -15,8 +15,8 @@ SHINGLE, SEED, DISTANCE = 3, 42, 2
 PARTS = 2
 LEAF_ROWS = 2_000
 CELL_ROWS = 8_192
-SAMPLE = 65_536
-MAX_LEVELS = 12
+SAMPLE = 262_144
+MAX_LEVELS = 16
 
 
 def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:

@@ -11,10 +11,11 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sessionrank.llm.common import fresh
+from sessionrank.llm.common import fresh, stage
 
 CONTEXT = 2
 CACHE = 500_000
+LEAVES = pa.struct([("pieces", pa.list_(pa.string())), ("tokens", pa.list_(pa.int32()))])
 RESULT = "struct<before:long,after:long,pretokens:long,reencoded:long>"
 
 
@@ -47,14 +48,24 @@ class Tree:
     """Leaves are pre-tokens, nodes hold the sums of characters and ids below them."""
 
     def __init__(self, text: str, counter: Counter):
-        self.counter = counter
-        self.pieces: list[str] = counter.split(text)
-        self.n = len(self.pieces)
+        pieces: list[str] = counter.split(text)
+        self._grow(counter, pieces, counter.counts(pieces))
+
+    @classmethod
+    def of(cls, pieces: list[str], tokens: np.ndarray, counter: Counter) -> "Tree":
+        """A tree from its leaves, without encoding."""
+        tree = cls.__new__(cls)
+        tree._grow(counter, pieces, tokens)
+        return tree
+
+    def _grow(self, counter: Counter, pieces: list[str], tokens: np.ndarray) -> None:
+        self.counter, self.pieces, self.n = counter, pieces, len(pieces)
+        self.parts: dict[int, list[str]] = {}  # the pre-tokens of a leaf that an edit has made
         self.width = 1 << max(0, self.n - 1).bit_length()
         sums = np.zeros((self.width, 2), np.int64)
         if self.n:
             sums[: self.n, 0] = np.fromiter(map(len, self.pieces), np.int64, self.n)
-            sums[: self.n, 1] = counter.counts(self.pieces)
+            sums[: self.n, 1] = tokens
         levels = [sums]
         while len(levels[-1]) > 1:
             levels.append(levels[-1].reshape(-1, 2, 2).sum(axis=1))
@@ -137,11 +148,23 @@ class Tree:
         kept = found[: limits[pos]] if meet is not None else found
         meet = self.n if meet is None else meet
         self.reencoded += len(kept)
+        self.parts[low] = kept
         self._set(low, meet, "".join(kept), sum(map(self.counter.count, kept)))
 
     def text(self) -> str:
         return "".join(self.pieces)
 
+    def leaves(self) -> tuple[list[str], list[int]]:
+        """The pre-tokens and their numbers of ids; those that edits made are looked up, no others."""
+        pieces, tokens = [], []
+        known = self.sums[self.width : self.width + self.n, 1].tolist()
+        for i, piece in enumerate(self.pieces):
+            if piece:
+                own = self.parts.get(i)
+                pieces += own or [piece]
+                tokens += map(self.counter.count, own) if own else [known[i]]
+        return pieces, tokens
+
 
 def recount(docs: DataFrame, edits: str = "edits", path: str | None = None, name: str = "tokens") -> DataFrame:
     """Adds token counts before and after edits: before, after, pretokens (of the old text), reencoded.
@@ -174,6 +197,66 @@ def recount(docs: DataFrame, edits: str = "edits", path: str | None = None, name
     return docs.withColumn(name, arrow_udf(counted, RESULT)("text", edits))
 
 
+def plant(docs: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """(key, pieces, tokens): the leaves of each document's tree, to be kept as a table.
+
+    ``pieces`` are the pre-tokens in their order, ``tokens`` the numbers of ids of each. Null and
+    empty texts have none; rows without a key and repeated rows have a row each; no rows
+    give no rows; other columns are not read.
+    """
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    def planted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = Counter(path)
+        for texts in batches:
+            split = [counter.split(t.as_py() or "") for t in texts]
+            yield pa.array([{"pieces": p, "tokens": counter.counts(p)} for p in split], LEAVES)
+
+    leaves = arrow_udf(planted, "struct<pieces:array<string>,tokens:array<int>>")("text")
+    return docs.select(key, leaves.alias("_leaves")).select(key, "_leaves.*")
+
+
+def apply_edits(trees: DataFrame, edits: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """(key, pieces, tokens, reencoded): the kept trees after a batch of edits.
+
+    ``trees`` is a table of ``plant`` or of an earlier batch, ``edits`` has the key and an array of
+    struct<start, stop, new> in ``edits``. Only edited documents are opened, from their
+    leaves; the others pass as they are, with nothing re-encoded. In an edited document the
+    pre-tokens that edits touch are encoded with their boundary, as in ``recount``.
+
+    Several rows of a key in ``edits`` are applied in the order of their arrays; rows of a key that
+    ``trees`` lacks, without a key, or with null edits change nothing. Rows of ``trees`` that share a key are all
+    edited; those without one stay. No rows give no rows; other columns are not read.
+    """
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    def edited(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        counter = Counter(path)
+        for pieces, tokens, lists in batches:
+            out = []
+            for own, ids, changes in zip(pieces, tokens, lists, strict=True):
+                tree = Tree.of(own.as_py(), np.array(ids.as_py(), np.int64), counter)
+                for e in changes.as_py():
+                    if e is not None and None not in e.values():
+                        tree.edit(e["start"], e["stop"], e["new"])
+                pieces_now, tokens_now = tree.leaves()
+                out.append({"pieces": pieces_now, "tokens": tokens_now, "reencoded": tree.reencoded})
+            yield pa.array(out, pa.struct([*LEAVES, pa.field("reencoded", pa.int64())]))
+
+    kept = trees.select(key, "pieces", "tokens")
+    batch = edits.where(F.col(key).isNotNull() & F.col("edits").isNotNull()).groupBy(key)
+    batch = stage(batch.agg(F.flatten(F.sort_array(F.collect_list("edits"))).alias("_edits")))
+    result = "struct<pieces:array<string>,tokens:array<int>,reencoded:long>"
+    new = kept.join(batch, key).select(key, arrow_udf(edited, result)("pieces", "tokens", "_edits").alias("_now"))
+    same = kept.join(batch, key, "left_anti").withColumn("reencoded", F.lit(0).cast("long"))
+    return same.unionByName(new.select(key, "_now.*"))
+
+
+def count_of(tokens: str = "tokens") -> Column:
+    """A document's number of ids, from its leaves."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
 def review_edits() -> Column:
     """Three edits of each text, by its length: a passage deleted, a mark set in, a passage replaced."""
     n = F.length(F.coalesce("text", F.lit("")))
