@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionrank.functions.numbers import ratio
 from sessionrank.operators.filters import with_scalars
@@ -250,18 +250,20 @@ def candidates_of(features: DataFrame, k: int) -> DataFrame:
 
 
 def covisit_matrix(counts: DataFrame, score: str = "weight", k: int = 20) -> DataFrame:
-    """Edge list in matrix form: weight, share of the item's total weight, and rank from 0."""
-    total = Window.partitionBy("aid_x")
-    order = total.orderBy(F.col(score).desc(), F.col("aid_y"))
-    return (
-        counts.select(
-            F.col("aid_x").alias("aid"),
-            "aid_y",
-            F.col(score).cast("double").alias("wgt"),
-            (F.col(score) / F.sum(score).over(total)).alias("wgt_rel"),
-            (F.row_number().over(order) - 1).cast("long").alias("n"),
-        )
-        .where(F.col("n") < k)
+    """Edge list in matrix form: weight, share of the item's total weight, and rank from 0.
+
+    Totals are an aggregate and ranks come from ``row_numbers``, so an item with very many
+    neighbours spans tasks. The counts are read for both and written once.
+    """
+    rows = stage(counts.select(F.col("aid_x").alias("aid"), "aid_y", F.col(score).alias("_score")))
+    totals = rows.groupBy("aid").agg(F.sum("_score").alias("_total"))
+    ranked = row_numbers(rows, "aid", {"_rank": [F.col("_score").desc(), F.col("aid_y").asc()]}).where(F.col("_rank") <= k)
+    return ranked.join(totals, "aid").select(
+        "aid",
+        "aid_y",
+        F.col("_score").cast("double").alias("wgt"),
+        (F.col("_score") / F.col("_total")).alias("wgt_rel"),
+        (F.col("_rank") - 1).cast("long").alias("n"),
     )
 
 

@@ -34,15 +34,16 @@ def deal_ranges(rows: DataFrame, key: str, order: Sequence[Column], limit: int,
 
 
 def row_numbers(
-    df: DataFrame, key: str, orders: dict[str, Sequence[Column]], members: DataFrame | None = None
+    df: DataFrame, key: str, orders: dict[str, Sequence[Column]], members: DataFrame | None = None, fn: str = "row_number"
 ) -> DataFrame:
-    """One row number per order inside the groups of ``key``.
+    """One row number, or dense rank (``fn``), per order inside the groups of ``key``.
 
     Where no group has more than ``hot_rows`` rows these are plain windows in one partitioning.
     Rows of larger groups are dealt to ranges of each order in turn: a task numbers the rows of
     a range, and the rows in earlier ranges of the group, a small table, are added. Every
     sort then meets a bounded number of rows, whatever the scores and ties. Rows equal in
-    the whole order are numbered in any order; rows without a key are not parted.
+    the whole order are numbered in any order; rows without a key are not parted. A dense rank
+    has its equal rows in one range, and the greatest rank of a range is what comes before the next.
 
     ``members`` is a table whose distinct rows no group can outnumber, such as the items that
     may be proposed. It is counted instead of ``df``, where that is costly to derive.
@@ -51,7 +52,7 @@ def row_numbers(
 
     def plain(rows: DataFrame) -> DataFrame:
         return rows.withColumns(
-            {name: F.row_number().over(Window.partitionBy(key).orderBy(*order)) for name, order in orders.items()}
+            {name: rank_in([key], order, fn) for name, order in orders.items()}
         )
 
     if members is not None:
@@ -71,12 +72,14 @@ def row_numbers(
     for name, order in orders.items():
         dealt = deal_ranges(hot, key, order, limit, n)
         along = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        before = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        placed = dealt.withColumn("_inside", rank_in([key, "_range"], order, fn))
+        if fn == "row_number":
+            before = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        else:
+            before = placed.groupBy(key, "_range").agg(F.max("_inside").alias("_n"))
         before = before.select(key, "_range", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
-        inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order))
         hot = (
-            dealt.withColumn("_inside", inside)
-            .join(before, [key, "_range"])
+            placed.join(before, [key, "_range"])
             .withColumn(name, (F.col("_inside") + F.col("_before")).cast("int"))
             .drop("_range", "_inside", "_before")
         )

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionrank.operators.lists import from_submission
+from sessionrank.operators.ranks import row_numbers
 from sessionrank.schema import ACTIONS, LIST_LENGTH, LONG_LIST_LENGTH
 
 
@@ -17,17 +18,15 @@ def rank_scores(
     """Score and rank per action in long form: (session, aid, model, action columns).
 
     Kept are rows among the first ``k`` of any action. A model may lack some actions.
-    ``rank`` is ``dense_rank``, or ``row_number`` with equal scores in item order.
+    ``rank`` is ``dense_rank``, or ``row_number`` with equal scores in item order. A session with
+    very many candidates is ranked by many tasks.
     """
     types = [t for t in (types or ACTIONS) if f"pred_{t}" in scores.columns]
-    place, ties = {"dense_rank": (F.dense_rank, []), "row_number": (F.row_number, ["aid"])}[rank]
-    ranks = {
-        f"{t}_rank": place().over(Window.partitionBy("session").orderBy(F.col(f"pred_{t}").desc_nulls_last(), *ties))
-        for t in types
-    }
+    ties = {"dense_rank": [], "row_number": ["aid"]}[rank]
+    ranks = {f"{t}_rank": [F.col(f"pred_{t}").desc_nulls_last(), *ties] for t in types}
     best = F.least(*[F.col(r) for r in ranks]) if len(ranks) > 1 else F.col(next(iter(ranks)))
-    ranked = scores.select("session", "aid", *[f"pred_{t}" for t in types]).withColumns(ranks).where(best <= k)
-    return _long(ranked, model)
+    rows = scores.select("session", "aid", *[f"pred_{t}" for t in types])
+    return _long(row_numbers(rows, "session", ranks, fn=rank).where(best <= k), model)
 
 
 def _long(ranked: DataFrame, model: str) -> DataFrame:

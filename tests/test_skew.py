@@ -135,7 +135,7 @@ def test_popular_item_is_split(spark):
     assert len(rows) == n * 10 and "skew=true" in plan
 
 
-RANKED = ["w_multi_rank_filter", "cov_topk", "cov_session_agg", "cov_session_agg_w", "bigram_candidates"]
+RANKED = ["w_multi_rank_filter", "cov_topk", "cov_session_agg", "cov_session_agg_w", "bigram_candidates", "join_matrix", "st_rank_model", "st_rank_rows"]
 
 
 @pytest.mark.parametrize("name", RANKED)
@@ -184,6 +184,30 @@ def test_ranges_of_ranks_stay_below_the_limit(spark):
     assert sizes[0] <= limit and sizes[1] == hot.count()
 
 
+def test_dense_ranks_of_a_hot_group(spark):
+    """Many equal scores and some null: ranks without gaps across the ranges."""
+    from pyspark.sql import Window, functions as F
+
+    from sessionrank.operators import ranks as rk
+    from sessionrank.settings import HOT_ROWS_KEY
+
+    rows = spark.range(6_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 400).alias("session"),
+        F.col("id").alias("aid"),
+        F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 83 / 83).alias("p"),
+    )
+    order = [F.col("p").desc_nulls_last()]
+    spark.conf.set(HOT_ROWS_KEY, "200")
+    try:
+        out = rk.row_numbers(rows, "session", {"r": order}, fn="dense_rank")
+        got, plan = out.collect(), out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(HOT_ROWS_KEY)
+    want = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("session").orderBy(*order))).collect()
+    assert sorted(got, key=lambda x: x["aid"]) == sorted(want, key=lambda x: x["aid"])
+    assert "_range" in plan
+
+
 def test_ranks_are_plain_windows_where_nothing_is_hot(spark):
     from pyspark.sql import functions as F
 
