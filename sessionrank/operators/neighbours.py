@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sessionrank.functions import vectors as V
 from sessionrank.settings import stage
 
-CELL_ROWS = 250_000
-CHUNK_VALUES = 16_000_000
+CELL_ROWS = 100_000
+CHUNK_QUERIES, CHUNK_ITEMS, CHUNK_PAIRS = 512, 16_384, 65_536
 SCORED = "key long, aid long, similarity double"
 #: Rows that centroids are learned from and queries that the recall is measured on, at most.
 SAMPLE_ROWS, SAMPLE_QUERIES, MAX_LISTS = 100_000, 256, 4_096
@@ -32,6 +32,46 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
+def _products(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The products of the given pairs of rows in double precision, to 12 digits."""
+    if len(row) * 8 > len(q) * len(x):
+        return np.round((q @ x.T)[row, col], 12)
+    out = np.empty(len(row))
+    for a in range(0, len(row), CHUNK_PAIRS):
+        at = slice(a, a + CHUNK_PAIRS)
+        out[at] = np.einsum("ij,ij->i", q[row[at]], x[col[at]])
+    return np.round(out, 12)
+
+
+def _best_of(q: np.ndarray, x: np.ndarray, i_ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, id): the ``width`` best items of each row of ``q``.
+
+    Single precision finds the pairs that may be among them, all whose product is not below the least kept one by
+    more than rounding can make; these alone are multiplied in double precision and ranked.
+    """
+    margin = np.float32((q.shape[1] + 8) * 2.0**-22)  # unit vectors: four times what single precision can err
+    q32, x32 = q.astype(np.float32), x.astype(np.float32)
+    rows, values, ids = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+    least = np.full(len(q), -np.inf, np.float32)
+    for start in range(0, len(x), CHUNK_ITEMS):
+        near = q32 @ x32[start : start + CHUNK_ITEMS].T
+        edge = least
+        if start == 0 and near.shape[1] > width:
+            edge = np.partition(near, -width, axis=1)[:, -width]
+        row, col = np.divmod(np.flatnonzero(near >= (edge - margin)[:, None]), near.shape[1])
+        rows = np.concatenate([rows, row])
+        values = np.concatenate([values, _products(q, x[start : start + CHUNK_ITEMS], row, col)])
+        ids = np.concatenate([ids, i_ids[start : start + CHUNK_ITEMS][col]])
+        order = np.lexsort((ids, -values, rows))
+        rows, values, ids = rows[order], values[order], ids[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = place == width - 1
+        least[rows[last]] = values[last]
+        keep = place < width
+        rows, values, ids = rows[keep], values[keep], ids[keep]
+    return rows, values, ids
+
+
 def best_matches(k: int):
     """Task function: the ``k`` best items per query of one cell pair, equal values by id."""
 
@@ -40,21 +80,12 @@ def best_matches(k: int):
         if queries.num_rows and items.num_rows:
             q_ids = queries.column("k").to_numpy()
             i_ids = items.column("k").to_numpy()
-            q, x = _matrix(queries.column("v"), len(q_ids)), _matrix(items.column("v"), len(i_ids)).T
-            step = max(1, CHUNK_VALUES // len(i_ids))
-            width = min(k, len(i_ids))
-            for start in range(0, len(q_ids), step):
-                part = np.round(q[start : start + step] @ x, 12)
-                edge = np.partition(part, -width, axis=1)[:, -width]
-                row, col = np.nonzero(part >= edge[:, None])
-                value, item = part[row, col], i_ids[col]
-                order = np.lexsort((item, -value, row))
-                row, value, item = row[order], value[order], item[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = place < width
-                keys.append(q_ids[start : start + step][row[keep]])
-                sims.append(value[keep])
-                ids.append(item[keep])
+            q, x = _matrix(queries.column("v"), len(q_ids)), _matrix(items.column("v"), len(i_ids))
+            for start in range(0, len(q_ids), CHUNK_QUERIES):
+                row, value, item = _best_of(q[start : start + CHUNK_QUERIES], x, i_ids, min(k, len(i_ids)))
+                keys.append(q_ids[start + row])
+                sims.append(value)
+                ids.append(item)
         empty_int, empty_float = np.empty(0, dtype=np.int64), np.empty(0)
         return pa.table(
             {
