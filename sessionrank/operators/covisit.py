@@ -11,7 +11,7 @@ from sessionrank.operators.filters import with_scalars
 from sessionrank.operators.order import EVENT_TIES, in_order, with_micros
 from sessionrank.operators.ranks import any_rank, keep_any_rank, percent, row_numbers
 from sessionrank.schema import ACTIONS, action_weight
-from sessionrank.settings import stage
+from sessionrank.settings import both_dealt, stage
 
 CVRS = ("cvr_click_to_cart_order", "cvr_cart_to_order")
 COUNTS = tuple(f"count_{a}" for a in ACTIONS)
@@ -105,7 +105,7 @@ def expand(latest: DataFrame, edges: DataFrame, how: str = "inner") -> DataFrame
 
 
 def _meet(latest: DataFrame, edges: DataFrame, how: str = "inner") -> DataFrame:
-    return latest.join(edges.withColumnRenamed("aid_x", "aid"), "aid", how).withColumnRenamed("aid", "aid_x")
+    return both_dealt(latest, edges.withColumnRenamed("aid_x", "aid"), ["aid"], how).withColumnRenamed("aid", "aid_x")
 
 
 class Spread:
@@ -274,7 +274,7 @@ def matrix_features(pairs: DataFrame, matrix: DataFrame, suffix: str) -> DataFra
     """
     items = pairs.select("session", "aid").distinct()
     return (
-        items.join(stage(matrix), "aid")
+        both_dealt(items, stage(matrix), ["aid"])
         .groupBy("session", F.col("aid_y").alias("aid"))
         .agg(
             F.sum("wgt").alias(f"wgt_{suffix}_sum"),

@@ -13,7 +13,7 @@ from sessionrank.operators.filters import semi
 from sessionrank.operators.order import in_order
 from sessionrank.sources.labels import label_flags
 from sessionrank.schema import ACTIONS
-from sessionrank.settings import stage, stage_by
+from sessionrank.settings import both_dealt, stage, stage_by
 
 PAIR = ("session", "aid")
 SLOTS = 65_536
@@ -46,7 +46,7 @@ def assemble(
         else:
             parts = [reduce(lambda a, b: a.join(b, on, "full"), groups[keys])]
         for part in parts:
-            out = out.join(part, on, "left")
+            out = both_dealt(out, part, on, "left") if set(keys) >= set(PAIR) else out.join(part, on, "left")
     return out
 
 

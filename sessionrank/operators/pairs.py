@@ -15,7 +15,7 @@ from sessionrank.functions.times import US
 from sessionrank.operators.filters import of_types
 from sessionrank.operators.order import EVENT_TIES, in_order, with_micros
 from sessionrank.schema import ACTIONS, is_action
-from sessionrank.settings import cell_items, stage
+from sessionrank.settings import both_dealt, cell_items, stage
 
 UNIT_SECONDS = {"SECOND": 1, "HOUR": 3600}
 FEW_CELLS = 100_000
@@ -87,7 +87,7 @@ def pair_flags(
     latest = F.greatest(*[F.col(f"hi_{a}") for a in ACTIONS])
     earliest = F.least(*[F.col(f"lo_{a}") for a in ACTIONS])
     meets = F.when(same, (F.col("aid_a") != F.col("aid_b")) | (F.col("n") > 1)).otherwise(earliest - latest < reach)
-    met = first.join(second, ["session", "cell", "slice"]).where(meets)
+    met = both_dealt(first, second, ["session", "cell", "slice"]).where(meets)
 
     def flag(hit: Column, action: str) -> Column:
         return F.coalesce(hit, F.lit(False)).cast("int").alias(action)
@@ -157,9 +157,9 @@ def window_flags(ev: DataFrame, size: int = 2, rank: str = "row_number", last_n:
         slices = F.coalesce("slices", F.lit(1))
         here = here.join(wide, ["session", "at"], "left").withColumn("slice", F.pmod(F.xxhash64("aid_a"), slices).cast("int")).drop("slices")
         there = there.join(wide, ["session", "at"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("slices")
-        met = here.join(there, ["session", "at", "slice"])
+        met = both_dealt(here, there, ["session", "at", "slice"])
     else:
-        met = here.join(there, ["session", "at"])
+        met = both_dealt(here, there, ["session", "at"])
     forward = F.struct(F.col("aid_a").alias("aid_x"), F.col("aid_b").alias("aid_y"), *[F.col(f"b_{a}").alias(a) for a in ACTIONS])
     back = F.struct(F.col("aid_b").alias("aid_x"), F.col("aid_a").alias("aid_y"), *[F.col(f"a_{a}").alias(a) for a in ACTIONS])
     both = met.select("session", F.explode(F.array(forward, back)).alias("p")).select("session", "p.*")
