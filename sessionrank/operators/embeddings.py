@@ -35,7 +35,7 @@ def sentences(ev: DataFrame, max_len: int = MAX_SENTENCE, min_len: int = 2, over
         "session",
         "left_semi",
     )
-    placed = in_order(with_micros(dedup_consecutive(sized)), ["session"], "us", EVENT_TIES, want={"_pos": "pos"}, census=with_micros(ev))
+    placed = in_order(with_micros(dedup_consecutive(sized)), ["session"], "us", EVENT_TIES, want={"_pos": "pos"}, census=with_micros(ev), dealt=True)
     at = F.col("_pos") - 1
     part = F.floor(at / F.lit(float(max_len))).cast("long")
     shared = (F.pmod(at, F.lit(max_len)) < overlap) & (part > 0)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionrank.settings import hot_rows, stage
 
+TASK_ROWS = 250_000  # of a log, that a task orders
 MAX_LEVELS = 40  # a cut makes a stretch a quarter as wide at most: 40 part any two numbers of 64 bits
 FEW_KEYS = 500_000
 
@@ -24,19 +25,22 @@ def _sizes(rows: DataFrame, on: Sequence[str], lead: str) -> DataFrame:
 
 
 def cut_hot(
-    df: DataFrame, keys: Sequence[str], lead: str, census: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], lead: str, census: DataFrame | None = None, dealt: bool = False
 ) -> tuple[DataFrame, DataFrame | None, list[str]]:
     """Add stretch numbers that follow the order of the numeric column ``lead``.
 
     Returns all rows, the rows of hot keys alone, and the names of the stretch columns; no
-    hot rows and no columns where no key is hot. A key of n rows gets about 4 n / hot_rows
+    hot rows and no columns where no key is hot. All rows are dealt by key and stretch to as many
+    tasks as hold ``TASK_ROWS`` each, where they are more than that: the memory of a task does not
+    grow with the log, whatever the number of shuffle partitions. A key of n rows gets about 4 n / hot_rows
     stretches of equal width, and each that is still too large is cut in the same way, so
     that any distribution of values ends in stretches below the limit. Only rows with one
     value of ``lead`` cannot be parted. A list of hot keys or stretches has at most
     rows / hot_rows entries; it is written, and broadcast if that is few.
 
     Rows are counted in ``census``, a table that holds at least the keys and ``lead`` of all
-    rows of ``df``: the log itself, where ``df`` is expensive to derive from it.
+    rows of ``df``: the log itself, where ``df`` is expensive to derive from it. ``dealt`` says that
+    an order by ``keys`` or fewer has dealt the rows already.
     """
     limit = hot_rows(df.sparkSession)
 
@@ -52,14 +56,16 @@ def cut_hot(
         hot = stage(sizes.where((F.col("_n") > limit) & (F.col("_hi") > F.col("_lo"))).select(*on, "_lo", span, parts))
         return F.broadcast(hot) if hot.limit(FEW_KEYS + 1).count() <= FEW_KEYS else hot
 
-    def largest(sizes: DataFrame) -> int:
-        return sizes.agg(F.max(F.when(F.col("_hi") > F.col("_lo"), F.col("_n")))).first()[0] or 0
+    def largest(sizes: DataFrame) -> tuple[int, int]:
+        most, n = sizes.agg(F.max(F.when(F.col("_hi") > F.col("_lo"), F.col("_n"))), F.sum("_n")).first()
+        return most or 0, n or 0
 
     every, only = df, None
     counted = (df if census is None else census).select(*keys, lead)
     names: list[str] = []
     sizes = _sizes(counted, keys, lead)
-    while len(names) < MAX_LEVELS and largest(sizes) > limit:
+    most, n = largest(sizes)
+    while len(names) < MAX_LEVELS and most > limit:
         on, name = [*keys, *names], f"_stretch{len(names)}"
         hot = too_large(sizes, on)
         how = "left" if names else "inner"
@@ -68,6 +74,10 @@ def cut_hot(
         every = number(every, hot, on, "left", name)
         names.append(name)
         sizes = _sizes(counted, [*keys, *names], lead)
+        most, _ = largest(sizes)
+    if n > TASK_ROWS and not dealt:
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+        every = every.repartition(tasks, *keys, *names)
     return every, only, names
 
 
@@ -80,6 +90,7 @@ def in_order(
     carry: Sequence[str] = (),
     flag: str | None = None,
     census: DataFrame | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add ordered-group columns.
 
@@ -88,10 +99,10 @@ def in_order(
     end), ``rank`` and ``dense`` (by ``lead`` only), ``rdense`` (dense rank from the end),
     ``size``, ``last`` (greatest ``lead``), ``first`` (least ``lead``), ``prev`` and ``next``
     (struct of the ``carry`` columns of the neighbouring row), ``running`` (sum of ``flag``
-    up to and including the row). ``census`` is explained at ``cut_hot``.
+    up to and including the row). ``census`` and ``dealt`` are explained at ``cut_hot``.
     """
     kinds = set(want.values())
-    base, hot, stretches = cut_hot(df, keys, lead, census)
+    base, hot, stretches = cut_hot(df, keys, lead, census, dealt)
     part = [*keys, *stretches]
     by_row = Window.partitionBy(*part).orderBy(lead, *ties)
     by_lead = Window.partitionBy(*part).orderBy(lead)

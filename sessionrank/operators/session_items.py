@@ -69,7 +69,7 @@ def session_item_cvr(counts: DataFrame, items: DataFrame, log: DataFrame | None
 def session_item_recency(ev: DataFrame) -> DataFrame:
     """Best place from the end among the session's events of an action, and seconds to its last event."""
     placed = in_order(with_micros(ev), ["session"], "us", EVENT_TIES, want={"_last": "last"})
-    placed = in_order(placed, ["session", "type"], "us", ["aid"], want={"_place": "rpos"}, census=with_micros(ev))
+    placed = in_order(placed, ["session", "type"], "us", ["aid"], want={"_place": "rpos"}, census=with_micros(ev), dealt=True)
     ago = whole_units(F.col("_last"), F.col("us"))
     return placed.groupBy("session", "aid").agg(
         *[F.min(F.when(is_action(a), F.col("_place"))).alias(f"latest_rank_{a}") for a in ACTIONS],
