@@ -66,8 +66,9 @@ def pair_flags(
     key = ["session", "cell", "aid"]
     # read by both sides and for the sizes of the cells
     folded = stage(timed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *ends(F.max, "hi"), *ends(F.min, "lo")))
-    last = folded.select(*key, "n", *[f"hi_{a}" for a in ACTIONS])
-    early = folded.select(*key, *[f"lo_{a}" for a in ACTIONS])
+    again = F.col("n") > 1
+    last = folded.select(*key, again.alias("again_a"), *[f"hi_{a}" for a in ACTIONS])
+    early = folded.select(*key, again.alias("again_b"), *[f"lo_{a}" for a in ACTIONS])
     wide = _wide_cells(folded, cell_items(ev.sparkSession))
     first = (
         last.withColumnRenamed("aid", "aid_a")
@@ -83,27 +84,16 @@ def pair_flags(
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
         .drop("slices")
     )
-    same = F.col("ahead") == 0
+    same, x, y = F.col("ahead") == 0, F.col("aid_a"), F.col("aid_b")
     latest = F.greatest(*[F.col(f"hi_{a}") for a in ACTIONS])
     earliest = F.least(*[F.col(f"lo_{a}") for a in ACTIONS])
-    meets = F.when(same, (F.col("aid_a") != F.col("aid_b")) | (F.col("n") > 1)).otherwise(earliest - latest < reach)
-    met = both_dealt(first, second, ["session", "cell", "slice"]).where(meets)
-
-    def flag(hit: Column, action: str) -> Column:
-        return F.coalesce(hit, F.lit(False)).cast("int").alias(action)
-
-    forward = F.struct(
-        F.col("aid_a").alias("aid_x"),
-        F.col("aid_b").alias("aid_y"),
-        *[flag(F.when(same, F.col(f"lo_{a}").isNotNull()).otherwise(F.col(f"lo_{a}") - latest < reach), a) for a in ACTIONS],
-    )
-    back = F.struct(
-        F.col("aid_b").alias("aid_x"),
-        F.col("aid_a").alias("aid_y"),
-        *[flag(earliest - F.col(f"hi_{a}") < reach, a) for a in ACTIONS],
-    )
-    both = F.when(same, F.array(forward)).otherwise(F.array(forward, back))
-    return _distinct_pairs(met.select("session", F.explode(both).alias("p")).select("session", "p.*"))
+    there = F.when(same, (x != y) | F.col("again_a")).otherwise(earliest - latest < reach)
+    back = F.when(same, (x != y) | F.col("again_b")).otherwise(earliest - latest < reach)
+    # of the two meetings that one bucket gives two items, one is kept
+    met = both_dealt(first, second, ["session", "cell", "slice"]).where((~same | _ascending(x, y)) & (there | back))
+    forward = _mask([F.when(same, F.col(f"lo_{a}").isNotNull()).otherwise(F.col(f"lo_{a}") - latest < reach) for a in ACTIONS])
+    backward = _mask([F.when(same, F.col(f"hi_{a}").isNotNull()).otherwise(earliest - F.col(f"hi_{a}") < reach) for a in ACTIONS])
+    return _both_ways(met, _mask([there]) * PRESENT + forward, _mask([back]) * PRESENT + backward)
 
 
 def _wide_cells(folded: DataFrame, size: int, cell: str = "cell") -> DataFrame:
@@ -118,8 +108,39 @@ def _wide_cells(folded: DataFrame, size: int, cell: str = "cell") -> DataFrame:
     return F.broadcast(wide) if wide.limit(FEW_CELLS + 1).count() <= FEW_CELLS else wide
 
 
-def _distinct_pairs(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("session", "aid_x", "aid_y").agg(*[F.max(a).alias(a) for a in ACTIONS])
+#: Bits of a direction: one for each action, then whether there is a pair in this direction.
+PRESENT = 1 << len(ACTIONS)
+
+
+def _mask(bits: Sequence[Column]) -> Column:
+    """Conditions as one number; NULL is false."""
+    return sum((F.when(b, F.lit(1 << i)).otherwise(F.lit(0)) for i, b in enumerate(bits)), F.lit(0))
+
+
+def _ascending(x: Column, y: Column) -> Column:
+    return F.coalesce(x.isNull() | (x <= y), F.lit(False))
+
+
+def _both_ways(met: DataFrame, forward: Column, back: Column) -> DataFrame:
+    """Distinct pairs of a session, of meetings of ``aid_a`` and ``aid_b`` with the bits of each direction.
+
+    Two items travel as one row with the bits of both directions, and become two rows once they are distinct.
+    """
+    x, y = F.col("aid_a"), F.col("aid_b")
+    up, shift = _ascending(x, y), 2 * PRESENT
+    bits = F.when(up, forward + back * shift).otherwise(back + forward * shift).cast("int")
+    rows = met.select("session", F.when(up, x).otherwise(y).alias("_lo"), F.when(up, y).otherwise(x).alias("_hi"), bits.alias("_bits"))
+    one = rows.groupBy("session", "_lo", "_hi").agg(F.bit_or("_bits").alias("_bits"))
+    own, other = F.col("_bits") % shift, F.floor(F.col("_bits") / shift).cast("int")
+
+    def way(first: str, second: str, mask: Column) -> Column:
+        return F.struct(F.col(first).alias("aid_x"), F.col(second).alias("aid_y"), mask.alias("bits"))
+
+    with_itself = F.array(way("_lo", "_hi", own.bitwiseOR(other)))
+    ways = F.when(F.col("_lo").eqNullSafe(F.col("_hi")), with_itself).otherwise(F.array(way("_lo", "_hi", own), way("_hi", "_lo", other)))
+    found = one.select("session", F.explode(ways).alias("p")).where(F.col("p.bits") >= PRESENT)
+    flags = [F.col("p.bits").bitwiseAND(F.lit(1 << i)).cast("boolean").cast("int").alias(a) for i, a in enumerate(ACTIONS)]
+    return found.select("session", "p.aid_x", "p.aid_y", *flags)
 
 
 def last_times(ev: DataFrame, n: int) -> DataFrame:
@@ -145,12 +166,10 @@ def window_flags(ev: DataFrame, size: int = 2, rank: str = "row_number", last_n:
         placed = placed.where(F.col("_back") <= last_n)
     spots = stage(placed.groupBy("session", "at", "aid").agg(*[F.max(_flag(a)).alias(a) for a in ACTIONS]))
     ahead = F.array(*[F.lit(i) for i in range(1, size + 1)])
-    here = spots.select("session", "at", F.col("aid").alias("aid_a"), *[F.col(a).alias(f"a_{a}") for a in ACTIONS])
+    mask = _mask([F.col(a) == 1 for a in ACTIONS]) + PRESENT
+    here = spots.select("session", "at", F.col("aid").alias("aid_a"), mask.alias("bits_a"))
     there = spots.withColumn("ahead", F.explode(ahead)).select(
-        "session",
-        (F.col("at") - F.col("ahead")).alias("at"),
-        F.col("aid").alias("aid_b"),
-        *[F.col(a).alias(f"b_{a}") for a in ACTIONS],
+        "session", (F.col("at") - F.col("ahead")).alias("at"), F.col("aid").alias("aid_b"), mask.alias("bits_b")
     )
     if rank == "dense_rank":
         wide = _wide_cells(spots, cell_items(ev.sparkSession), "at")
@@ -160,10 +179,7 @@ def window_flags(ev: DataFrame, size: int = 2, rank: str = "row_number", last_n:
         met = both_dealt(here, there, ["session", "at", "slice"])
     else:
         met = both_dealt(here, there, ["session", "at"])
-    forward = F.struct(F.col("aid_a").alias("aid_x"), F.col("aid_b").alias("aid_y"), *[F.col(f"b_{a}").alias(a) for a in ACTIONS])
-    back = F.struct(F.col("aid_b").alias("aid_x"), F.col("aid_a").alias("aid_y"), *[F.col(f"a_{a}").alias(a) for a in ACTIONS])
-    both = met.select("session", F.explode(F.array(forward, back)).alias("p")).select("session", "p.*")
-    return _distinct_pairs(both)
+    return _both_ways(met, F.col("bits_b"), F.col("bits_a"))
 
 
 def long_pairs(flags: DataFrame, keep_type: bool) -> DataFrame:

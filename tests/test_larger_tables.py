@@ -47,3 +47,41 @@ def test_neighbours_of_many_equal_and_near_vectors(monkeypatch):
 
 def test_a_hundred_thousand_vectors_are_several_cells():
     assert nb.CELL_ROWS <= 100_000
+
+
+def test_a_task_orders_a_bounded_number_of_rows(spark, monkeypatch):
+    from sessionrank.operators import order
+
+    ev = events(spark, sessions=100)
+    want = {"n": "pos", "back": "rdense", "last": "last"}
+    plain = order.in_order(order.with_micros(ev), ["session"], "us", order.EVENT_TIES, want=want)
+    monkeypatch.setattr(order, "TASK_ROWS", 50)
+    dealt = order.in_order(order.with_micros(ev), ["session"], "us", order.EVENT_TIES, want=want)
+    assert dealt.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 1200 // 50)
+    assert sorted(plain.collect()) == sorted(dealt.collect())
+
+
+def test_two_items_travel_as_one_row(spark):
+    met = p.window_flags(events(spark), 2, "row_number")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(session#\d+L, _lo#\d+L, _hi#\d+L", plan)
+    rows = {(r["session"], r["aid_x"], r["aid_y"]) for r in met.collect()}
+    assert rows == {(s, a, b) for s in range(30) for a in range(12) for b in range(12) if 0 < abs(a - b) <= 2}
+
+
+def test_quality_learns_from_all_labels(spark):
+    from pyspark.sql import functions as F
+
+    from sessionrank.llm import common, quality
+
+    ids = spark.range(10_300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = ids.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert common.labelled(ids, labels, "quality").count() == 10_300
+    seen = []
+    whole = quality.labelled
+    quality.labelled = lambda *a: seen.append(whole(*a)) or seen[0]
+    try:
+        quality.scored(ids.limit(1), ids, labels)
+    finally:
+        quality.labelled = whole
+    assert seen[0].count() == 10_300
