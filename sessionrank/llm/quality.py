@@ -4,12 +4,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sessionrank.llm.common import fresh, labelled, stage, tally, utf8
 from sessionrank.llm.toxicity import DIGIT, LETTER, MARK, PRINT, SPACE, UPPER, featured
+from sessionrank.operators.dataset import ordered_ids
 
-ROWS, PAIRS = 10_000, 40_000
+PAIRS = 40_000
+EXACT_ROWS = 100_000
 ACCEPT = 0.7
 
 
@@ -56,15 +58,15 @@ class Shape:
         return out
 
 
-def scored(docs: DataFrame, train: DataFrame, labels: DataFrame, rows: int = ROWS, pairs: int = PAIRS, accept: float = ACCEPT, name: str = "quality") -> DataFrame:
+def scored(docs: DataFrame, train: DataFrame, labels: DataFrame, rows: int | None = None, pairs: int = PAIRS, accept: float = ACCEPT, name: str = "quality") -> DataFrame:
     """Adds a score from 0 to 1, higher for texts that are likelier to have ``quality`` = 1.
 
-    Learned from ``labels`` (doc_id, quality) and the texts that ``train`` has for them, on a
-    bounded sample of ``rows`` labelled rows and ``pairs`` pairs of a better and a worse text (eight for each
-    row of a small sample):
-    the probability that the better one is preferred is the logistic of the difference of
-    their scores, linear in the features. The quantile of the scores at the share of label 0
-    is the threshold, and gets the value ``accept`` on the logistic scale of the result.
+    Learned from ``labels`` (doc_id, quality) and the texts that ``train`` has for them, all of them or
+    ``rows`` at most, on pairs of a better and a worse text: each labelled text is in one at least (eight pairs for each
+    row up to ``pairs``, and two for each row of larger tables).
+    The probability that the better one is preferred is the logistic of the difference of
+    their scores, linear in the features. The quantile of all labelled scores at the share of label 0
+    is the threshold (beyond ``EXACT_ROWS`` to a millionth of the rows), and gets the value ``accept`` on the logistic scale of the result.
 
     Null and empty texts are scored as texts without any feature. Where the sample has one
     class only, the score is the smoothed share of label 1; without labels 0. Repeated rows
@@ -73,15 +75,22 @@ def scored(docs: DataFrame, train: DataFrame, labels: DataFrame, rows: int = ROW
     """
     spark, name = docs.sparkSession, fresh(docs, name)
     run = featured(Shape())
-    known = stage(labelled(train, labels, "quality", rows).select("label", "h", run("text").alias("x")).coalesce(4))
+    known = stage(labelled(train, labels, "quality", rows).select("label", "h", run("text").alias("x")))
     n, pos = known.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not pos or pos == n:
         return docs.withColumn(name, F.lit((pos + 1) / (n + 2) if n else 0.0))
-    place = F.row_number().over(Window.orderBy("h")) - 1  # of the bounded sample
-    good = known.where("label = 1").select(place.alias("i"), F.col("x").alias("better"))
-    poor = known.where("label = 0").select(place.alias("j"), F.col("x").alias("worse"))
-    drawn = spark.range(min(pairs, 8 * n), numPartitions=4).select(
-        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(pos)).alias("i"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n - pos)).alias("j"), (F.col("id") % 2).alias("turn")
+
+    def placed(label: int, number: str, name: str) -> DataFrame:
+        own = known.where(F.col("label") == label)
+        return own.join(ordered_ids(own, "h", number), "h").select(number, F.col("x").alias(name))
+
+    good, poor = placed(1, "i", "better"), placed(0, "j", "worse")
+    turn, half = F.col("id") % 2, F.floor(F.col("id") / 2)
+    # the half of the pairs goes through the better texts, the other through the worse ones
+    drawn = spark.range(max(2 * n, min(pairs, 8 * n))).select(
+        F.when(turn == 0, half % pos).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(pos))).alias("i"),
+        F.when(turn == 1, half % (n - pos)).otherwise(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n - pos))).alias("j"),
+        (half % 2).alias("turn"),
     )
     gap = F.zip_with("better", "worse", lambda a, b: F.when(F.col("turn") == 1, a - b).otherwise(b - a))
     duels = stage(drawn.join(good, "i").join(poor, "j").select(F.col("turn").cast("double").alias("label"), gap.alias("x")))
@@ -94,7 +103,8 @@ def scored(docs: DataFrame, train: DataFrame, labels: DataFrame, rows: int = ROW
 
     share = min(1.0, max(0.0, (n - pos - 0.5) / (n - 1)))
     raw = known.select(value("x").alias("v"))
-    cut, spread = raw.agg(F.percentile("v", F.lit(share)), F.stddev("v")).first()
+    middle = F.percentile("v", F.lit(share)) if n <= EXACT_ROWS else F.percentile_approx("v", F.lit(share), F.lit(1_000_000))
+    cut, spread = raw.agg(middle, F.stddev("v")).first()
     slope = 2.0 / spread if spread else 1.0
     base = float(np.log(accept / (1 - accept)))
     margin = (value(run("text")) - cut) * slope + base
