@@ -11,11 +11,13 @@ from sessionrank.operators.filters import with_scalars
 from sessionrank.operators.order import EVENT_TIES, in_order, with_micros
 from sessionrank.operators.ranks import any_rank, keep_any_rank, percent, row_numbers
 from sessionrank.schema import ACTIONS, action_weight
-from sessionrank.settings import both_dealt, stage
+from sessionrank.settings import both_dealt, hot_rows, stage
 
 CVRS = ("cvr_click_to_cart_order", "cvr_cart_to_order")
 COUNTS = tuple(f"count_{a}" for a in ACTIONS)
 ALL_COUNTS = (*COUNTS, "count_all", "weighted_count_all")
+LIST_ROWS = 1000  # neighbours of an item in one row
+EXPANDED_ROWS = 500_000  # rows of (session, neighbour) that a task sums and ranks
 
 
 def pair_cvr(counts: DataFrame) -> DataFrame:
@@ -140,20 +142,59 @@ class Spread:
         return out
 
 
-def _rank_neighbours(latest: DataFrame, edges: DataFrame, aggs: dict[str, Column], scores: dict, k: int) -> DataFrame:
-    """Aggregate per (session, neighbour), rank and keep. A session has at most all neighbours of the edges."""
-    edges = stage(edges)
-    found = _meet(latest, edges)
-    scored = found.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
-    return keep_any_rank(scored, "session", scores, k, members=edges.select("aid_y"))
+def neighbour_lists(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """The edges of an item as one row: ``aid_x`` and an array, in one order, for each other column.
+
+    ``longest`` is a number of neighbours that no item exceeds. Where it is not known, or above
+    ``LIST_ROWS``, the edges are written and counted, and longer lists are cut into pieces of about that many.
+    """
+    columns = [c for c in edges.columns if c != "aid_x"]
+    keys = ["aid_x"]
+    if longest is None or longest > LIST_ROWS:
+        edges = stage(edges)
+        sizes = edges.groupBy("aid_x").agg(F.count(F.lit(1)).alias("_n"))
+        if (sizes.agg(F.max("_n")).first()[0] or 0) > LIST_ROWS:
+            pieces = stage(sizes.select("aid_x", F.ceil(F.col("_n") / LIST_ROWS).alias("_pieces")))
+            number = F.pmod(F.xxhash64("aid_y"), F.col("_pieces")).alias("_piece")
+            edges = both_dealt(edges, pieces, ["aid_x"]).select("aid_x", *columns, number)
+            keys.append("_piece")
+    lists = edges.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("_edges"))
+    return lists.select("aid_x", *[F.col("_edges")[c].alias(c) for c in columns])
+
+
+def _rank_neighbours(
+    latest: DataFrame, edges: DataFrame, aggs: dict[str, Column], scores: dict, k: int, longest: int | None = None
+) -> DataFrame:
+    """Aggregate per (session, neighbour), rank and keep.
+
+    What meets is an item of a session and the list of its neighbours, and lists travel to the session
+    whole: they are opened, summed and ranked by the task that gets them, so that no row of a (session,
+    neighbour) is shuffled. The lists that each session will get are counted first, from their sizes: a task gets
+    those of about ``EXPANDED_ROWS`` rows. Where one session would get more than ``hot_rows``, the
+    rows are dealt by (session, neighbour) and ranked in ranges. A session has at most all neighbours of the edges.
+    """
+    spark = latest.sparkSession
+    lists, latest = stage(neighbour_lists(edges, longest)), stage(latest)
+    columns = [c for c in lists.columns if c != "aid_x"]
+    sizes = lists.select("aid_x", F.size("aid_y").alias("_n"))
+    per_session = _meet(latest.select("session", "aid"), sizes).groupBy("session").agg(F.sum("_n").alias("_n"))
+    most, total = per_session.agg(F.max("_n"), F.sum("_n")).first()
+    found = _meet(latest, lists).drop("aid_x")
+    if plain := (most or 0) <= hot_rows(spark):
+        tasks = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // EXPANDED_ROWS))
+        found = found.repartition(tasks, "session")
+    opened = found.select(*[c for c in latest.columns if c != "aid"], F.inline(F.arrays_zip(*columns)))
+    scored = opened.groupBy("session", F.col("aid_y").alias("aid")).agg(*[v.alias(n) for n, v in aggs.items()])
+    members = most or 0 if plain else lists.select(F.explode("aid_y"))
+    return keep_any_rank(scored, "session", scores, k, members=members)
 
 
 def _score_neighbours(
-    latest: DataFrame, edges: DataFrame, spreads: list[Spread], more: dict[str, Column], scores: dict, k: int
+    latest: DataFrame, edges: DataFrame, spreads: list[Spread], more: dict[str, Column], scores: dict, k: int, longest: int | None = None
 ) -> DataFrame:
     """Neighbours ranked and kept, with complete statistics."""
     aggs = {name: agg for s in spreads for name, agg in s.aggs().items()} | more
-    kept = _rank_neighbours(latest, edges, aggs, scores, k)
+    kept = _rank_neighbours(latest, edges, aggs, scores, k, longest)
     rest = {name: col for s in spreads for name, col in s.rest().items()}
     return kept.withColumns(rest).drop(*[s.squares for s in spreads])
 
@@ -240,7 +281,8 @@ def bigram_features(ev: DataFrame, norm: DataFrame, prefix: str, k_item: int = 5
     scores[f"rn_{P}_type_weight_aid_count"] = f"{P}_type_weight_count"
     scores[f"rn_{P}_aid_count"] = events
     more = {f"{P}_type_weight_count": F.sum("w"), events: F.sum("n")}
-    return _score_neighbours(history(ev), top_transitions(norm, k_item), spreads, more, scores, k)
+    # an edge is kept by either of two ranks
+    return _score_neighbours(history(ev), top_transitions(norm, k_item), spreads, more, scores, k, longest=2 * k_item)
 
 
 def candidates_of(features: DataFrame, k: int) -> DataFrame:

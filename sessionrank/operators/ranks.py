@@ -34,7 +34,7 @@ def deal_ranges(rows: DataFrame, key: str, order: Sequence[Column], limit: int,
 
 
 def row_numbers(
-    df: DataFrame, key: str, orders: dict[str, Sequence[Column]], members: DataFrame | None = None, fn: str = "row_number"
+    df: DataFrame, key: str, orders: dict[str, Sequence[Column]], members: DataFrame | int | None = None, fn: str = "row_number"
 ) -> DataFrame:
     """One row number, or dense rank (``fn``), per order inside the groups of ``key``.
 
@@ -56,7 +56,7 @@ def row_numbers(
         )
 
     if members is not None:
-        if members.distinct().count() <= limit:
+        if (members if isinstance(members, int) else members.distinct().count()) <= limit:
             return plain(df)
         df = stage(df)
     sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -87,7 +87,7 @@ def row_numbers(
 
 
 def row_ranks(
-    df: DataFrame, key: str, scores: dict[str, Column | str], tie: str = "aid", members: DataFrame | None = None
+    df: DataFrame, key: str, scores: dict[str, Column | str], tie: str = "aid", members: DataFrame | int | None = None
 ) -> DataFrame:
     """One row number per score, greatest first, equal scores by ``tie``.
 
@@ -112,7 +112,7 @@ def keep_any_rank(
     scores: dict[str, Column | str],
     k: int,
     tie: str = "aid",
-    members: DataFrame | None = None,
+    members: DataFrame | int | None = None,
 ) -> DataFrame:
     """Add the ranks and keep rows that are among the first ``k`` of at least one."""
     return row_ranks(df, key, scores, tie, members).where(any_rank(list(scores), k))

@@ -85,3 +85,36 @@ def test_quality_learns_from_all_labels(spark):
     finally:
         quality.labelled = whole
     assert seen[0].count() == 10_300
+
+
+def test_lists_of_neighbours_meet_sessions_and_no_neighbour_is_shuffled(spark, monkeypatch):
+    from sessionrank.operators import covisit as cv
+
+    ev = events(spark)
+    rows = [(x, y, 1 + (x * y) % 7) for x in range(10) for y in range(x + 2)] + [(3, None, 4), (None, 3, 9)]
+    weights = spark.createDataFrame(rows, "aid_x long, aid_y long, weight long")
+
+    def found():
+        return cv.weighted_covisit_features(ev, weights, "w", k=4)
+
+    plan = found()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate inline")]
+    sums = {}
+    for s in range(30):
+        for x, y, w in rows:
+            if x is not None:
+                sums[s, y] = sums.get((s, y), 0) + w
+    first = sorted(found().collect(), key=str)
+    assert first and all(r["sum_w_weight"] == sums[r.session, r.aid] for r in first)
+    monkeypatch.setattr(cv, "LIST_ROWS", 3)
+    monkeypatch.setattr(cv, "EXPANDED_ROWS", 100)
+    assert cv.neighbour_lists(weights).count() > weights.select("aid_x").distinct().count()
+
+    def plain(rows):
+        return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
+
+    assert plain(found().collect()) == plain(first)
+    norm = weights.selectExpr("aid_x", "aid_y", "weight / 3D AS norm_transition_count", "weight / 2D AS norm_transition_user_count")
+    cut = cv.bigram_features(ev, norm, "b", 4, 5).collect()
+    monkeypatch.undo()
+    assert cut and plain(cut) == plain(cv.bigram_features(ev, norm, "b", 4, 5).collect())
