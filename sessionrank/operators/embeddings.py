@@ -241,5 +241,6 @@ def ranking_factors(
     """
     seen = stage(contacts(ev))
     own = replace(settings, loss="bpr", dim=rank, passes=passes, seed=seed, decay=decay)
-    users, items = fa.learned(seen, "session", "aid", popularity(ev), own)
+    noise = seen.groupBy("aid").agg(F.count(F.lit(1)).alias("w"))
+    users, items = fa.learned(seen, "session", "aid", noise, own)
     return users.withColumnRenamed("vector", "session_vector"), items.withColumnRenamed("vector", "aid_vector")

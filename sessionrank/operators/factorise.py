@@ -81,11 +81,18 @@ def _start(ids: np.ndarray, settings: Settings, side: str) -> np.ndarray:
     return out
 
 
-def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """``into[rows] += values`` for repeated rows."""
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``rows`` once, and the sum of its ``values``."""
     order = np.argsort(rows, kind="stable")
-    own, at = np.unique(rows[order], return_index=True)
-    into[own] += np.add.reduceat(values[order], at, axis=0)
+    own = rows[order]
+    first = np.concatenate([[True], own[1:] != own[:-1]])
+    at = np.flatnonzero(first)
+    if 4 * len(at) < 3 * len(own):
+        return own[at], np.add.reduceat(values.take(order, axis=0), at, axis=0)
+    total = values.take(order[at], axis=0)  # few repeats: they are added one by one
+    again = np.flatnonzero(~first)
+    np.add.at(total, np.cumsum(first)[again] - 1, values[order[again]])
+    return own[at], total
 
 
 class _Side:
@@ -96,51 +103,64 @@ class _Side:
         self.v, self.g2, self.fixed = both[0], both[1], fixed
 
     def step(self, rows: np.ndarray, grad: np.ndarray, settings: Settings) -> None:
-        own, back = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(own), grad.shape[1]), np.float32)
-        _add(total, back, grad)
+        own, total = _summed(rows, grad)
         if self.fixed:
             total[:, -1] = 0
-        self.g2[own] += total * total
-        self.v[own] -= settings.step * total / np.sqrt(self.g2[own] + EPSILON)
+        squares = total * total
+        squares += self.g2.take(own, axis=0)
+        self.g2[own] = squares
+        squares += EPSILON
+        total *= settings.step
+        total /= np.sqrt(squares, out=squares)
+        self.v[own] = self.v.take(own, axis=0) - total
 
     def bytes(self) -> bytes:
         return np.stack([self.v, self.g2]).tobytes()
 
 
 def _train_cell(left: _Side, right: _Side, l: np.ndarray, r: np.ndarray, w: np.ndarray, ids, upto: np.ndarray, passes: range, settings: Settings) -> None:
-    """Some passes over the pairs of a cell, in an order and with noise drawn anew in each."""
+    """Some passes over the pairs of a cell, in an order and with noise drawn anew in each.
+
+    What is drawn for a pass does not depend on the vectors, so it is drawn for all pairs at once, as they lie.
+    """
     l_ids, r_ids = ids
-    known = np.sort(l.astype(np.int64) << 32 | r)
+    l, r = l.astype(np.int64), r.astype(np.int64)
+    known = np.sort(l << 32 | r)
+    per_pair = 1 if settings.loss == "bpr" else settings.negatives
     for turn in passes:
+        noise = [noise_draws(l_ids[l], r_ids[r], turn * per_pair + k, settings.seed, upto) for k in range(per_pair)]
         order = np.argsort(mixed(l_ids[l], r_ids[r], turn, settings.seed + 1), kind="stable")
+        if settings.loss == "bpr":
+            key = l << 32 | noise[0]
+            unseen = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key
         for a in range(0, len(order), BATCH):
             at = order[a : a + BATCH]
-            i, j, weight = l[at], r[at], w[at][:, None]
-            u, v = left.v[i], right.v[j]
             if settings.loss == "bpr":
-                z = noise_draws(l_ids[i], r_ids[j], turn, settings.seed, upto)
-                key = i.astype(np.int64) << 32 | z
-                unseen = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key
-                i, j, z, weight, u, v = i[unseen], j[unseen], z[unseen], weight[unseen], u[unseen], v[unseen]
-                if not len(i):
+                at = at[unseen[at]]
+                if not len(at):
                     continue
-                other = right.v[z]
-                d = weight / (1 + np.exp(np.clip((u * (v - other)).sum(axis=1, keepdims=True), -30, 30)))
-                grads = [(left, i, -d * (v - other) + settings.decay * u), (right, np.concatenate([j, z]), np.concatenate([-d * u + settings.decay * v, d * u + settings.decay * other]))]
+            i, j, weight = l[at], r[at], w[at][:, None]
+            u, v = left.v.take(i, axis=0), right.v.take(j, axis=0)
+            if settings.loss == "bpr":
+                z = noise[0][at]
+                other = right.v.take(z, axis=0)
+                gap = v - other
+                d = weight / (1 + np.exp(np.clip(np.einsum("ij,ij->i", u, gap)[:, None], -30, 30)))
+                du = d * u
+                grads = [(left, i, settings.decay * u - d * gap), (right, np.concatenate([j, z]), np.concatenate([settings.decay * v - du, settings.decay * other + du]))]
             else:
                 d = -weight / (1 + np.exp(np.clip((u * v).sum(axis=1, keepdims=True), -30, 30)))
                 gl, rows, gr = d * v, [j], [d * u]
                 for k in range(settings.negatives):
-                    z = noise_draws(l_ids[i], r_ids[j], turn * settings.negatives + k, settings.seed, upto)
-                    other = right.v[z]
+                    z = noise[k][at]
+                    other = right.v.take(z, axis=0)
                     d = weight * (z != j)[:, None] / (1 + np.exp(-np.clip((u * other).sum(axis=1, keepdims=True), -30, 30)))
                     gl = gl + d * other
                     rows.append(z)
                     gr.append(d * u)
                 grads = [(left, i, gl), (right, np.concatenate(rows), np.concatenate(gr))]
             for side, rows_, grad in grads:
-                side.step(rows_, grad.astype(np.float32), settings)
+                side.step(rows_, grad.astype(np.float32, copy=False), settings)
 
 
 def numbered(pairs: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -192,7 +212,10 @@ def learned(pairs: DataFrame, left: str, right: str, noise: DataFrame, settings:
         return pa.table({"br": pa.array([key[0].as_py()], pa.int32()), "upto": pa.array([np.cumsum(part.column("w").to_numpy()).astype(np.int64).tobytes()], pa.binary())})
 
     cells = stage(celled.groupBy("bl", "br").applyInArrow(packed, "bl int, br int, l binary, r binary, w binary"))
-    cells = stage(cells.join(weighed.groupBy("br").applyInArrow(sums, "br int, upto binary"), "br"))
+    # a step reads the cells of its own folder only
+    cells = cells.join(weighed.groupBy("br").applyInArrow(sums, "br int, upto binary"), "br").select("*", ((F.col("br") - F.col("bl") + b) % b).alias("step"))
+    kept, cells_type = shared_dir(spark), cells.schema
+    cells.write.partitionBy("step").parquet(kept)
 
     def started(side: str, n: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +248,11 @@ def learned(pairs: DataFrame, left: str, right: str, noise: DataFrame, settings:
             state = spark.read.schema("side string, block int, v binary").parquet(path)
             vl = state.where("side = 'l'").select(F.col("block").alias("bl"), F.col("v").alias("vl"), ((F.col("block") + s) % b).alias("br"))
             vr = state.where("side = 'r'").select(F.col("block").alias("br"), F.col("v").alias("vr"))
-            now = vl.join(vr, "br").join(cells.where((F.col("br") - F.col("bl") + b) % b == s), ["bl", "br"], "left")
+            own = spark.read.schema(cells_type).parquet(kept).where(F.col("step") == s).drop("step")
+            now = vl.join(vr, "br").join(own, ["bl", "br"], "left")
             new = shared_dir(spark)
             # a cell is a row: each goes to a task of its own
-            now.repartition(b, "bl").mapInArrow(trained(turns), "side string, block int, v binary").write.parquet(new)
+            now.repartitionById(b, F.col("bl")).mapInArrow(trained(turns), "side string, block int, v binary").write.parquet(new)
             remove(spark, path)
             path = new
     state = spark.read.schema("side string, block int, v binary").parquet(path)

@@ -150,3 +150,22 @@ def test_inverted_file_of_few_and_odd_vectors(spark):
     assert nb.knn(items.limit(0).withColumnRenamed("aid", "q"), items, 3, key="q", method="ivf").count() == 0
     with pytest.raises(ValueError, match="method"):
         nb.knn(items, items, 3, method="tree")
+
+
+def test_each_cell_of_a_step_has_a_task(spark, monkeypatch):
+    """A task that trains cells writes one file, so a step of b cells leaves b files."""
+    import glob
+
+    tasks, remove = [], fa.remove
+
+    def counted(spark, path):
+        tasks.append(len(glob.glob(f"{path.removeprefix('file:')}/part-*")))
+        remove(spark, path)
+
+    monkeypatch.setattr(fa, "remove", counted)
+    rows = [(s, i, 1.0) for s in range(24) for i in range(24) if (s + i) % 3]
+    pairs = spark.createDataFrame(rows, "session long, aid long, w double")
+    noise = spark.createDataFrame([(i, 1) for i in range(24)], "aid long, w long")
+    users, items = fa.learned(pairs, "session", "aid", noise, fa.Settings(loss="bpr", dim=4, passes=2, block_ids=4))
+    assert tasks[1:] == [6] * 5
+    assert users.count() == items.count() == 24
