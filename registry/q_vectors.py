@@ -141,7 +141,7 @@ def found_by_lists(s, d):
     """How many neighbours each item gets, and whether its own are what the exact way says in nine of ten places over all."""
     v = item_vectors(s, d)
     q = v.withColumnRenamed("aid", "q")
-    found, exact = stage(nb.knn(q, v, 50, key="q", method="ivf")), stage(nb.knn(q, v, 50, key="q"))
+    found, exact = nb.knn(q, v, 50, key="q", method="ivf"), nb.knn(q, v, 50, key="q")
     good = int(nb.recall_of(found, exact, "q") >= 0.9)
     return found.select("q", F.size("neighbor_aids").alias("n"), F.get("neighbor_aids", F.lit(0)).alias("nearest"), F.lit(good).alias("good"))
 

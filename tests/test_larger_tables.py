@@ -1,6 +1,7 @@
 """What must stay bounded on larger tables: broadcasts, cells, tasks, samples."""
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +119,58 @@ def test_lists_of_neighbours_meet_sessions_and_no_neighbour_is_shuffled(spark, m
     cut = cv.bigram_features(ev, norm, "b", 4, 5).collect()
     monkeypatch.undo()
     assert cut and plain(cut) == plain(cv.bigram_features(ev, norm, "b", 4, 5).collect())
+
+
+def folder_of(df):
+    return Path(df.inputFiles()[0].removeprefix("file:")).parent
+
+
+def test_vectors_are_not_copied_for_lists_and_nothing_but_the_neighbours_stays(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sessionrank.functions import vectors as V
+    from sessionrank.settings import stage
+
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((1500, 8))
+    v[40:60] = v[3]
+    items = stage(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "aid long, vector array<double>"))
+    rows = items.select(F.col("aid").alias("k"), V.unit("vector").alias("v"))
+    q, own = nb._listed(rows, rows, 10, 0.9, None)
+    bits = [sum(bin(b).count("1") for b in r.asked) for r in q.collect()]
+    assert len(bits) == own.count() == 1500 and 1 <= min(bits) and sum(bits) < 0.8 * 1500 * 39
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 12)
+    best = [np.lexsort((np.arange(1500), -s))[:10].tolist() for s in sims]
+    before = set(folder_of(items).parent.iterdir())
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 100)
+    for method, least in (("exact", 1), ("ivf", 0.85)):  # four parts of the items
+        near = nb.knn(items.withColumnRenamed("aid", "q"), items, 10, key="q", cell_rows=150, method=method, recall=0.9)
+        got = {r.q: r for r in near.collect()}
+        assert len(got) == 1500 and all(len(r.neighbor_aids) == 10 for r in got.values())
+        same = [len(set(got[n].neighbor_aids) & set(b)) for n, b in enumerate(best)]
+        assert sum(same) >= least * 15_000
+        assert abs(np.array([got[n].cosine_similarity for n in range(1500)]) - [[sims[n][a] for a in got[n].neighbor_aids] for n in range(1500)]).max() < 1e-11
+        assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+        # of all tables written on the way only the result is left (and the sample that centroids are learned from)
+        after = set(folder_of(items).parent.iterdir())
+        assert after - before == {folder_of(near)}
+        before = after
+
+
+def test_tables_written_on_the_way_are_deleted(spark):
+    from sessionrank.settings import apart, stage, stage_by
+
+    inner = []
+
+    def made():
+        a, b = stage(spark.range(1000)), stage_by(spark.range(0, 1000, 2), ["id"])
+        c = apart(lambda: a.join(stage(spark.range(500)), "id"))
+        inner.extend(map(folder_of, (a, b, c)))
+        assert all(f.exists() for f in inner)
+        return c.join(b, "id")
+
+    outside = stage(spark.range(3))
+    out = apart(made)
+    assert out.count() == 250 and outside.count() == 3
+    assert not [f for f in inner if f.exists()]
