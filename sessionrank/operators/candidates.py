@@ -55,8 +55,10 @@ def neighbour_candidates(ev: DataFrame, neighbours: DataFrame, min_sim: float =
         "session",
         F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.col(a).alias("start")) for a in ACTIONS])).alias("s"),
     ).select("session", "s.kind", "s.start")
-    near = explode_neighbours(neighbours.withColumnRenamed("aid", "start"), "start")
-    met = starts.where(F.col("start").isNotNull()).join(near, "start").where(F.col("aid") != F.col("start"))
+    # lists travel to the starts and become rows there
+    near = starts.where(F.col("start").isNotNull()).join(neighbours.withColumnRenamed("aid", "start"), "start")
+    zipped = F.arrays_zip(F.col("neighbor_aids").alias("aid"), F.col("cosine_similarity").alias("similarity"))
+    met = near.select("session", "kind", "start", F.explode(zipped).alias("z")).select("session", "kind", "start", "z.aid", "z.similarity").where(F.col("aid") != F.col("start"))
     cols = [f"last_{a[:-1]}_cosine_similarity" for a in ACTIONS]
     wide = met.groupBy("session", "aid").agg(
         *[F.max(F.when(F.col("kind") == a, F.col("similarity"))).alias(c) for a, c in zip(ACTIONS, cols)]

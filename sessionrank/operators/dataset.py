@@ -142,14 +142,15 @@ def _any_positive(labels: Sequence[str]) -> Column:
     return F.greatest(*[F.col(c) for c in labels]) == 1 if len(labels) > 1 else F.col(labels[0]) == 1
 
 
-def sample_negatives(df: DataFrame, labels: Sequence[str], ratio: int = 20, seed: int = 0) -> DataFrame:
+def sample_negatives(df: DataFrame, labels: Sequence[str], ratio: int = 20, seed: int = 0, written: bool = False) -> DataFrame:
     """All positives and at most ``ratio`` times as many random negatives, exactly.
 
     The wanted number of smallest draws is found without a global sort: draws are counted
     in 65,536 slots, whole slots are taken up to the limit, and only the slot on the limit
-    is ranked. The rows are read for the counts and for each part, so they are written once.
+    is ranked. The rows are read for the counts and for each part, so they are written once,
+    unless they come from a table that is (``written``).
     """
-    df = stage(df)
+    df = df if written else stage(df)
     positive = _any_positive(labels)
     drawn = df.withColumn("_draw", draw("session", "aid", seed=seed))
     slot = F.floor(F.col("_draw") / F.lit(2.0**32 / SLOTS)).cast("long")
@@ -175,10 +176,10 @@ def keep_negatives(df: DataFrame, label: str, one_in: int = 15, seed: int = 0) -
     return df.where((F.col(label) == 1) | (bucket("session", "aid", n=one_in, seed=seed) == 0))
 
 
-def sampled_dataset(df: DataFrame, n_folds: int = 5, ratio: int = 20, seed: int = 0) -> DataFrame:
-    """Training rows: target sessions, sampled negatives, folds and the combined label."""
+def sampled_dataset(df: DataFrame, n_folds: int = 5, ratio: int = 20, seed: int = 0, written: bool = False) -> DataFrame:
+    """Training rows: target sessions, sampled negatives, folds and the combined label. ``written``: ``df`` is a written table."""
     base = df.where(F.col("split") != "train")
-    rows = sample_negatives(base, ["click_label", "cart_label", "order_label"], ratio, seed)
+    rows = sample_negatives(base, ["click_label", "cart_label", "order_label"], ratio, seed, written)
     both = ((F.col("cart_label") + F.col("order_label")) >= 1).cast("long")
     return add_fold(rows, n_folds, seed).withColumn("cart_order_label", both)
 

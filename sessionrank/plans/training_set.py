@@ -32,7 +32,7 @@ from sessionrank.operators.sessions import session_features, session_frame
 from sessionrank.operators.vector_features import last_item_angle, last_item_distances, user_item_dot
 from sessionrank.plans import candidate_tables as C
 from sessionrank.schema import ACTIONS
-from sessionrank.settings import stage, stage_by
+from sessionrank.settings import apart, stage, stage_by
 
 # Which tables the two variants use.
 CANDIDATE_SOURCES = (
@@ -128,6 +128,11 @@ def by_pair_buckets(df: DataFrame) -> DataFrame:
     return stage_by(df, PAIR)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """Write a table that is as large as the result."""
+    return stage(df, "zstd")
+
+
 def build(
     ev: DataFrame,
     ground_truth: DataFrame,
@@ -136,20 +141,31 @@ def build(
     neighbours: DataFrame | None = None,
     similar: DataFrame | None = None,
     limits: dict[str, int] | None = None,
-    keep: Callable[[DataFrame], DataFrame] = stage,
+    keep: Callable[[DataFrame], DataFrame] = packed,
     keep_features: Callable[[DataFrame], DataFrame] = by_pair_buckets,
 ) -> tuple[DataFrame, DataFrame]:
     """Dataset and sampled dataset of a variant.
 
-    ``keep`` materialises the pairs and the dataset, ``keep_features`` the feature tables, which
+    ``keep`` writes the pairs and the dataset, ``keep_features`` the feature tables, which
     several later steps read; by default they are written to the shared folder, the features in
-    buckets of the pair.
+    buckets of the pair. They must have read a table when they return: what was written on the
+    way to it is deleted then, so that of all tables only the dataset is left.
     """
-    names = dict.fromkeys((*CANDIDATE_SOURCES, *FEATURE_TABLES[variant]))
-    features = {n: keep_features(C.TABLES[n](ev)) for n in names}
-    pairs = keep(user_item(ev, features, variant, neighbours, similar, limits))
-    full = keep(dataset(ev, pairs, features, ground_truth, vectors, variant))
-    return full, sampled_dataset(full)
+
+    def feature(n: str) -> DataFrame:
+        return apart(lambda: C.TABLES[n](ev), keep_features)
+
+    def found(features: dict[str, DataFrame]) -> DataFrame:
+        only_found = {n: feature(n) for n in CANDIDATE_SOURCES if n not in features}
+        return user_item(ev, features | only_found, variant, neighbours, similar, limits)
+
+    def made() -> DataFrame:
+        features = {n: feature(n) for n in FEATURE_TABLES[variant]}
+        pairs = apart(lambda: found(features), keep)
+        return dataset(ev, pairs, features, ground_truth, vectors, variant)
+
+    full = apart(made, keep)
+    return full, sampled_dataset(full, written=True)
 
 
 def frame(

@@ -174,3 +174,27 @@ def test_tables_written_on_the_way_are_deleted(spark):
     out = apart(made)
     assert out.count() == 250 and outside.count() == 3
     assert not [f for f in inner if f.exists()]
+
+
+def test_of_all_tables_only_the_dataset_stays(spark):
+    from sessionrank.plans import training_set as T
+    from sessionrank.settings import stage
+
+    truth = spark.createDataFrame([(1, 2, [1], [3])], "session long, click_label long, cart_label array<long>, order_label array<long>")
+    first = stage(spark.range(1))
+    before = set(folder_of(first).parent.iterdir())
+    full, sampled = T.build(events(spark, sessions=6, items=4), truth)
+    assert set(folder_of(first).parent.iterdir()) - before == {folder_of(full)}
+    rows = full.select("session", "aid", "click_label", "cart_label", "order_label").collect()
+    assert len(rows) == 24 and {(r.session, r.aid) for r in rows if r.click_label + r.cart_label + r.order_label} == {(1, 1), (1, 2), (1, 3)}
+    assert sampled.count() == 24
+
+
+def test_neighbours_become_rows_where_an_item_was_last(spark):
+    from sessionrank.operators import candidates as cd
+
+    near = spark.createDataFrame([(a, [a, (a + 1) % 12, (a + 2) % 12], [1.0, 0.9, 0.8]) for a in range(12)], "aid long, neighbor_aids array<long>, cosine_similarity array<double>")
+    found = cd.neighbour_candidates(events(spark), near, 0.85)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(arrays_zip") < plan.index("Join [start#")
+    assert {(r.session, r.aid, r.last_click_cosine_similarity, r.last_cart_cosine_similarity) for r in found.collect()} == {(s, 0, 0.9, None) for s in range(30)}
